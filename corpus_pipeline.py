@@ -83,8 +83,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, n_chars): BPE ids, and the length of the text that they decode to."""
-    coded = bpe.decode(bpe.encode(docs))
-    return coded.select("doc_id", "n_tokens", "ids", F.length("text").cast("long").alias("n_chars"))
+    return bpe.round_trip(docs).select("doc_id", "n_tokens", "ids", F.length("text").cast("long").alias("n_chars"))
 
 
 STAGES = [("quality_classifier", quality), ("minhash_near_dedup", near_duplicates), ("secret_scans", secret_spans), ("mix_sources", mixture), ("bpe_coding", encoding)]

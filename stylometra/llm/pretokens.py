@@ -26,7 +26,7 @@ def pieces(text: str) -> list[str]:
 class Pieces:
     """Numbers for pieces, kept from call to call until there are more than limit of them; encode makes the ids of new pieces."""
 
-    def __init__(self, encode, special: dict[str, int], limit: int = 400_000):
+    def __init__(self, encode, special: dict[str, int], limit: int = 250_000):
         self.encode, self.special, self.limit = encode, special, limit
         self.split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.clear()
