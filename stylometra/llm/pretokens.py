@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import regex
@@ -23,20 +24,29 @@ def pieces(text: str) -> list[str]:
     return (_WIDE if _ABOVE.search(text) else _LATIN).findall(text)
 
 
+class _Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Pieces:
     """Numbers for pieces, kept from call to call until there are more than limit of them; encode makes the ids of new pieces."""
 
-    def __init__(self, encode, special: dict[str, int], limit: int = 250_000):
+    def __init__(self, encode, special: dict[str, int], limit: int = 350_000):
         self.encode, self.special, self.limit = encode, special, limit
         self.split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for i in self.special.values():
             self._add([[i]])
-        self.number = {s: k for k, s in enumerate(self.special)}
+        for s in self.special:
+            self.number[s]
 
     def _add(self, lists) -> None:
         flat, lengths = lists if isinstance(lists, tuple) else (np.concatenate([np.asarray(x, np.int32) for x in lists]), [len(x) for x in lists])
@@ -60,9 +70,9 @@ class Pieces:
         known = len(number)
         for t in texts:
             own = self._split(t)
-            numbered.append(np.fromiter((number.setdefault(p, len(number)) for p in own), np.int64, len(own)))
+            numbered.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
         if len(number) > known:
-            fresh = list(number)[known:]
+            fresh = list(islice(number, known, None))
             self._add(self.encode(fresh))
         out = []
         for own in numbered:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import groups, read_vocabulary
+from .bpe import byte_letters, groups, read_vocabulary
 from .common import materialize, shared_dir, texts
 from .pretokens import Pieces
 
@@ -110,14 +110,12 @@ def library_pieces(vocabulary: str) -> Pieces:
         coder.no_truncation()
         special = {t.content: i for i, t in coder.get_added_tokens_decoder().items()}
 
+        model, letters = coder.model, {b: c for c, b in byte_letters().items()}
+        stand_in = [letters[b] for b in range(256)]
+
         def encode(items: list[str]):
-            flat, counts = [], []
-            for k in range(0, len(items), 4096):
-                own = items[k : k + 4096]
-                e = coder.encode(own, is_pretokenized=True, add_special_tokens=False)
-                flat.append(np.array(e.ids, np.int32))
-                counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(own)))
-            return np.concatenate(flat), np.concatenate(counts)
+            found = [model.tokenize(x.encode().decode("latin-1").translate(stand_in)) for x in items]
+            return np.array([t.id for own in found for t in own], np.int32), [len(own) for own in found]
 
         _WORKER[key] = Pieces(encode, special)
     return _WORKER[key]
@@ -144,7 +142,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
                 first = doc_ids[0] if first is None else first
                 for i, x in zip(doc_ids, ids_of(own), strict=True):
                     held_ids.append(i)
-                    held.append(np.append(x, end_id))
+                    held.append(np.append(x, np.int32(end_id)))
                     size += len(x) + 1
                     ids_in += len(x) + 1
                     if size >= BLOCK_IDS:
