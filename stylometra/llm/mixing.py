@@ -36,8 +36,9 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int =
     counts = own.groupBy("bucket").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"c{k}") for k, d in enumerate(domains)])
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").na.fill(0)
-    sums = counts.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"s{k}") for k in range(len(domains))])
-    table = full.crossJoin(F.broadcast(sums)).select("bucket", *[F.log((F.col(f"c{k}") + 0.5) / (F.col(f"s{k}") + 0.5 * BUCKETS)).alias(f"l{k}") for k in range(len(domains))])
+    full = materialize(full, "domain-counts")
+    sums = full.agg(*[F.sum(f"c{k}").alias(f"s{k}") for k in range(len(domains))]).head()
+    table = full.select("bucket", *[F.log((F.col(f"c{k}") + 0.5) / F.lit(float(sums[f"s{k}"] or 0) + 0.5 * BUCKETS)).alias(f"l{k}") for k in range(len(domains))])
     n = known.agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)], F.count("*").alias("n"))
     prior = n.select(F.lit(-1).alias("bucket"), *[F.log((F.col(f"n{k}") + 0.5) / (F.col("n") + 0.5 * len(domains))).alias(f"l{k}") for k in range(len(domains))])
     return materialize(table.unionByName(prior), "domain-words")
@@ -47,10 +48,10 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], evidence:
     """(doc_id, n_tokens, p: array). The mean log-likelihood of a word counts as that of `evidence` words at most, which keeps memberships soft."""
     ks = range(len(domains))
     table = F.broadcast(model.where("bucket >= 0"))  # BUCKETS rows
-    prior = F.broadcast(model.where("bucket = -1").select(*[F.col(f"l{k}").alias(f"q{k}") for k in ks]))
+    prior = model.where("bucket = -1").head()
     scored = words(texts(docs), "doc_id").join(table, "bucket", "left").groupBy("doc_id").agg(F.count("bucket").alias("n_tokens"), *[F.sum(f"l{k}").alias(f"t{k}") for k in ks])
     weight = F.least(F.col("n_tokens"), F.lit(evidence)) / F.greatest(F.col("n_tokens"), F.lit(1))
-    logits = scored.crossJoin(prior).select("doc_id", "n_tokens", F.array(*[F.col(f"q{k}") + F.coalesce(F.col(f"t{k}") * weight, F.lit(0.0)) for k in ks]).alias("z"))
+    logits = scored.select("doc_id", "n_tokens", F.array(*[F.lit(prior[f"l{k}"]) + F.coalesce(F.col(f"t{k}") * weight, F.lit(0.0)) for k in ks]).alias("z"))
     shifted = logits.select("doc_id", "n_tokens", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return shifted.select("doc_id", "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
