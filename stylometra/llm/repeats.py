@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_VALUES, Polynomial, chunks, materialize, word_bounds
 
-#: Above this many different contexts of one seed, windows are counted by hash over all tasks.
-HEAVY_CONTEXTS = 2000
+#: Above this many different contexts of one seed (3 MB of bytes, 250 MB in a resolver), windows are counted by hash over all tasks.
+HEAVY_CONTEXTS = 5000
 #: Symbols of contexts in one resolver block, and bytes of text handled at once.
-BLOCK_SYMBOLS = 1_000_000
+BLOCK_SYMBOLS = 300_000
 CHUNK_BYTES = 4_000_000
 
 
@@ -192,7 +192,7 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, resolver, heavy: int = HEA
     content = materialize(content, "contents")
     light = content.where(F.col("k") <= heavy).drop("k")
     light = light.repartition("seed").sortWithinPartitions("seed").mapInArrow(_resolved(scheme, resolver), SPAN_SCHEMA)
-    windows = content.where(F.col("k") > heavy).drop("k").mapInArrow(_window_rows(scheme), "seed long, win long, n long, doc_id long, lo int")
+    windows = content.where(F.col("k") > heavy).drop("k").repartition(F.xxhash64("doc_id", "lo")).mapInArrow(_window_rows(scheme), "seed long, win long, n long, doc_id long, lo int")
     common = windows.groupBy("seed", "win").agg(F.count("*").alias("m")).where("m > 1").select("seed", "win")
     dense = windows.where("n = 1").join(common, ["seed", "win"]).select("doc_id", "lo", F.col("lo").alias("hi"))
     return spans.unionByName(light).unionByName(dense).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

@@ -37,33 +37,44 @@ class RunIndex:
         self.run_symbols, self.run_lengths = before[self.heads], np.diff(np.append(self.heads, self.n))
 
     def _order(self) -> None:
-        """Prefix doubling; the ranks of each doubling are kept to compare suffixes."""
-        n, rank = self.n, self.text
-        self.levels: list[tuple[int, np.ndarray]] = [(1, rank.astype(np.int32))]
-        self.order = np.argsort(rank, kind="stable")
-        h = 1
-        while n:
-            top = int(rank.max()) + 2
-            key = rank * top
-            key[: n - h] += rank[h:] + 1
+        """Prefix doubling from packed symbols; the ranks of each doubling are kept to compare suffixes."""
+        n = self.n
+        self.levels: list[tuple[int, np.ndarray]] = [(1, self.text.astype(np.int32))]
+        self.order = np.zeros(0, np.int64)
+        if not n:
+            return
+        bits = int(self.text.max() + 1).bit_length()
+        h = max(1, 62 // bits)
+        padded = np.concatenate([self.text + 1, np.zeros(h, np.int64)])
+        key = np.zeros(n, np.int64)
+        for k in range(h):
+            key = key << bits | padded[k : n + k]
+        while True:
             self.order = np.argsort(key)
-            sorted_key = key[self.order]
+            key = key[self.order]
             rank = np.empty(n, np.int64)
-            rank[self.order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
-            h *= 2
-            if int(rank.max()) + 1 >= n:
+            rank[self.order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+            top = int(rank[self.order[-1]]) + 2
+            if top > n:
                 return
             self.levels.append((h, rank.astype(np.int32)))
+            key = rank * top
+            key[: max(0, n - h)] += rank[h:] + 1
+            h *= 2
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at a and b."""
         a, b = a.copy(), b.copy()
         length = np.zeros(len(a), np.int64)
+        first = self.levels[1][0] if len(self.levels) > 1 else 62
         for h, rank in reversed(self.levels):
-            ok = (a < self.n) & (b < self.n)
-            same = np.zeros(len(a), bool)
-            same[ok] = rank[a[ok]] == rank[b[ok]]
-            a, b, length = a + h * same, b + h * same, length + h * same
+            for _ in range(first if h == 1 else 1):
+                ok = (a < self.n) & (b < self.n)
+                same = np.zeros(len(a), bool)
+                same[ok] = rank[a[ok]] == rank[b[ok]]
+                if not same.any():
+                    break
+                a, b, length = a + h * same, b + h * same, length + h * same
         return length
 
     def matching(self) -> np.ndarray:
