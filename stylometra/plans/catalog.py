@@ -359,7 +359,7 @@ def snk7_fingerprint(spark, d):
     return R.fingerprint(table(spark, d, "documents"), "doc_id", "lang", "source")
 
 
-@query(f"WITH {DIMS}, u AS (SELECT grp, grp::DOUBLE AS y, feature, avg(value) AS value FROM dims GROUP BY 1, 2, 3), f AS (SELECT a.grp AS fold, b.feature, regr_slope(b.value, b.y) AS b, regr_intercept(b.value, b.y) AS a, sqrt(greatest(regr_syy(b.value, b.y) - regr_sxy(b.value, b.y) ** 2 / regr_sxx(b.value, b.y), 1e-12) / (count(*) - 2)) AS s FROM (SELECT DISTINCT grp FROM u) a JOIN u b ON a.grp <> b.grp GROUP BY 1, 2), ll AS (SELECT u.grp, u.y, g.range * 0.25 AS d, sum(-ln(f.s) - 0.5 * ((u.value - f.a - f.b * g.range * 0.25) / f.s) ** 2) AS ll FROM u JOIN f ON u.grp = f.fold AND u.feature = f.feature CROSS JOIN range(-8, 48) g GROUP BY 1, 2, 3) SELECT grp, y, round(arg_max(d, round(ll, 9)), 6) AS pred FROM ll GROUP BY 1, 2")
+@query(f"WITH {DIMS}, u AS (SELECT grp, grp::DOUBLE AS y, feature, avg(value) AS value FROM dims GROUP BY 1, 2, 3), f AS (SELECT a.grp AS fold, b.feature, regr_slope(b.value, b.y) AS b, regr_intercept(b.value, b.y) AS a, sqrt(greatest(regr_syy(b.value, b.y) - regr_sxy(b.value, b.y) ** 2 / regr_sxx(b.value, b.y), 1e-12) / (count(*) - 2)) AS s FROM (SELECT DISTINCT grp FROM u) a JOIN u b ON a.grp <> b.grp GROUP BY 1, 2), ll AS (SELECT u.grp, u.y, g.range * 0.25::DOUBLE AS d, sum(-ln(f.s) - 0.5 * ((u.value - f.a - f.b * g.range * 0.25::DOUBLE) / f.s) ** 2) AS ll FROM u JOIN f ON u.grp = f.fold AND u.feature = f.feature CROSS JOIN range(-8, 48) g GROUP BY 1, 2, 3) SELECT grp, y, round(arg_max(d, round(ll, 9)), 6) AS pred FROM ll GROUP BY 1, 2")
 def md5_generative_loo(spark, d):
     u = dims(spark, d).groupBy("grp", "feature").agg(F.avg("value").alias("value")).withColumn("y", F.col("grp").cast("double"))
     grid = spark.range(-8, 48).select((F.col("id") * 0.25).alias("d"))
