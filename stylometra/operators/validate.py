@@ -91,3 +91,17 @@ def subsample(df: DataFrame, by: list[str], n: int, draws: int, seed: int = 0) -
 
 def p_value(null: DataFrame, observed: Column, statistic: str) -> Column:
     return (F.count(F.when(F.col(statistic) >= observed, 1)) + 1) / (F.count("*") + 1)
+
+
+def prefix_p(draws: DataFrame, order: str, hit: str, block: int = 1 << 14) -> DataFrame:
+    """Adds p, (hits + 1) / (draws + 1) over each prefix in the order of a distinct whole number.
+
+    Running counts are taken within blocks of the order key; only one row a block meets in the window over blocks.
+    """
+    b = draws.withColumn("_b", F.floor(F.col(order) / block)).withColumn("_h", F.col(hit).cast("long"))
+    blocks = b.groupBy("_b").agg(F.sum("_h").alias("h"), F.count("*").alias("n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select("_b", F.coalesce(F.sum("h").over(before), F.lit(0)).alias("_h0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"))
+    w = Window.partitionBy("_b").orderBy(order)
+    ran = b.withColumn("_hr", F.sum("_h").over(w)).withColumn("_nr", F.row_number().over(w))
+    return ran.join(base, "_b").withColumn("p", (F.col("_h0") + F.col("_hr") + 1) / (F.col("_n0") + F.col("_nr") + 1)).drop("_b", "_h", "_hr", "_nr", "_h0", "_n0")

@@ -1,8 +1,8 @@
-"""Registered queries and, where SQL can express them, their DuckDB SQL. Doubles are rounded to 6 places on both sides."""
+"""Feature, text, validation and model queries of the first wave."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -12,50 +12,7 @@ from ..operators import text as T
 from ..operators import validate as V
 from ..sources import tables as R
 from ..sources.tables import table
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(c, name: str):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
-
-
-def dims(spark: SparkSession, d: str) -> DataFrame:
-    """(row, grp, feature, value) of embeddings."""
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.col("label").alias("grp"), F.posexplode("embedding").alias("feature", "v")).select("row", "grp", "feature", F.col("v").cast("double").alias("value"))
-
-
-DIMS = "dims AS (SELECT vec_id AS row, label AS grp, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings)"
-SENT = "sents AS (SELECT doc_id, source, lang, list_filter(list_transform(regexp_split_to_array(text, '[.;\\n]+'), lambda s: trim(s, ' ')), lambda s: s <> '') AS ss FROM documents), sx AS (SELECT doc_id, source, lang, generate_subscripts(ss, 1) - 1 AS sent_no, unnest(ss) AS sentence FROM sents)"
-TOK = SENT + ", tw AS (SELECT doc_id, source, lang, sent_no, list_filter(list_transform(regexp_split_to_array(lower(sentence), '\\s+'), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda w: w <> '') AS ws FROM sx), tok AS (SELECT doc_id, source, lang, sent_no, generate_subscripts(ws, 1) - 1 AS tok_no, unnest(ws) AS token FROM tw)"
-Y = "cast(regexp_extract(source, '[0-9]+') AS DOUBLE)"
-
-
-def unit_year():
-    return F.regexp_extract("source", "[0-9]+", 0).cast("double")
-
-
-def rates_by_source(spark, d):
-    """(grp, y, feature, value): rates per 1000 tokens of each source."""
-    toks = T.tokens(table(spark, d, "documents"), "source")
-    c = toks.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("token").alias("types"), F.sum(F.length("token")).alias("chars"), F.count_if(F.length("token") <= 3).alias("short"), F.count_if(F.col("token").rlike("(?:tion|ung|ment|aux)$")).alias("suffix"))
-    f = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), e.alias("value")) for k, e in (("short_rate", F.col("short") * 1000.0 / F.col("n")), ("suffix_rate", F.col("suffix") * 1000.0 / F.col("n")), ("token_length", F.col("chars") / F.col("n")), ("type_share", F.col("types") / F.col("n")))]))
-    return c.select(F.col("source").alias("grp"), unit_year().alias("y"), f.alias("f")).select("grp", "y", "f.*")
-
-
-RATES = TOK + f", c AS (SELECT source, count(*) AS n, count(DISTINCT token) AS types, sum(length(token)) AS chars, count(*) FILTER (length(token) <= 3) AS short, count(*) FILTER (regexp_matches(token, '(?:tion|ung|ment|aux)$')) AS suffix FROM tok GROUP BY source), rates AS (SELECT source AS grp, {Y} AS y, unnest(['short_rate','suffix_rate','token_length','type_share']) AS feature, unnest([short * 1000.0 / n, suffix * 1000.0 / n, chars / n, types / n]) AS value FROM c)"
-RANKS = "(SELECT *, rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {by} ORDER BY {y}) + (count(*) OVER (PARTITION BY {by}, {y}) - 1) / 2.0 AS ry FROM {t})"
+from .registry import DIMS, ORACLE_SQL, QUERIES, RANKS, RATES, SENT, TOK, Y, dims, query, r6, rates_by_source, unit_year  # noqa: F401
 
 
 @query(f"WITH {RATES} SELECT feature, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM {RANKS.format(by='feature', x='v', y='y', t='(SELECT *, round(value, 9) AS v FROM rates)')} GROUP BY feature")
@@ -190,10 +147,10 @@ def ag14_loo_sign(spark, d):
     return X.leave_one_out_signs(g).select("feature", r6("r_all", "r_all"), r6("same_sign", "same_sign"))
 
 
-@query("WITH p AS (SELECT p_partkey AS feature, (p_partkey * 37 % 1000) * (p_partkey * 37 % 1000) / 1e6 / 20 AS p FROM part WHERE p_size <= 10), r AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS rank, count(*) OVER () AS m FROM p) SELECT feature, rank, rank <= (SELECT coalesce(max(rank), 0) FROM r WHERE p <= rank / m * 0.05) AS accepted FROM r")
+@query("WITH p AS (SELECT p_partkey AS feature, (p_partkey * 37 % 1000) * (p_partkey * 37 % 1000) / 1e6 / 20 AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS rank, count(*) OVER () AS m FROM p) SELECT feature, rank, rank <= (SELECT coalesce(max(rank), 0) FROM r WHERE p <= rank / m * 0.05) AS accepted FROM r")
 def ag17_step_up(spark, d):
     x = F.col("p_partkey") * 37 % 1000
-    p = table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("feature"), (x * x / 1e6 / 20).alias("p"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("feature"), (x * x / 1e6 / 20).alias("p"))
     return X.step_up(p, 0.05).select("feature", F.col("rank").cast("long").alias("rank"), "accepted")
 
 
@@ -223,7 +180,7 @@ def ag26_auc(spark, d):
 def ag30_entropy(spark, d):
     c = T.tokens(table(spark, d, "documents"), "lang").groupBy("lang", "token").agg(F.count("*").alias("n"))
     total = c.groupBy("lang").agg(F.sum("n").alias("t"))
-    p = c.join(F.broadcast(total), "lang").withColumn("p", F.col("n") / F.col("t"))
+    p = c.join(total, "lang").withColumn("p", F.col("n") / F.col("t"))
     return p.groupBy("lang").agg(F.count("*").alias("types"), r6(F.sum(-F.col("p") * F.ln("p")), "entropy"))
 
 
@@ -303,10 +260,9 @@ def wn13_chunker(spark, d):
     return _chunks(spark, d).groupBy("doc_id", F.col("chunk").cast("long").alias("chunk")).agg(F.count("*").alias("n_sents"), F.sum("n").alias("n_words"))
 
 
-@query("SELECT event_id, round((sum((value >= 100)::INT) OVER (ORDER BY event_id) + 1) / (row_number() OVER (ORDER BY event_id) + 1), 6) AS p FROM events WHERE event_id < 300")
+@query("SELECT event_id, round((sum((value >= 100)::INT) OVER (ORDER BY event_id) + 1) / (row_number() OVER (ORDER BY event_id) + 1), 6) AS p FROM events")
 def wn16_prefix_p(spark, d):
-    w = Window.orderBy("event_id")  # draws of a resampling run: a few hundred rows
-    return table(spark, d, "events").where("event_id < 300").select("event_id", r6((F.sum((F.col("value") >= 100).cast("int")).over(w) + 1) / (F.row_number().over(w) + 1), "p"))
+    return V.prefix_p(table(spark, d, "events").select("event_id", (F.col("value") >= 100).alias("hit")), "event_id", "hit").select("event_id", r6("p", "p"))
 
 
 @query("SELECT doc_id, length(strip_accents(text)) AS n, sha256(strip_accents(text)) AS digest FROM documents")
@@ -326,9 +282,9 @@ def sc8_quote_filter(spark, d):
 def sc9_char3(spark, d):
     g = table(spark, d, "documents").select("lang", F.explode(T.char_ngrams(F.col("text"), 3)).alias("gram"))
     c = g.groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang")
-    r = c.withColumn("k", F.row_number().over(w.orderBy(F.desc("n"), "gram"))).withColumn("t", F.sum("n").over(w))
-    return r.where("k <= 50").select("lang", "gram", "n", r6(F.col("n") * 1000.0 / F.col("t"), "rate"))
+    total = c.groupBy("lang").agg(F.sum("n").alias("t"))
+    top = c.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where("k <= 50")
+    return top.join(total, "lang").select("lang", "gram", "n", r6(F.col("n") * 1000.0 / F.col("t"), "rate"))
 
 
 @query(f"WITH {TOK} SELECT doc_id, count(*) AS n_tok, round(count(*) FILTER (regexp_matches(token, '(?:tion|ment)$')) * 1000.0 / count(*), 6) AS noun, round(count(*) FILTER (regexp_matches(token, '(?:ung|keit|heit)$')) * 1000.0 / count(*), 6) AS abstr, round(count(*) FILTER (token IN ('the','la','el','der','die','das','le')) * 1000.0 / count(*), 6) AS article, round(count(DISTINCT token) / count(*), 6) AS ttr FROM tok GROUP BY doc_id")
