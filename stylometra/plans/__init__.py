@@ -1,0 +1,3 @@
+"""Registered queries: importing this package fills the registry."""
+
+from . import catalog, relational  # noqa: F401
