@@ -98,12 +98,24 @@ def leave_one_out_signs(groups: DataFrame, x: str = "value", y: str = "y") -> Da
     return loo.join(whole, "feature").groupBy("feature").agg(F.first("r_all").alias("r_all"), F.avg((F.signum("r") == F.signum("r_all")).cast("int")).alias("same_sign"))
 
 
+def global_rank(df: DataFrame, value: str, tie: str, blocks: int = 64) -> DataFrame:
+    """Adds rank, 1 for the least (value, tie) of the whole table. Rows are ranked within blocks between quantiles of the value; only counts of blocks meet."""
+    cuts = df.agg(F.percentile_approx(value, [k / blocks for k in range(1, blocks)], 10000).alias("c")).first()["c"] or []
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    b = df.withColumn("_b", F.size(F.filter(edges, lambda c: c < F.col(value))))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = b.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    ranked = b.withColumn("rank", F.row_number().over(Window.partitionBy("_b").orderBy(value, tie)))
+    return ranked.join(F.broadcast(base), "_b").withColumn("rank", F.col("rank") + F.col("_n0")).drop("_b", "_n0")  # at most `blocks` rows
+
+
 def step_up(p: DataFrame, q: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg over (feature, p): adds rank and accepted. The largest accepted rank counts for all below."""
-    n = p.where("p IS NOT NULL").agg(F.count("*").alias("m"))
-    ranked = p.where("p IS NOT NULL").withColumn("rank", F.row_number().over(Window.orderBy("p", "feature")))
-    top = ranked.crossJoin(F.broadcast(n)).where(F.col("p") <= F.col("rank") / F.col("m") * q).agg(F.coalesce(F.max("rank"), F.lit(0)).alias("top"))
-    return ranked.crossJoin(F.broadcast(top)).withColumn("accepted", F.col("rank") <= F.col("top")).drop("top")
+    """Benjamini-Hochberg over (feature, p): adds rank and accepted. The largest accepted rank counts for all below. Null p are left out."""
+    known = p.where("p IS NOT NULL")
+    m = known.count()
+    ranked = global_rank(known, "p", "feature")
+    top = ranked.agg(F.coalesce(F.max(F.when(F.col("p") <= F.col("rank") / F.lit(m) * q, F.col("rank"))), F.lit(0)).alias("top"))
+    return ranked.crossJoin(F.broadcast(top)).withColumn("accepted", F.col("rank") <= F.col("top")).drop("top")  # top is one row
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
