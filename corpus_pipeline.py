@@ -53,13 +53,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by [SECRET]; every document stays."""
+    """Secrets are replaced by [SECRET]; every document stays. Spans meet texts by their content, so null and repeated doc_ids are safe."""
     import pyarrow as pa
 
     own = _columns(docs)
     names, place = own.columns, own.columns.index("text")
-    found = secrets.findings(docs)[0].where("spans <> ''").select("doc_id", "spans").dropDuplicates(["doc_id", "spans"])
-    joined = own.join(found.groupBy("doc_id").agg(F.max("spans").alias("spans")), "doc_id", "left").select(*names, "spans")
+    found = secrets.findings(docs)[1].where("spans <> ''").select("blob", "spans")  # one row for each text that has a secret
+    blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    joined = own.withColumn("blob", blob).join(found, "blob", "left").select(*names, "spans")
 
     def run(batches):
         for batch in batches:

@@ -40,6 +40,21 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Keys up to this one stand for documents without a doc_id.
+NO_ID = -(1 << 62)
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """texts(docs) with a key in place of a null doc_id, made from the text: equal texts share it, others don't. Own doc_ids must be above NO_ID."""
+    made = F.lit(NO_ID) - F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    return texts(docs).withColumn("doc_id", F.coalesce("doc_id", made))
+
+
+def without_keys(df: DataFrame) -> DataFrame:
+    """Null again for the keys that keyed_texts made."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") > NO_ID, F.col("doc_id")))
+
+
 def environment_path(name: str) -> str:
     """Path of a public tokenizer file; STYLOMETRA_TOKENIZERS overrides the folder."""
     folder = os.environ.get("STYLOMETRA_TOKENIZERS")

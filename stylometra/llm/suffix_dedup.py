@@ -8,6 +8,7 @@ in one block with its copies.
 
 Nulls and empty texts have no bytes; texts shorter than the length are kept whole; repeated rows count as copies; an
 empty table gives an empty result; other columns than doc_id and text are not read.
+Rows without a doc_id are documents of their own. Rows of one doc_id must have one text: spans are found by doc_id.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import keyed_texts, without_keys
 from .repeats import Scheme, covered, repeated_windows
 
 
@@ -105,8 +106,8 @@ def scheme(length: int = 400) -> Scheme:
 
 
 def duplicate_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, spans: array of (lo, hi)): first and last byte offsets at which strings of so many bytes start that start elsewhere too."""
-    return repeated_windows(texts(docs), scheme(length), resolve)
+    """(doc_id, spans: array of (lo, hi), a null doc_id replaced by a key): first and last byte offsets at which strings of so many bytes start that start elsewhere too."""
+    return repeated_windows(keyed_texts(docs), scheme(length), resolve)
 
 
 def _kept(length: int):
@@ -129,5 +130,5 @@ def _kept(length: int):
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the bytes in no repeated string."""
-    base = texts(docs)
-    return base.join(duplicate_spans(docs, length), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    base = keyed_texts(docs)
+    return without_keys(base.join(duplicate_spans(docs, length), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))

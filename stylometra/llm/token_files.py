@@ -9,7 +9,8 @@ Format of a file, all integers little-endian: magic "STK1"; then blocks, each of
 Files hold the documents in ascending doc_id order, one file for each range. A file is written under a name of its
 attempt and renamed, so a task that runs again replaces it.
 
-Null texts count as empty (only the end id); equal doc_ids are ordered as they come; other columns than doc_id and text
+Null texts count as empty (only the end id); equal doc_ids are ordered as they come; documents without
+a doc_id come first, under the least i64; other columns than doc_id and text
 are not read; an empty table gives no files and an empty result.
 """
 
@@ -29,6 +30,7 @@ from .bpe import byte_letters, groups, read_vocabulary
 from .common import materialize, shared_dir, texts
 from .pretokens import Pieces
 
+NO_DOC = -(1 << 63)
 MAGIC = b"STK1"
 #: Ids in a block.
 BLOCK_IDS = 2_000_000
@@ -157,7 +159,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
         store.move(temporary, f"{top}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([docs_in], pa.int64()), pa.array([ids_in], pa.int64())], names=["file", "first_doc_id", "documents", "ids"])
 
-    ordered = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC))).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     return materialize(ordered.mapInArrow(run, "file string, first_doc_id long, documents long, ids long"), "token-files")
 
 
@@ -181,7 +183,8 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids binary"
     if not base:
         return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").load([f"{folder}/{f}" for f in base]).select("path", "content").mapInArrow(run, schema)
+    rows = spark.read.format("binaryFile").load([f"{folder}/{f}" for f in base]).select("path", "content").mapInArrow(run, schema)
+    return rows.withColumn("doc_id", F.when(F.col("doc_id") != NO_DOC, F.col("doc_id")))
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:

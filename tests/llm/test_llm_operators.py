@@ -220,3 +220,38 @@ def test_pipeline(spark):
 
 def test_queries_are_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+@pytest.fixture(scope="module")
+def holes(spark, tmp_path_factory):
+    """A folder of tables with nulls in every column, repeated rows, and columns that clash with names inside operators."""
+    folder = f"file://{tmp_path_factory.mktemp('holes')}"
+    rows = [(None, BASE, None, None, None, 1, 2, "s"), (None,) * 8, (3, BASE, "en", "src1", 5, 1, 1, "x"), (3, BASE, "en", "src1", 5, 1, 1, "x"), (4, None, "fr", None, None, 2, 1, None), (5, "", None, "src2", 0, 3, 1, "y"), (7, "token = 'abc123XYZ' " + BASE, "en", "src3", 3, 1, 1, "z"), (None, "secret: hunter2hunter2 " + " ".join(WORDS), "en", None, None, 1, 2, "s")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(folder + "/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (5, 0, 1), (None, 1, None), (4, None, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_nulls_in_every_column(spark, holes, name):
+    out = queries.QUERIES[name](spark, holes).collect()
+    assert {r["doc_id"] for r in out} == {None, 3, 4, 5, 7}
+    if name in ("op9_substring_dedup", "op10_suffix_dedup"):
+        size, gone = (1, 2)
+        for r in out:  # the text of 3 also stands under no doc_id and in 7
+            if r["doc_id"] == 3:
+                assert r[size] == r[gone] > 0
+        assert sorted(r[gone] > 0 for r in out if r["doc_id"] is None) == [False, False, True]
+    if name == "op6_token_files":
+        assert [r["doc_id"] for r in sorted(out, key=lambda r: (r["start"], r["n_tokens"]))][:3] == [None] * 3
+    if name == "op4_order_minhash":
+        assert all(r["class_id"] is None and r["n_links"] == 0 for r in out if r["doc_id"] is None)
+
+
+def test_pipeline_stages_keep_documents_without_an_id(spark, holes):
+    docs = spark.read.parquet(holes + "/documents.parquet")
+    near = corpus_pipeline.near_duplicates(spark, docs, holes)
+    assert near.where("doc_id IS NULL").count() == 3 and near.columns == corpus_pipeline.COLUMNS
+    clean = {(r.doc_id, r.text) for r in corpus_pipeline.secret_spans(spark, docs, holes).collect()}
+    assert (None, "[SECRET] " + " ".join(WORDS)) in clean and (7, "[SECRET]' " + BASE) in clean and (3, BASE) in clean and (4, None) in clean
+    assert corpus_pipeline.mixture(spark, docs, holes).where("doc_id IS NULL").select("text").distinct().count() == 3
