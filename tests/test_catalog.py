@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from stylometra.plans import catalog
+import stylometra.plans  # noqa: F401  (fills the registry)
+from stylometra.plans import registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,14 +22,14 @@ def cell(v):
     return f"{float(v):.6g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DIR)
+    df = registry.QUERIES[name](spark, DIR)
     rows = df.collect()
-    if name not in catalog.ORACLE_SQL:
+    if name not in registry.ORACLE_SQL:
         assert rows
         return
-    want = duck.sql(catalog.ORACLE_SQL[name])
+    want = duck.sql(registry.ORACLE_SQL[name])
     cols = sorted(want.columns)
     assert cols == sorted(df.columns)
     at = [want.columns.index(c) for c in cols]
