@@ -125,8 +125,11 @@ def principal_parts(df: DataFrame, group: str, vector: str, y: str, k: int) -> D
     return df.sparkSession.createDataFrame(rows, "part int, share double, loadings array<double>")
 
 
-def mvn_posterior(units: DataFrame, group: str, vector: str, y: str, grid: list[float], shrink: float = 0.1, prior: tuple[float, float] | None = None) -> DataFrame:
-    """(grp, y, point, sd): each group's mean vector placed on the grid by lines and a full residual covariance (shrunk by shrink x trace / K) fitted without it."""
+def mvn_posterior(units: DataFrame, group: str, vector: str, y: str, grid: list[float], shrink: float = 0.1, prior: tuple[float, float] | None = None, predictive: bool = False, inflate: float = 1.0) -> DataFrame:
+    """(grp, y, point, sd): each group's mean vector placed on the grid by lines and a full residual covariance (shrunk by shrink x trace / K) fitted without it.
+
+    predictive: the covariance at a date is multiplied by 1 + 1/n + (date - mean)^2 / Sxx, with its determinant. inflate: a constant factor of the covariance.
+    """
     grams, out = group_grams(units, group, vector, y), []
     for g, own in grams.items() if len(grams) > 1 else []:
         n, m, c, cy, my = moments(sum(v for h, v in grams.items() if h != g))
@@ -136,7 +139,8 @@ def mvn_posterior(units: DataFrame, group: str, vector: str, y: str, grid: list[
         inv = np.linalg.inv(s + shrink * np.trace(s) / len(s) * np.eye(len(s)))
         x, d = own[0, 1:-1] / own[0, 0], np.array(grid)
         e = x - m - np.outer(d - my, b)
-        ll = -0.5 * np.einsum("ij,jk,ik->i", e, inv, e)
+        h = inflate * (1 + 1 / n + (d - my) ** 2 / (n * vy) if predictive and vy > 0 else np.ones(len(d)))
+        ll = -0.5 * np.einsum("ij,jk,ik->i", e, inv, e) / h - 0.5 * len(inv) * np.log(h)
         if prior:
             ll = ll - 0.5 * ((d - prior[0]) / prior[1]) ** 2
         p = np.exp(ll - ll.max())

@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import catalog, linguistic, modelling, relational  # noqa: F401
+from . import catalog, linguistic, modelling, relational, sampling  # noqa: F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,62 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir (shared by all executors); a folder of our own only where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = f"file://{tempfile.mkdtemp(prefix='stylometra-')}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/stylometra/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def resolve(spark: SparkSession, name: str, folders: list[str], variable: str | None = None) -> str:
+    """The path of name in the first folder that has it; a folder in the environment variable goes first; FileNotFoundError if none has it."""
+    own = os.environ.get(variable) if variable else None
+    for folder in ([own] if own else []) + folders:
+        if exists(spark, f"{folder.rstrip('/')}/{name}"):
+            return f"{folder.rstrip('/')}/{name}"
+    raise FileNotFoundError(f"{name} is in none of {folders}")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with a header. Without a schema the types are inferred, which reads the files twice."""
+    reader = spark.read.option("header", True)
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+
+
+def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
+    """CSV with a header, one file for each partition; digits: significant digits of doubles and floats, else the shortest exact form."""
+    form = lambda f: F.format_string(f"%.{digits - 1}e", F.col(f"`{f.name}`").cast("double"))
+    real = lambda f: digits and f.dataType.typeName() in ("double", "float")
+    df.select(*[F.when(F.col(f"`{f.name}`").isNotNull(), form(f)).alias(f.name) if real(f) else F.col(f"`{f.name}`") for f in df.schema]).write.option("header", True).csv(path)
+
+
+def append_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
+
+
+def write_entries(df: DataFrame, key: str, text: str, path: str) -> None:
+    """Texts as text files in one folder for each key (path/texts/key=...), all other columns as JSON lines in path/meta. For tables of works, not of passages."""
+    df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("value")).repartition(key).write.partitionBy(key).text(f"{path}/texts")
+    df.drop(text).write.json(f"{path}/meta")
+
+
+def save_matrix(df: DataFrame, row: str, vector: str, path: str) -> None:
+    """One line for each row: its key, then its numbers, between blanks; doubles are exact."""
+    df.select(F.concat_ws(" ", F.col(row).cast("string"), F.array_join(F.transform(vector, lambda x: x.cast("double").cast("string")), " ")).alias("value")).write.text(path)
+
+
+def load_matrix(spark: SparkSession, path: str) -> DataFrame:
+    parts = F.split("value", " ")
+    return spark.read.text(path).select(parts[0].cast("long").alias("row"), F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda x: x.cast("double")).alias("vector"))
+
+
 def manifest(spark: SparkSession, path: str, groups: dict[str, bool]) -> DataFrame:
     """A JSON object of arrays: one row for each object of each group, with the group and its holdout flag."""
     whole = spark.read.option("multiLine", True).json(path)
@@ -26,7 +85,9 @@ def manifest(spark: SparkSession, path: str, groups: dict[str, bool]) -> DataFra
 
 
 def sentences(spark: SparkSession, path: str) -> DataFrame:
-    """One sentence a line, words between white space; empty lines are dropped."""
+    """One sentence a line, words between white space; empty lines are dropped; a missing path has no sentences."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "words array<string>")
     return spark.read.text(path).select(F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
 
 
