@@ -6,11 +6,15 @@ not only in content. Texts that share a sketch are candidates; a candidate pair
 words (diagonals within the greatest distance allowed) finds an edit similarity, 1 - distance / longer text's words, of
 at least `similarity`. Classes are the connected components of links.
 
-Equal texts are one node, so copies meet no alignment. Of the texts that share a sketch, each is a candidate with the
-first of them and with its neighbour when they are sorted by two further sketches, so groups are not expanded into all
-their pairs: texts that are close share several sketches and stand side by side in some of these orders. A text has at
-most two candidates for each sketch, and which links are found is a matter of chance as with any MinHash; README.md has
-the measured share.
+Texts of at least LONG_FROM words are sketched by k-mers of k words, texts of at most SHORT_TO words (also) by pairs of
+words; a pair within the threshold has both its texts in one of the two families. The first name of each sketch, one
+byte each, is the text's signature: pairs of which fewer than `agreeing` bytes agree are not aligned.
+
+Equal texts are one node, so copies meet no alignment. Each text that shares a sketch is first aligned with one leader
+of the group, drawn by hash. What one component of links holds needs no more alignment; of the groups that still have
+texts of several components all pairs across them are compared by signature (large groups in blocks, over many tasks),
+and those that pass are aligned: first the most alike of each text, then all that still lie in two components. So a pair
+is left out only if its texts share no sketch or too few bytes; README.md has the measured share.
 
 Null texts count as empty; empty texts are copies of each other; texts of fewer than k words have one k-mer, all their
 words; words are compared in lower case. Repeated doc_ids give one row. Documents without a doc_id belong to no class: each
@@ -29,19 +33,23 @@ from .common import BYTE_VALUES, Polynomial, chunks, materialize, mix64, texts,
 from .components import components
 from .repeats import joined
 
-WORDS, SIMILARITY, SAMPLES, LENGTH = 5, 0.8, 24, 2
+WORDS, SIMILARITY, SAMPLES, LENGTH, AGREEING = 3, 0.8, 48, 2, 5
+#: Words of texts in the family of long and of short texts; LONG_FROM is at most SIMILARITY times SHORT_TO + 1.
+LONG_FROM, SHORT_TO, SHORT_WORDS = 32, 40, 2
+#: Rows of a group of texts that are compared in one piece.
+BLOCK = 1000
 
 
-def sketches(blobs: list[bytes], k: int = WORDS, samples: int = SAMPLES, length: int = LENGTH) -> np.ndarray:
-    """A 64-bit sketch for each sample (column) of each text (row)."""
+def sketches(blobs: list[bytes], k: int = WORDS, samples: int = SAMPLES, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit sketch and a byte of the signature for each sample (column) of each text (row), and the texts' words."""
     data, starts, ends = joined(blobs)
     a, b = word_bounds(data)
     words = Polynomial(BYTE_VALUES[data]).slices(a, b)
     first, last = np.searchsorted(a, starts), np.searchsorted(a, ends)
-    out = np.zeros((len(blobs), samples), np.uint64)
+    out, signature = np.zeros((len(blobs), samples), np.uint64), np.zeros((len(blobs), samples), np.uint8)
     some = np.flatnonzero(last > first)
     if not len(some):
-        return out
+        return out, signature, last - first
     count = np.maximum(last - first - k + 1, 1)[some]  # k-mers of each text
     begin = np.cumsum(count) - count
     owner = np.repeat(np.arange(len(some)), count)
@@ -71,13 +79,14 @@ def sketches(blobs: list[bytes], k: int = WORDS, samples: int = SAMPLES, length:
             names.append(grams[hit])
             h[hit] = worst
         where, what = np.stack(taken), np.stack(names)
+        signature[some, s] = what[0] & np.uint64(255)
         order = np.argsort(where, axis=0, kind="stable")
         what = np.take_along_axis(what, order, axis=0)
         value = np.full(len(some), s + 1, np.uint64)
         for row in what:
             value = mix64(value * np.uint64(0x100000001B3) ^ row)
         out[some, s] = value
-    return out
+    return out, signature, last - first
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -127,6 +136,31 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """banded_distance by bit vectors of a column of the alignment (Myers, Hyyrö): for wide bands."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most or not n or not m:
+        return min(max(n, m), most + 1)
+    places: dict = {}
+    for i, x in enumerate(a.tolist()):
+        places.setdefault(x, []).append(i)
+    equal = {x: sum(1 << i for i in at) for x, at in places.items()}
+    whole, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, left = whole, 0, n, m
+    for y in b.tolist():
+        e = equal.get(y, 0)
+        v = e | down
+        h = (((e & up) + up) ^ up) | e
+        more, less = (down | ~(h | up)) & whole, up & h
+        score += 1 if more & last else -1 if less & last else 0
+        left -= 1
+        if score - left > most:
+            return most + 1
+        more, less = (more << 1) | 1, less << 1
+        up, down = (less | ~(v | more)) & whole, more & v & whole
+    return score
+
+
 def symbols_of(text: str) -> np.ndarray:
     data, _, _ = joined([text.lower().encode()])
     a, b = word_bounds(data)
@@ -172,7 +206,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, k: int
     common = int(np.minimum(*_counts(np.sort(a), np.sort(b))).sum()) if len(a) and len(b) else 0
     if longer - common > most:
         return False
-    return anchored_distance(a, b, k) <= most or banded_distance(a, b, most) <= most
+    return anchored_distance(a, b, k) <= most or (banded_distance if most < 8 else edit_distance)(a, b, most) <= most
 
 
 def _counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,9 +218,16 @@ def _sketched(k: int, samples: int, length: int):
     def run(batches):
         for ids, blobs in chunks(batches, 2_000_000):
             lower = [x.decode().lower().encode() for x in blobs]
-            flat = sketches(lower, k, samples, length).view(np.int64)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, samples, dtype=np.int32)), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), rows], names=["node", "sketch"])
+            n, nodes = np.array([len(x.split()) for x in lower]), np.array(ids, np.int64)
+            for family, own in enumerate((n >= LONG_FROM, n <= SHORT_TO)):
+                at = np.flatnonzero(own)
+                if not len(at):
+                    continue
+                flat, signature, words = sketches([lower[i] for i in at], SHORT_WORDS if family else k, samples, length)
+                flat[flat != 0] ^= np.uint64(family)  # the families share no group
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, samples, dtype=np.int32)), pa.array(flat.view(np.int64).ravel()))
+                marks = pa.array([x.tobytes() for x in signature], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(np.full(len(at), family, np.int32)), pa.array(words.astype(np.int32)), rows, marks], names=["node", "family", "words", "sketch", "signature"])
 
     return run
 
@@ -207,56 +248,138 @@ def _verified(similarity: float, k: int):
     return run
 
 
-def _neighbours(batches):
-    """Pairs of consecutive nodes of the same bucket, in sorted rows (bucket, node)."""
-    bucket, node = None, None
-    for batch in batches:
-        own, nodes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if bucket is not None:
-            own, nodes = np.append(bucket, own), np.append(node, nodes)
-        if not len(own):
-            continue
-        at = np.flatnonzero((own[1:] == own[:-1]) & (nodes[1:] != nodes[:-1]))
-        bucket, node = own[-1], nodes[-1]
-        x, y = nodes[at], nodes[at + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-
-def candidates(nodes: DataFrame, k: int = WORDS, samples: int = SAMPLES, length: int = LENGTH, only: DataFrame | None = None) -> DataFrame:
-    """(a, b), a < b: of the nodes that share a sketch, each with the least node and with its neighbour in the order of two further sketches."""
-    sketched = nodes.mapInArrow(_sketched(k, samples, length), "node long, sketch array<long>")
-    if only is not None:  # sketches are joined, not texts
-        sketched = sketched.join(only.select(F.col("doc_id").alias("node")), "node", "left_semi")
-    turn = [(s, (s + 7) % samples, (s + 13) % samples) for s in range(samples)]
-    rows = F.array(*[F.struct(F.col("sketch")[s].alias("bucket"), F.col("sketch")[x].alias("x"), F.col("sketch")[y].alias("y")) for s, x, y in turn])
-    members = materialize(sketched.select("node", F.explode(rows).alias("m")).select("node", "m.*").where("bucket <> 0"), "members")
-    leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-    members = materialize(members.join(leaders, "bucket"), "members")
-    led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = members.select("bucket", "node", "x", "y").repartitionByRange(parts, "bucket", "x", "y", "node").sortWithinPartitions("bucket", "x", "y", "node")
-    beside = ordered.select("bucket", "node").mapInArrow(_neighbours, "a long, b long")
-    return materialize(led.unionByName(beside).distinct(), "pairs")
-
-
-def links(nodes: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = LENGTH, only: DataFrame | None = None) -> DataFrame:
-    """(a, b): verified links of nodes (doc_id, text), or of those in only (doc_id), which have different texts."""
-    pairs = candidates(nodes, k, samples, length, only)
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x == y).sum(axis=1).astype(np.int32)
+
+
+def _alike(similarity: float, agreeing: int):
+    """Of pairs with words and signatures of both, those that may reach the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+            agree = _agreement(x, y)
+            ok = (agree >= agreeing) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(agree[ok])], names=["a", "b", "agree"])
+
+    return run
+
+
+def _across(similarity: float, agreeing: int):
+    """Of rows sorted by (bucket, piece): the pairs of different roots in a piece that may reach the similarity."""
+
+    def pairs(rows):
+        bucket, piece, block, node, root, words = (np.concatenate([r[i] for r in rows]) for i in range(6))
+        marks = np.concatenate([r[6] for r in rows])
+        new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (piece[1:] != piece[:-1])))
+        size = np.diff(np.append(new, len(bucket)))
+        end = np.repeat(new + size, size)
+        for d in range(1, int(size.max())):
+            i = np.flatnonzero(np.arange(len(end)) + d < end) if d == 1 else i[i + d < end[i]]
+            j = i + d
+            ok = (root[i] != root[j]) & ((piece[i] == 0) | (block[i] != block[j]) | (piece[i] % PIECES == piece[i] // PIECES))
+            ok &= np.minimum(words[i], words[j]) >= similarity * np.maximum(words[i], words[j]) - 1e-9
+            x, y = i[ok], j[ok]
+            agree = _agreement(marks[x], marks[y])
+            x, y, agree = x[agree >= agreeing], y[agree >= agreeing], agree[agree >= agreeing]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(agree)], names=["a", "b", "agree"])
+
+    def run(batches):
+        rows, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            differs = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            cut = int(differs[-1]) + 1 if len(differs) else 0  # the last piece may go on in the next batch
+            if held and (rows[-1][0][-1] != now[0][0] or rows[-1][1][-1] != now[1][0]):
+                yield from pairs(rows)
+                rows = []
+            if cut:
+                yield from pairs([*rows, [c[:cut] for c in now]])
+                rows = []
+            rows.append([c[cut:] for c in now])
+            held = 1
+        if rows:
+            yield from pairs(rows)
+
+    return run
+
+
+#: Factor of the first block in the number of a piece.
+PIECES = 1 << 20
+
+
+def candidates(sketched: DataFrame, members: DataFrame, roots: DataFrame | None, similarity: float = SIMILARITY, agreeing: int = AGREEING) -> DataFrame:
+    """(a, b, agree), a < b: nodes that share a bucket and are alike by signature. Without roots each node with one leader of its bucket, else all pairs of different roots."""
+    marks = sketched.select("node", "family", "words", "signature")
+    if roots is None:
+        draw = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node"))
+        leaders = members.groupBy("bucket").agg(F.min(draw)["node"].alias("leader"))
+        led = members.join(leaders, "bucket").where("node <> leader").select("family", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        one, other = (marks.select("family", F.col("node").alias(x), F.col("words").alias(f"words_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab")
+        found = led.join(one, ["family", "a"]).join(other, ["family", "b"]).select("a", "b", "words_a", "words_b", "signature_a", "signature_b").mapInArrow(_alike(similarity, agreeing), "a long, b long, agree int")
+    else:
+        rooted = members.join(roots, "node", "left").select("bucket", "family", "node", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        own = rooted.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(marks, ["node", "family"])
+        lay = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * PIECES + F.greatest("block", o))
+        laid = own.withColumn("piece", F.explode(lay)).select("bucket", "piece", "block", "node", "root", "words", "signature")
+        found = laid.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece").mapInArrow(_across(similarity, agreeing), "a long, b long, agree int")
+    return materialize(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+
+
+def aligned(pairs: DataFrame, nodes: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(b, a, same) of pairs (a, b)."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    bodies = materialize(nodes.join(wanted, "doc_id", "left_semi"), "bodies")
+    bodies = nodes.join(wanted, "doc_id", "left_semi")
     left = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("t"))
     right = bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("u"))
-    checked = pairs.join(right, "b").join(left, "a").select("b", "a", "u", "t").mapInArrow(_verified(similarity, k), "b long, a long, same boolean")
-    return materialize(checked.where("same").select("a", "b"), "verified")
+    return materialize(pairs.select("a", "b").join(right, "b").join(left, "a").select("b", "a", "u", "t").mapInArrow(_verified(similarity, k), "b long, a long, same boolean"), "aligned")
 
 
-def classes(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = LENGTH) -> DataFrame:
-    """(doc_id, class_id, n_links): class_id is the least doc_id of the class; n_links counts links to different texts."""
+def links(nodes: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = LENGTH, agreeing: int = AGREEING, only: DataFrame | None = None) -> DataFrame:
+    """(a, b): verified links of nodes (doc_id, text), or of those in only (doc_id), which have different texts. They join all components; within one not every link is there."""
+    sketched = nodes.mapInArrow(_sketched(k, samples, length), "node long, family int, words int, sketch array<long>, signature binary")
+    if only is not None:  # sketches are joined, not texts
+        sketched = sketched.join(only.select(F.col("doc_id").alias("node")), "node", "left_semi")
+    sketched = materialize(sketched, "sketched")
+    every = sketched.select("node", "family", F.explode("sketch").alias("bucket")).where("bucket <> 0")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = materialize(every.join(shared, "bucket"), "members")
+    checked = aligned(candidates(sketched, members, None, similarity, agreeing), nodes, similarity, k)
+    found = checked.where("same").select("a", "b")
+    roots = components(found).withColumnRenamed("id", "node")
+    rest = candidates(sketched, members, roots, similarity, agreeing).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    for below in (1, samples):
+        ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+        rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "agree")
+        rest = materialize(rest, "rest")
+        if not rest.head(1):
+            break
+        best = rest.select(F.explode(F.array("a", "b")).alias("node"), "agree").groupBy("node").agg((F.max("agree") - below).alias("least"))
+        tops = [best.select(F.col("node").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab"]
+        now = rest.join(tops[0], "a").join(tops[1], "b").where("agree >= least(least_a, least_b)") if below < samples else rest
+        checked = aligned(now, nodes, similarity, k)
+        found = materialize(found.unionByName(checked.where("same").select("a", "b")), "verified")
+        if below < samples:
+            rest = rest.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            roots = components(found).withColumnRenamed("id", "node")
+    return found
+
+
+def classes(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = LENGTH, agreeing: int = AGREEING) -> DataFrame:
+    """(doc_id, class_id, n_links): class_id is the least doc_id of the class; n_links counts links to different texts (those that were aligned)."""
     base = texts(docs).where("doc_id IS NOT NULL")
     copies = materialize(base.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).groupBy("doc_id").agg(F.min("h").alias("h")), "copies")
     nodes = copies.groupBy("h").agg(F.min("doc_id").alias("node"))
     named = materialize(copies.join(nodes, "h").select("doc_id", "node"), "nodes")
-    found = links(base, k, similarity, samples, length, only=named.where("doc_id = node").select("doc_id"))
+    found = links(base, k, similarity, samples, length, agreeing, only=named.where("doc_id = node").select("doc_id"))
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     roots = components(found).select(F.col("id").alias("node"), "root")

@@ -255,3 +255,18 @@ def test_pipeline_stages_keep_documents_without_an_id(spark, holes):
     clean = {(r.doc_id, r.text) for r in corpus_pipeline.secret_spans(spark, docs, holes).collect()}
     assert (None, "[SECRET] " + " ".join(WORDS)) in clean and (7, "[SECRET]' " + BASE) in clean and (3, BASE) in clean and (4, None) in clean
     assert corpus_pipeline.mixture(spark, docs, holes).where("doc_id IS NULL").select("text").distinct().count() == 3
+
+
+def _scattered(words, share, draw):
+    out = list(words)
+    for i in draw.sample(range(len(out)), round(share * len(out))):
+        out[i] = f"new{draw.randint(0, 10**9)}"
+    return out
+
+
+def test_near_duplicates_of_a_source_that_are_not_alike(spark):
+    draw = random.Random(3)
+    source = [f"w{draw.randint(0, 10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(source if i == 150 else _scattered(source, 0.12, draw))) for i in range(300)]
+    got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and len(got) == 300
