@@ -270,3 +270,15 @@ def test_near_duplicates_of_a_source_that_are_not_alike(spark):
     rows = [(i, " ".join(source if i == 150 else _scattered(source, 0.12, draw))) for i in range(300)]
     got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {0} and len(got) == 300
+
+
+def test_recall_at_the_threshold(spark):
+    draw, rows = random.Random(4), []
+    for i in range(300):
+        words = [f"w{draw.randint(0, 10**6)}" for _ in range((10, 40, 200)[i % 3])]
+        changed = _scattered(words, 0.2, draw)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for part in range(3):
+        assert sum(got[2 * i + 1] == 2 * i for i in range(part, 300, 3)) >= 95
+    assert all(got[2 * i] == 2 * i for i in range(300))
