@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import draws as D
@@ -139,15 +140,20 @@ def md9_md10_md13_mvn_variants(spark, d):
 
 @query()
 def md22_forest(spark, d):
-    """Held-out class shares of a forest with balanced weights."""
+    """Class shares of each row by the forest of the folds that it is not in (five stratified folds), with balanced weights."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    e = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") >= 5).cast("double").alias("label"))
-    train = e.where("vec_id % 5 <> 0")
-    weight = train.groupBy("label").agg((F.lit(1.0) / F.count("*")).alias("w"))
-    forest = RandomForestClassifier(numTrees=50, featureSubsetStrategy="sqrt", weightCol="w", seed=1).fit(train.join(F.broadcast(weight), "label"))
-    return forest.transform(e.where("vec_id % 5 = 0")).select("vec_id", F.col("label").cast("int").alias("truth"), r6(vector_to_array("probability")[1], "prob"))
+    fold = F.pmod(F.row_number().over(Window.partitionBy("own").orderBy(F.xxhash64("vec_id"), "vec_id")), F.lit(5))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("own"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") >= 5).cast("double").alias("label")).withColumn("fold", fold).drop("own").cache()
+    out = None
+    for k in range(5):
+        train = e.where(F.col("fold") != k)
+        weight = train.groupBy("label").agg((F.lit(1.0) / F.count("*")).alias("w"))
+        forest = RandomForestClassifier(numTrees=500, featureSubsetStrategy="sqrt", weightCol="w", seed=1).fit(train.join(F.broadcast(weight), "label"))
+        part = forest.transform(e.where(F.col("fold") == k)).select("vec_id", F.col("label").cast("int").alias("truth"), r6(vector_to_array("probability")[1], "prob"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query()

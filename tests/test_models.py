@@ -104,3 +104,11 @@ def test_function_grams_skip_or_compact(spark):
     d = spark.createDataFrame([(0, i, t) for i, t in enumerate(["of", "cat", "the", "of"])], "s int, i int, token string")
     grams = lambda c: sorted(r["gram"] for r in linguistic.joined_grams(d, ["s"], ["i"], ["of", "the"], 2, c).collect())
     assert grams(False) == ["the·of"] and grams(True) == ["of·the", "the·of"]
+
+
+def test_forest_scores_every_row(spark):
+    from stylometra.plans import registry
+
+    rows = registry.QUERIES["md22_forest"](spark, "/root/testdata/sf0.001").select("vec_id").collect()
+    want = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id").collect()
+    assert sorted(r.vec_id for r in rows) == sorted(r.vec_id for r in want)
