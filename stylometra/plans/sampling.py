@@ -156,15 +156,20 @@ def md22_forest(spark, d):
     return out
 
 
-@query()
-def md23_word_vectors(spark, d):
-    """Skip-gram vectors of words: (word, size, norm)."""
+def word_vectors(toks, size: int = 1000, window: int = 15, min_count: int = 1, epochs: int = 100):
+    """(word, size, norm, vector) by skip-gram over toks (words); the defaults are the reference's."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
+    v = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=1, inputCol="words", outputCol="v").fit(toks).getVectors().select("word", vector_to_array("vector").alias("v"))
+    return v.select("word", F.size("v").cast("long").alias("size"), r6(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), "norm"), F.col("v").alias("vector"))
+
+
+@query()
+def md23_word_vectors(spark, d):
+    """Skip-gram vectors of all words, in fewer dimensions and epochs than the reference's (README.md has the figures)."""
     toks = T.sentences(table(spark, d, "documents")).select(F.split(F.lower("sentence"), r"\s+").alias("words"))
-    v = Word2Vec(vectorSize=8, minCount=5, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(toks).getVectors().select("word", vector_to_array("vector").alias("v"))
-    return v.select("word", F.size("v").cast("long").alias("size"), r6(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), "norm"))
+    return word_vectors(toks, size=8, epochs=1)
 
 
 @query("WITH " + TOK + ", g AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id, sent_no ORDER BY tok_no) AS b FROM tok), c AS (SELECT token, count(*) AS n FROM tok GROUP BY 1), p AS (SELECT a, b, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY 1, 2) SELECT a, b, p.n AS n, round((p.n - 5) * (SELECT count(*) FROM c)::DOUBLE / (ca.n::DOUBLE * cb.n), 6) AS score FROM p JOIN c ca ON ca.token = a JOIN c cb ON cb.token = b WHERE p.n >= 5 AND (p.n - 5) * (SELECT count(*) FROM c)::DOUBLE / (ca.n::DOUBLE * cb.n) > 10")

@@ -112,3 +112,11 @@ def test_forest_scores_every_row(spark):
     rows = registry.QUERIES["md22_forest"](spark, "/root/testdata/sf0.001").select("vec_id").collect()
     want = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id").collect()
     assert sorted(r.vec_id for r in rows) == sorted(r.vec_id for r in want)
+
+
+def test_word_vectors_of_words_seen_once(spark):
+    from stylometra.plans import sampling
+
+    toks = spark.createDataFrame([(["a", "b", "once"],), (["a", "b"],)], "words array<string>")
+    got = {r.word: r for r in sampling.word_vectors(toks, size=8, epochs=1).collect()}
+    assert set(got) == {"a", "b", "once"} and all(len(r.vector) == 8 for r in got.values())
