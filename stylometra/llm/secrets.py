@@ -24,11 +24,11 @@ RULES = (
     ("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"), 0, 1),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*[A-Za-z0-9+/=\s]*)"), 0, 1),
     ("forge", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})"), 0, 1),
     ("chat", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0, 1),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0, 1),
-    ("url", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@"), 0, 1),
+    ("url", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*:[^\s/]{3,}@"), 0, 1),
 )
 BASE = ("assign", "access", "hex")
 _HINTS = {"pem": "PRIVATE KEY", "access": "AKIA", "chat": "xox", "jwt": "eyJ", "url": "://"}

@@ -282,3 +282,12 @@ def test_recall_at_the_threshold(spark):
     for part in range(3):
         assert sum(got[2 * i + 1] == 2 * i for i in range(part, 300, 3)) >= 95
     assert all(got[2 * i] == 2 * i for i in range(300))
+
+
+def test_long_and_encrypted_secrets():
+    for url in ("redis://:hunter22@", "https://user:" + "x" * 300 + "@", "db://u:p@ss:word@"):
+        text = f"see {url}host/path"
+        assert secrets.redact(text, secrets.joined(secrets.scan(text))) == "see [SECRET]host/path"
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\nQUJD\nREVG\n-----END RSA PRIVATE KEY-----"
+    for text in (key, key[: key.index("\n-----END")]):
+        assert secrets.redact(text, secrets.joined(secrets.scan(text))) == "[SECRET]"
