@@ -7,86 +7,109 @@ words (diagonals within the greatest distance allowed) finds an edit similarity,
 at least `similarity`. Classes are the connected components of links.
 
 Texts of at least LONG_FROM words are sketched by k-mers of k words, texts of at most SHORT_TO words (also) by pairs of
-words; a pair within the threshold has both its texts in one of the two families. The first name of each sketch, one
-byte each, is the text's signature: pairs of which fewer than `agreeing` bytes agree are not aligned.
+words; a pair within the threshold has both its texts in one of the two families.
 
-Equal texts are one node, so copies meet no alignment. Each text that shares a sketch is first aligned with one leader
-of the group, drawn by hash. What one component of links holds needs no more alignment; of the groups that still have
-texts of several components all pairs across them are compared by signature (large groups in blocks, over many tasks),
-and those that pass are aligned: first the most alike of each text, then all that still lie in two components. So a pair
-is left out only if its texts share no sketch or too few bytes; README.md has the measured share.
+A text's marks decide which candidates are aligned: a byte of the first name of each sketch (pairs of which fewer than
+`agreeing` are equal are out), and for each of BINS parts of hash space a byte of the least word there, again by
+occurrence. Texts within the threshold share similarity / (2 - similarity) of all their words; pairs whose bins show
+less than that by three deviations are out.
+
+Equal texts are one node, so copies meet no alignment. In each group of a sketch (large ones in blocks) each text is
+first led to the text that agrees best with all of the block, and aligned with the best of its leaders. What one
+component of links holds needs no more alignment; of the groups that still have texts of several components all pairs
+across them are compared by their marks (large groups in blocks, over many tasks). Those that pass are aligned in
+rounds: the FIRST best of each text, more while that finds links, then all that still lie in two components. So a pair
+is left out only if its texts share no sketch or too few marks; README.md has the measured share.
 
 Null texts count as empty; empty texts are copies of each other; texts of fewer than k words have one k-mer, all their
-words; words are compared in lower case. Repeated doc_ids give one row. Documents without a doc_id belong to no class: each
-has a row with a null class_id and no link, and representatives keep them. Other columns are not read; an empty table gives
-an empty result.
+words; words are compared in lower case. Every row is a document: documents without a doc_id and rows that repeat a
+doc_id take part by their text. Other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Polynomial, chunks, materialize, mix64, texts, word_bounds
+from .common import BYTE_VALUES, NO_ID, Polynomial, chunks, materialize, mix64, texts, word_bounds
 from .components import components
 from .repeats import joined
 
-WORDS, SIMILARITY, SAMPLES, LENGTH, AGREEING = 3, 0.8, 48, 2, 5
+WORDS, SIMILARITY, SAMPLES, LENGTH, AGREEING, BINS = 3, 0.8, 48, 2, 5, 128
 #: Words of texts in the family of long and of short texts; LONG_FROM is at most SIMILARITY times SHORT_TO + 1.
 LONG_FROM, SHORT_TO, SHORT_WORDS = 32, 40, 2
 #: Rows of a group of texts that are compared in one piece.
 BLOCK = 1000
+#: Best candidates of a text that are aligned in the first and, if links were found, in the last round before all.
+FIRST, LAST = 2, 16
+#: Rows of a piece that are compared with all of it at once.
+STRIPE = 256
+#: Words of texts (8 bytes each) that a task keeps for the next pairs.
+HELD_WORDS = 4_000_000
+#: Bytes of text that are sketched at once: arrays of their words stay in a processor's cache.
+SKETCHED_BYTES = 400_000
+
+
+def occurrences(names: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each name came before in the text that owns it."""
+    key = names ^ mix64(owner.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    place = np.arange(len(order))
+    out = np.empty(len(order), np.uint64)
+    out[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    return out
 
 
 def sketches(blobs: list[bytes], k: int = WORDS, samples: int = SAMPLES, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit sketch and a byte of the signature for each sample (column) of each text (row), and the texts' words."""
+    """A 64-bit sketch for each sample (column) of each text (row), the texts' marks, and their words."""
     data, starts, ends = joined(blobs)
     a, b = word_bounds(data)
     words = Polynomial(BYTE_VALUES[data]).slices(a, b)
     first, last = np.searchsorted(a, starts), np.searchsorted(a, ends)
-    out, signature = np.zeros((len(blobs), samples), np.uint64), np.zeros((len(blobs), samples), np.uint8)
+    out, marks = np.zeros((len(blobs), samples), np.uint64), np.zeros((len(blobs), samples + BINS), np.uint8)
     some = np.flatnonzero(last > first)
     if not len(some):
-        return out, signature, last - first
+        return out, marks, last - first
+    owner = np.repeat(np.arange(len(blobs)), last - first)
+    labelled = mix64(words + occurrences(words, owner) * np.uint64(0x9E3779B97F4A7C15))
+    least = np.full(len(blobs) * BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    np.minimum.at(least, owner * BINS + (labelled >> np.uint64(40)).astype(np.int64) % BINS, labelled)
+    tags = (least % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    tags[least == np.uint64(0xFFFFFFFFFFFFFFFF)] = 0
+    marks[:, samples:] = tags.reshape(len(blobs), BINS)
+
     count = np.maximum(last - first - k + 1, 1)[some]  # k-mers of each text
     begin = np.cumsum(count) - count
     owner = np.repeat(np.arange(len(some)), count)
     at = np.repeat(first[some] - begin, count) + np.arange(int(count.sum()))
     grams = Polynomial(words).slices(at, np.minimum(at + k, last[some][owner]))
-    # the occurrence of each k-mer within its text
-    key = grams ^ mix64(owner.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order][1:] != key[order][:-1])
-    place = np.arange(len(order))
-    occurrence = np.empty(len(order), np.uint64)
-    occurrence[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-    grams = mix64(grams + occurrence * np.uint64(0x9E3779B97F4A7C15))
+    grams = mix64(grams + occurrences(grams, owner) * np.uint64(0x9E3779B97F4A7C15))
+    # the place of a k-mer stands in the low bits of its hash, so a least hash tells where it is
+    low = np.uint64((1 << max(1, int(len(grams) - 1).bit_length())) - 1)
+    place = np.arange(len(grams), dtype=np.uint64)
     salts = mix64(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-    worst = np.uint64(0xFFFFFFFFFFFFFFFF)
+    h, worst = np.empty_like(grams), np.uint64(0xFFFFFFFFFFFFFFFF)
     for s in range(samples):
-        h = grams * salts[s]
-        h ^= h >> np.uint64(32)
-        h *= salts[s]
-        taken, names = [], []
-        for _ in range(length):
-            low = np.minimum.reduceat(h, begin)
-            # low bits of equal hashes cannot matter: the k-mers of a text differ
-            hit = np.flatnonzero(h == low[owner])
-            hit = hit[np.append(True, owner[hit][1:] != owner[hit][:-1])]
-            taken.append(hit)
-            names.append(grams[hit])
-            h[hit] = worst
-        where, what = np.stack(taken), np.stack(names)
-        signature[some, s] = what[0] & np.uint64(255)
-        order = np.argsort(where, axis=0, kind="stable")
-        what = np.take_along_axis(what, order, axis=0)
+        np.multiply(grams, salts[s], out=h)
+        h &= ~low
+        h |= place
+        where = np.empty((length, len(some)), np.int64)
+        for row in where:
+            row[:] = np.minimum.reduceat(h, begin) & low
+            row[count < len(where)] = np.minimum(row, begin + count - 1)[count < len(where)]  # all k-mers of the text are taken
+            h[row] = worst
+        marks[some, s] = grams[where[0]] & np.uint64(255)
+        where.sort(axis=0)
         value = np.full(len(some), s + 1, np.uint64)
-        for row in what:
-            value = mix64(value * np.uint64(0x100000001B3) ^ row)
+        for row in where:
+            value = mix64(value * np.uint64(0x100000001B3) ^ grams[row])
         out[some, s] = value
-    return out, signature, last - first
+    return out, marks, last - first
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -201,95 +224,91 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, k: int
     """
     longer = max(len(a), len(b))
     most = int(np.floor((1 - similarity) * longer + 1e-9))
-    if abs(len(a) - len(b)) > most:
-        return False
-    common = int(np.minimum(*_counts(np.sort(a), np.sort(b))).sum()) if len(a) and len(b) else 0
-    if longer - common > most:
+    if abs(len(a) - len(b)) > most or longer - _common(a, b) > most:
         return False
     return anchored_distance(a, b, k) <= most or (banded_distance if most < 8 else edit_distance)(a, b, most) <= most
 
 
-def _counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    every = np.unique(np.concatenate([x, y]))
-    return (np.searchsorted(x, every, "right") - np.searchsorted(x, every)), (np.searchsorted(y, every, "right") - np.searchsorted(y, every))
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that both have, as often as both have them."""
+    both = np.concatenate([a, b])
+    side = np.zeros(len(both), np.int64)
+    side[: len(a)] = 1
+    order = np.argsort(both)
+    both, side = both[order], side[order]
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(both)))
+    from_a = np.add.reduceat(side, first) if len(first) else n
+    return int(np.minimum(from_a, n - from_a).sum())
 
 
 def _sketched(k: int, samples: int, length: int):
+    """(doc_id, text) to a row for each family of each text; of equal texts that meet in a task only the first is sketched."""
+
     def run(batches):
-        for ids, blobs in chunks(batches, 2_000_000):
-            lower = [x.decode().lower().encode() for x in blobs]
-            n, nodes = np.array([len(x.split()) for x in lower]), np.array(ids, np.int64)
+        seen: set[bytes] = set()
+        for _, blobs in chunks(batches, SKETCHED_BYTES):
+            fresh = {}
+            for x in blobs:
+                h = hashlib.sha256(x).digest()
+                if h not in seen:
+                    seen.add(h)
+                    fresh[h] = x.decode().lower().encode()
+            lower, digests = list(fresh.values()), np.array(list(fresh), object)
+            n = np.array([len(x.split()) for x in lower], np.int64)
             for family, own in enumerate((n >= LONG_FROM, n <= SHORT_TO)):
                 at = np.flatnonzero(own)
                 if not len(at):
                     continue
-                flat, signature, words = sketches([lower[i] for i in at], SHORT_WORDS if family else k, samples, length)
+                flat, marks, words = sketches([lower[i] for i in at], SHORT_WORDS if family else k, samples, length)
                 flat[flat != 0] ^= np.uint64(family)  # the families share no group
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, samples, dtype=np.int32)), pa.array(flat.view(np.int64).ravel()))
-                marks = pa.array([x.tobytes() for x in signature], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(np.full(len(at), family, np.int32)), pa.array(words.astype(np.int32)), rows, marks], names=["node", "family", "words", "sketch", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests[at].tolist(), pa.binary()), pa.array(np.full(len(at), family, np.int32)), pa.array(words.astype(np.int32)), rows, pa.array([x.tobytes() for x in marks], pa.binary())], names=["digest", "family", "words", "sketch", "marks"])
 
     return run
 
 
 def _verified(similarity: float, k: int):
     def run(batches):
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def own(node: int, text) -> np.ndarray:
+            nonlocal size
+            if node not in held:
+                if size > HELD_WORDS:
+                    held.clear()
+                    size = 0
+                held[node] = symbols_of(text.as_py())
+                size += len(held[node])
+            return held[node]
+
         for batch in batches:
-            last, kept = None, None
-            a, b, ok = [], [], []
-            for x, y, t, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if y != last:
-                    last, kept = y, symbols_of(u.as_py())
-                a.append(x)
-                b.append(y)
-                ok.append(similar(symbols_of(t.as_py()), kept, similarity, k))
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ok = [similar(own(x, t), own(y, u), similarity, k) for x, y, t, u in zip(a, b, batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["b", "a", "same"])
 
     return run
 
 
-def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x == y).sum(axis=1).astype(np.int32)
+def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, samples: int, similarity: float, agreeing: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of marks (rows) with their words: the indices of those that may reach the similarity, and how well they agree."""
+    at = np.flatnonzero(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+    agree = (x[at, :samples] == y[at, :samples]).sum(axis=1)
+    at, agree = at[agree >= agreeing], agree[agree >= agreeing]
+    p, q = x[at, samples:], y[at, samples:]
+    used = ((p | q) != 0).sum(axis=1)
+    same = ((p == q) & (p != 0)).sum(axis=1)
+    share = similarity / (2 - similarity)
+    ok = same >= used * share - 3 * np.sqrt(used * share * (1 - share))
+    return at[ok], (agree[ok] * 1000 + same[ok] * 1000 // np.maximum(used[ok], 1)).astype(np.int32)
 
 
-def _alike(similarity: float, agreeing: int):
-    """Of pairs with words and signatures of both, those that may reach the similarity."""
+def _pieces(samples: int):
+    """Rows sorted by (bucket, piece) to lists of columns, whole pieces only: bucket, piece, block, node, root, words, marks."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
-            agree = _agreement(x, y)
-            ok = (agree >= agreeing) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(agree[ok])], names=["a", "b", "agree"])
-
-    return run
-
-
-def _across(similarity: float, agreeing: int):
-    """Of rows sorted by (bucket, piece): the pairs of different roots in a piece that may reach the similarity."""
-
-    def pairs(rows):
-        bucket, piece, block, node, root, words = (np.concatenate([r[i] for r in rows]) for i in range(6))
-        marks = np.concatenate([r[6] for r in rows])
-        new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (piece[1:] != piece[:-1])))
-        size = np.diff(np.append(new, len(bucket)))
-        end = np.repeat(new + size, size)
-        for d in range(1, int(size.max())):
-            i = np.flatnonzero(np.arange(len(end)) + d < end) if d == 1 else i[i + d < end[i]]
-            j = i + d
-            ok = (root[i] != root[j]) & ((piece[i] == 0) | (block[i] != block[j]) | (piece[i] % PIECES == piece[i] // PIECES))
-            ok &= np.minimum(words[i], words[j]) >= similarity * np.maximum(words[i], words[j]) - 1e-9
-            x, y = i[ok], j[ok]
-            agree = _agreement(marks[x], marks[y])
-            x, y, agree = x[agree >= agreeing], y[agree >= agreeing], agree[agree >= agreeing]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(agree)], names=["a", "b", "agree"])
-
-    def run(batches):
-        rows, held = [], 0
+        rows = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -297,98 +316,218 @@ def _across(similarity: float, agreeing: int):
             now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             differs = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             cut = int(differs[-1]) + 1 if len(differs) else 0  # the last piece may go on in the next batch
-            if held and (rows[-1][0][-1] != now[0][0] or rows[-1][1][-1] != now[1][0]):
-                yield from pairs(rows)
+            if rows and (rows[-1][0][-1] != now[0][0] or rows[-1][1][-1] != now[1][0]):
+                yield [np.concatenate(c) for c in zip(*rows, strict=True)]
                 rows = []
             if cut:
-                yield from pairs([*rows, [c[:cut] for c in now]])
+                yield [np.concatenate(c) for c in zip(*rows, [c[:cut] for c in now], strict=True)]
                 rows = []
             rows.append([c[cut:] for c in now])
-            held = 1
         if rows:
-            yield from pairs(rows)
+            yield [np.concatenate(c) for c in zip(*rows, strict=True)]
+
+    return run
+
+
+def _pair_batch(x: np.ndarray, y: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(agree)], names=["a", "b", "agree"])
+
+
+def _bounds(bucket: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (piece[1:] != piece[:-1])))
+    return new, np.diff(np.append(new, len(bucket)))
+
+
+def _led(samples: int, similarity: float, agreeing: int):
+    """Of each piece the pairs of its leader, the text whose marks agree most with all of the piece, and another."""
+
+    def run(batches):
+        for bucket, piece, _, node, _, words, marks in _pieces(samples)(batches):
+            new, size = _bounds(bucket, piece)
+            lead = new.copy()
+            for g in np.flatnonzero(size > 2).tolist():
+                own = marks[new[g] : new[g] + size[g], :samples]
+                held = np.zeros((256, samples), np.int32)
+                np.add.at(held, (own, np.arange(samples)), 1)
+                lead[g] += int(np.take_along_axis(held, own.astype(np.int64), axis=0).sum(axis=1).argmax())
+            lead = np.repeat(lead, size)
+            i = np.flatnonzero(node != node[lead])
+            j = lead[i]
+            at, agree = alike(marks[i], marks[j], words[i], words[j], samples, similarity, agreeing)
+            yield _pair_batch(node[i[at]], node[j[at]], agree)
+
+    return run
+
+
+def _across(samples: int, similarity: float, agreeing: int, most: int | None):
+    """Of each piece the pairs of different roots that may reach the similarity; with most, those among the best so many of either text."""
+
+    def pairs(piece: int, block, root, words, marks):
+        names, at, n = np.unique(root, return_inverse=True, return_counts=True)
+        rows = np.flatnonzero(at != n.argmax()) if len(names) > 1 else at[:0]  # pairs within the largest root are not needed
+        least = np.ascontiguousarray(marks[:, :samples].T)
+        whole = piece == 0 or piece % PIECES == piece // PIECES
+        for start in range(0, len(rows), STRIPE):
+            own = rows[start : start + STRIPE]
+            agree = np.zeros((len(own), len(root)), np.uint8)
+            for column in least:
+                agree += column[own][:, None] == column
+            x, y = np.nonzero(agree >= agreeing)
+            x = own[x]
+            ok = (root[x] != root[y]) & ((x < y) | (at[y] == n.argmax()))
+            if not whole:
+                ok &= block[x] != block[y]
+            x, y = x[ok], y[ok]
+            kept, score = alike(marks[x], marks[y], words[x], words[y], samples, similarity, agreeing)
+            yield x[kept], y[kept], score
+
+    def run(batches):
+        for bucket, piece, block, node, root, words, marks in _pieces(samples)(batches):
+            for lo, n in zip(*(v.tolist() for v in _bounds(bucket, piece)), strict=True):
+                cut = slice(lo, lo + n)
+                held = [np.concatenate(c) for c in zip(*pairs(int(piece[lo]), block[cut], root[cut], words[cut], marks[cut]), strict=True)]
+                if not held or not len(held[0]):
+                    continue
+                x, y, score = held
+                if most is not None:
+                    ends, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+                    order = np.lexsort((pair, -score[pair], ends))
+                    first = np.searchsorted(ends[order], ends[order])
+                    best = np.unique(pair[order][np.arange(len(order)) - first < most])
+                    x, y, score = x[best], y[best], score[best]
+                yield _pair_batch(node[cut][x], node[cut][y], score)
 
     return run
 
 
 #: Factor of the first block in the number of a piece.
 PIECES = 1 << 20
+PAIRS = "a long, b long, agree int"
+
+
+def leaders(sketched: DataFrame, members: DataFrame, samples: int = SAMPLES, similarity: float = SIMILARITY, agreeing: int = AGREEING) -> DataFrame:
+    """(a, b, agree), a < b: of the candidates between a node and a leader of its groups the best of each node."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    laid = members.join(blocks, "bucket").withColumn("piece", F.pmod(F.xxhash64("node"), "blocks"))
+    laid = laid.join(sketched.select("node", "family", "words", "marks"), ["node", "family"]).select("bucket", "piece", F.col("piece").alias("block"), "node", F.col("node").alias("root"), "words", "marks")
+    found = laid.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "node").mapInArrow(_led(samples, similarity, agreeing), PAIRS)
+    found = materialize(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "led")
+    ends = found.select(F.col("a").alias("node"), F.struct("agree", "a", "b").alias("x")).unionByName(found.select(F.col("b").alias("node"), F.struct("agree", "a", "b").alias("x")))
+    return ends.groupBy("node").agg(F.max("x").alias("x")).select("x.a", "x.b", "x.agree").distinct()
+
+
+def across(sketched: DataFrame, members: DataFrame, roots: DataFrame, samples: int = SAMPLES, similarity: float = SIMILARITY, agreeing: int = AGREEING, most: int | None = None) -> DataFrame:
+    """(a, b, agree), a < b: all candidates that share a group and have different roots, or with most those among the best so many of either in a piece of a group."""
+    rooted = members.join(roots, "node", "left").select("bucket", "family", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    own = rooted.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sketched.select("node", "family", "words", "marks"), ["node", "family"])
+    lay = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * PIECES + F.greatest("block", o))
+    laid = own.withColumn("piece", F.explode(lay)).select("bucket", "piece", "block", "node", "root", "words", "marks")
+    found = laid.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece").mapInArrow(_across(samples, similarity, agreeing, most), PAIRS)
+    found = found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    if most is None:
+        return found
+    ends = found.withColumn("node", F.explode(F.array("a", "b")))  # a node has at most `most` pairs from each piece of its groups, or was chosen by the other
+    return ends.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "a", "b"))).where(F.col("rank") <= most).select("a", "b").distinct()
+
+
+def aligned(pairs: DataFrame, bodies: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(b, a, same) of pairs (a, b) of bodies (node, text)."""
+    left = bodies.select(F.col("node").alias("a"), F.col("text").alias("t"))
+    right = bodies.select(F.col("node").alias("b"), F.col("text").alias("u"))
+    return materialize(pairs.select("a", "b").join(right, "b").join(left, "a").select("b", "a", "u", "t").mapInArrow(_verified(similarity, k), "b long, a long, same boolean"), "aligned")
 
 
-def candidates(sketched: DataFrame, members: DataFrame, roots: DataFrame | None, similarity: float = SIMILARITY, agreeing: int = AGREEING) -> DataFrame:
-    """(a, b, agree), a < b: nodes that share a bucket and are alike by signature. Without roots each node with one leader of its bucket, else all pairs of different roots."""
-    marks = sketched.select("node", "family", "words", "signature")
-    if roots is None:
-        draw = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node"))
-        leaders = members.groupBy("bucket").agg(F.min(draw)["node"].alias("leader"))
-        led = members.join(leaders, "bucket").where("node <> leader").select("family", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        one, other = (marks.select("family", F.col("node").alias(x), F.col("words").alias(f"words_{x}"), F.col("signature").alias(f"signature_{x}")) for x in "ab")
-        found = led.join(one, ["family", "a"]).join(other, ["family", "b"]).select("a", "b", "words_a", "words_b", "signature_a", "signature_b").mapInArrow(_alike(similarity, agreeing), "a long, b long, agree int")
-    else:
-        rooted = members.join(roots, "node", "left").select("bucket", "family", "node", F.coalesce("root", "node").alias("root"))
-        several = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-        own = rooted.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(marks, ["node", "family"])
-        lay = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * PIECES + F.greatest("block", o))
-        laid = own.withColumn("piece", F.explode(lay)).select("bucket", "piece", "block", "node", "root", "words", "signature")
-        found = laid.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece").mapInArrow(_across(similarity, agreeing), "a long, b long, agree int")
-    return materialize(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
-
-
-def aligned(pairs: DataFrame, nodes: DataFrame, similarity: float, k: int) -> DataFrame:
-    """(b, a, same) of pairs (a, b)."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    bodies = nodes.join(wanted, "doc_id", "left_semi")
-    left = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("t"))
-    right = bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("u"))
-    return materialize(pairs.select("a", "b").join(right, "b").join(left, "a").select("b", "a", "u", "t").mapInArrow(_verified(similarity, k), "b long, a long, same boolean"), "aligned")
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest) of every row."""
+    return texts(docs).select("doc_id", _digest())
+
+
+def _digest():
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
 
 
-def links(nodes: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = LENGTH, agreeing: int = AGREEING, only: DataFrame | None = None) -> DataFrame:
-    """(a, b): verified links of nodes (doc_id, text), or of those in only (doc_id), which have different texts. They join all components; within one not every link is there."""
-    sketched = nodes.mapInArrow(_sketched(k, samples, length), "node long, family int, words int, sketch array<long>, signature binary")
-    if only is not None:  # sketches are joined, not texts
-        sketched = sketched.join(only.select(F.col("doc_id").alias("node")), "node", "left_semi")
-    sketched = materialize(sketched, "sketched")
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """(digest, least, node) of each text: its least doc_id, and a key: that doc_id, or a number made from the digest where it has none or another text has the same."""
+    each = rows.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    shared = each.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 OR least IS NULL").select(F.col("least").alias("other"))
+    made = F.lit(NO_ID) - F.pmod(F.xxhash64("digest"), F.lit(1 << 61))
+    odd = F.col("n").isNotNull() | F.col("least").isNull() | (F.col("least") <= NO_ID)
+    return each.join(shared.withColumn("n", F.lit(1)), F.col("least") == F.col("other"), "left").select("digest", "least", F.when(odd, made).otherwise(F.col("least")).alias("node"))
+
+
+def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = LENGTH, agreeing: int = AGREEING) -> DataFrame:
+    """(a, b): verified links of nodes (digest, node) of docs. They join all components; within one not every link is there."""
+    marked = texts(docs).mapInArrow(_sketched(k, samples, length), "digest binary, family int, words int, sketch array<long>, marks binary")
+    marked = marked.join(nodes.select("digest", "node"), "digest").dropDuplicates(["digest", "family"])
+    sketched = materialize(marked, "sketched")
     every = sketched.select("node", "family", F.explode("sketch").alias("bucket")).where("bucket <> 0")
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialize(every.join(shared, "bucket"), "members")
-    checked = aligned(candidates(sketched, members, None, similarity, agreeing), nodes, similarity, k)
-    found = checked.where("same").select("a", "b")
-    roots = components(found).withColumnRenamed("id", "node")
-    rest = candidates(sketched, members, roots, similarity, agreeing).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    for below in (1, samples):
-        ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
-        rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "agree")
-        rest = materialize(rest, "rest")
-        if not rest.head(1):
+    shared = every.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("bucket")
+    members = materialize(every.join(shared, "bucket").select("bucket", "node", "family"), "members")
+    wanted = members.select("node").distinct().join(nodes, "node").select("digest", "node", "least")
+    # of each wanted text one row: its digest and least doc_id; repeated rows and rows without an id meet in the aggregate
+    own = texts(docs).select("doc_id", _digest().alias("own"), "text")
+    bodies = own.join(wanted, (F.col("own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("text").alias("text"))
+    bodies = materialize(bodies, "bodies")
+    tried = found = None
+    roots, level = None, members
+    largest = members.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    while True:  # each level leaves a block of each group at most one root more than its texts that no leader met
+        checked = aligned(leaders(sketched, level, samples, similarity, agreeing), bodies, similarity, k)
+        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
+        new = checked.where("same").select("a", "b")
+        found = new if found is None else materialize(found.unionByName(new), "verified")
+        roots = components(found).withColumnRenamed("id", "node")
+        largest /= BLOCK
+        if largest <= 1:
             break
-        best = rest.select(F.explode(F.array("a", "b")).alias("node"), "agree").groupBy("node").agg((F.max("agree") - below).alias("least"))
-        tops = [best.select(F.col("node").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab"]
-        now = rest.join(tops[0], "a").join(tops[1], "b").where("agree >= least(least_a, least_b)") if below < samples else rest
-        checked = aligned(now, nodes, similarity, k)
-        found = materialize(found.unionByName(checked.where("same").select("a", "b")), "verified")
-        if below < samples:
-            rest = rest.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        level = members.join(roots, "node").groupBy("bucket", "root").agg(F.min(F.struct("node", "family")).alias("x")).select("bucket", "x.node", "x.family")
+    most = FIRST
+    while True:
+        now = across(sketched, members, roots, samples, similarity, agreeing, most).join(tried, ["a", "b"], "left_anti")
+        checked = aligned(now, bodies, similarity, k)
+        new = checked.where("same").select("a", "b")
+        linked = bool(new.head(1))
+        if linked:
+            found = materialize(found.unionByName(new), "verified")
+        if most is None:
+            return found
+        if linked:
             roots = components(found).withColumnRenamed("id", "node")
-    return found
+        tried = tried.unionByName(checked.select("a", "b"))
+        most = most * 8 if linked and most < LAST else None
+
 
+def grouped(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, digest) of every row, (digest, least, class_id, root) of each text)."""
+    rows = materialize(_named(docs), "copies")
+    nodes = materialize(nodes_of(rows), "nodes")
+    roots = components(links(docs, nodes, **options)).select(F.col("id").alias("node"), "root")
+    named = nodes.join(roots, "node", "left").select("digest", "least", "node", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "rooted")
+    ids = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("class_id"))
+    return rows, named.join(ids, "root", "left").select("digest", "least", F.coalesce("class_id", "least", "root").alias("class_id"), "root")
 
-def classes(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = LENGTH, agreeing: int = AGREEING) -> DataFrame:
-    """(doc_id, class_id, n_links): class_id is the least doc_id of the class; n_links counts links to different texts (those that were aligned)."""
-    base = texts(docs).where("doc_id IS NOT NULL")
-    copies = materialize(base.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).groupBy("doc_id").agg(F.min("h").alias("h")), "copies")
-    nodes = copies.groupBy("h").agg(F.min("doc_id").alias("node"))
-    named = materialize(copies.join(nodes, "h").select("doc_id", "node"), "nodes")
-    found = links(base, k, similarity, samples, length, agreeing, only=named.where("doc_id = node").select("doc_id"))
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    roots = components(found).select(F.col("id").alias("node"), "root")
-    out = named.join(roots, "node", "left").join(degree, "node", "left")
-    out = out.select("doc_id", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.unionByName(docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id), a row for each row of docs: class_id is the least doc_id of the class, or a number below NO_ID where none of it has a doc_id.
+
+    Options: those of links.
+    """
+    rows, named = grouped(docs, **options)
+    return rows.join(named.select("digest", "class_id"), "digest").select("doc_id", "class_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which each class keeps one, its least doc_id, and those without a doc_id."""
-    gone = classes(docs, **options).where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of the rows of docs one of each class: that of its least doc_id (rows that have one first; then of the least text by digest); of equal such rows one."""
+    rows, named = grouped(docs, **options)
+    first = F.min(F.struct(F.col("least").isNull().alias("bare"), "least", "digest")).alias("x")
+    chosen = named.groupBy("root").agg(first).select(F.col("x.digest").alias("d"), F.col("x.least").alias("i"), F.lit(True).alias("chosen"))
+    counts = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    fate = counts.join(chosen, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left").where("chosen IS NULL OR n > 1")
+    fate = materialize(fate.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__text"), F.col("chosen").isNotNull().alias("__several")), "fates")
+    body = F.coalesce(docs["text"], F.lit("")).cast("binary")
+    here = (F.unhex(F.sha2(body, 256)) == F.col("__text")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))
+    met = docs.join(fate, here, "left")
+    one = met.where("__several").groupBy("__id", "__text").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("__row")).select("__row.*")
+    return met.where("__several IS NULL").select(*[docs[c] for c in docs.columns]).unionByName(one)
