@@ -15,11 +15,13 @@ occurrence. Texts within the threshold share similarity / (2 - similarity) of al
 less than that by three deviations are out.
 
 Equal texts are one node, so copies meet no alignment. In each group of a sketch (large ones in blocks) each text is
-first led to the text that agrees best with all of the block, and aligned with the best of its leaders. What one
-component of links holds needs no more alignment; of the groups that still have texts of several components all pairs
-across them are compared by their marks (large groups in blocks, over many tasks). Those that pass are aligned in
-rounds: the FIRST best of each text, more while that finds links, then all that still lie in two components. So a pair
-is left out only if its texts share no sketch or too few marks; README.md has the measured share.
+first led to the text that agrees best with all of the block, and aligned with the best of its leaders; again with one
+text of each component that came of it. What one component of links holds needs no more alignment. In the groups that
+still have texts of several components all pairs across them are compared by their marks (large groups in blocks, over
+many tasks); what passes ties texts to regions, of which only the ties of a spanning forest are written. Each region's
+texts then meet once (large regions in blocks): the pairs that pass are aligned, the most alike first, unless links
+found by then hold both. So a pair is left out only if its texts share no sketch or too few marks; README.md has the
+measured share.
 
 Null texts count as empty; empty texts are copies of each other; texts of fewer than k words have one k-mer, all their
 words; words are compared in lower case. Every row is a document: documents without a doc_id and rows that repeat a
@@ -32,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_VALUES, NO_ID, Polynomial, chunks, materialize, mix64, texts, word_bounds
@@ -42,14 +44,12 @@ from .repeats import joined
 WORDS, SIMILARITY, SAMPLES, LENGTH, AGREEING, BINS = 3, 0.8, 48, 2, 5, 128
 #: Words of texts in the family of long and of short texts; LONG_FROM is at most SIMILARITY times SHORT_TO + 1.
 LONG_FROM, SHORT_TO, SHORT_WORDS = 32, 40, 2
-#: Rows of a group of texts that are compared in one piece.
-BLOCK = 1000
-#: Best candidates of a text that are aligned in the first and, if links were found, in the last round before all.
-FIRST, LAST = 2, 16
+#: Rows of a group of texts that are compared in one piece, and bytes of their texts where those are aligned.
+BLOCK, BLOCK_BYTES = 1000, 8_000_000
+#: Blocks that a region of up to SPREAD times BLOCK texts may be cut into, so that many tasks share it.
+SPREAD = 6
 #: Rows of a piece that are compared with all of it at once.
 STRIPE = 256
-#: Words of texts (8 bytes each) that a task keeps for the next pairs.
-HELD_WORDS = 4_000_000
 #: Bytes of text that are sketched at once: arrays of their words stay in a processor's cache.
 SKETCHED_BYTES = 400_000
 
@@ -270,22 +270,13 @@ def _sketched(k: int, samples: int, length: int):
 
 def _verified(similarity: float, k: int):
     def run(batches):
-        held: dict[int, np.ndarray] = {}
-        size = 0
-
-        def own(node: int, text) -> np.ndarray:
-            nonlocal size
-            if node not in held:
-                if size > HELD_WORDS:
-                    held.clear()
-                    size = 0
-                held[node] = symbols_of(text.as_py())
-                size += len(held[node])
-            return held[node]
-
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = [similar(own(x, t), own(y, u), similarity, k) for x, y, t, u in zip(a, b, batch.column(2), batch.column(3), strict=True)]
+            last, kept = None, None
+            a, b, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for y, t, u in zip(b, batch.column(2), batch.column(3), strict=True):
+                if y != last:
+                    last, kept = y, symbols_of(u.as_py())
+                ok.append(similar(symbols_of(t.as_py()), kept, similarity, k))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["b", "a", "same"])
 
     return run
@@ -359,43 +350,104 @@ def _led(samples: int, similarity: float, agreeing: int):
     return run
 
 
-def _across(samples: int, similarity: float, agreeing: int, most: int | None):
-    """Of each piece the pairs of different roots that may reach the similarity; with most, those among the best so many of either text."""
-
-    def pairs(piece: int, block, root, words, marks):
-        names, at, n = np.unique(root, return_inverse=True, return_counts=True)
-        rows = np.flatnonzero(at != n.argmax()) if len(names) > 1 else at[:0]  # pairs within the largest root are not needed
-        least = np.ascontiguousarray(marks[:, :samples].T)
-        whole = piece == 0 or piece % PIECES == piece // PIECES
-        for start in range(0, len(rows), STRIPE):
-            own = rows[start : start + STRIPE]
-            agree = np.zeros((len(own), len(root)), np.uint8)
-            for column in least:
-                agree += column[own][:, None] == column
-            x, y = np.nonzero(agree >= agreeing)
-            x = own[x]
-            ok = (root[x] != root[y]) & ((x < y) | (at[y] == n.argmax()))
-            if not whole:
-                ok &= block[x] != block[y]
-            x, y = x[ok], y[ok]
-            kept, score = alike(marks[x], marks[y], words[x], words[y], samples, similarity, agreeing)
-            yield x[kept], y[kept], score
+def compatible(block: np.ndarray, root: np.ndarray, words: np.ndarray, marks: np.ndarray, whole: bool, samples: int, similarity: float, agreeing: int):
+    """Pairs of rows of different roots that may reach the similarity, by stripes: (rows, rows, how well they agree). Not whole: only pairs of different blocks."""
+    names, at, n = np.unique(root, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(at != n.argmax()) if len(names) > 1 else at[:0]  # pairs within the largest root are not needed
+    columns = np.ascontiguousarray(marks[:, :samples].T)
+    for start in range(0, len(rows), STRIPE):
+        own = rows[start : start + STRIPE]
+        agree = np.zeros((len(own), len(root)), np.uint8)
+        for column in columns:
+            agree += column[own][:, None] == column
+        x, y = np.nonzero(agree >= agreeing)
+        x = own[x]
+        ok = (root[x] != root[y]) & ((x < y) | (at[y] == n.argmax()))
+        if not whole:
+            ok &= block[x] != block[y]
+        x, y = x[ok], y[ok]
+        kept, score = alike(marks[x], marks[y], words[x], words[y], samples, similarity, agreeing)
+        yield x[kept], y[kept], score
+
+
+def is_whole(piece: int) -> bool:
+    return piece % PIECES == piece // PIECES
+
+
+def _tied(samples: int, similarity: float, agreeing: int):
+    """Of each piece a spanning forest of the pairs of different roots that may reach the similarity."""
 
     def run(batches):
         for bucket, piece, block, node, root, words, marks in _pieces(samples)(batches):
             for lo, n in zip(*(v.tolist() for v in _bounds(bucket, piece)), strict=True):
                 cut = slice(lo, lo + n)
-                held = [np.concatenate(c) for c in zip(*pairs(int(piece[lo]), block[cut], root[cut], words[cut], marks[cut]), strict=True)]
-                if not held or not len(held[0]):
-                    continue
-                x, y, score = held
-                if most is not None:
-                    ends, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
-                    order = np.lexsort((pair, -score[pair], ends))
-                    first = np.searchsorted(ends[order], ends[order])
-                    best = np.unique(pair[order][np.arange(len(order)) - first < most])
-                    x, y, score = x[best], y[best], score[best]
-                yield _pair_batch(node[cut][x], node[cut][y], score)
+                label = np.arange(n)
+                for x, y, _ in compatible(block[cut], root[cut], words[cut], marks[cut], is_whole(int(piece[lo])), samples, similarity, agreeing):
+                    while len(x):
+                        a, b = label[x], label[y]
+                        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                        while (label[label] != label).any():
+                            label = label[label]
+                        left = label[x] != label[y]
+                        x, y = x[left], y[left]
+                other = np.flatnonzero(label != np.arange(n))
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[cut][label[other]]), pa.array(node[cut][other])], names=["a", "b"])
+
+    return run
+
+
+def _linked(k: int, samples: int, length: int, similarity: float, agreeing: int):
+    """Rows (region, piece, block, node, root, text) in order of (region, piece) to the links (a, b) that join different roots of a piece."""
+
+    def links_of(rows):
+        piece, block, node, root = rows[0][1], np.array([r[2] for r in rows]), [r[3] for r in rows], np.array([r[4] for r in rows])
+        lower = [r[5].lower().encode() for r in rows]
+        n = np.array([len(x.split()) for x in lower])
+        found: list = []
+        for family, own in enumerate((n >= LONG_FROM, n <= SHORT_TO)):
+            at = np.flatnonzero(own)
+            if len(at):
+                _, marks, words = sketches([lower[i] for i in at], SHORT_WORDS if family else k, samples, length)
+                found += [(at[x], at[y], score) for x, y, score in compatible(block[at], root[at], words, marks, is_whole(piece), samples, similarity, agreeing)]
+        if not found:
+            return
+        x, y, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        top, held = {r: r for r in set(root.tolist())}, {}
+
+        def head(r):
+            while top[r] != r:
+                top[r] = top[top[r]]
+                r = top[r]
+            return r
+
+        def symbols(i):
+            if i not in held:
+                held[i] = symbols_of(rows[i][5])
+            return held[i]
+
+        order = np.argsort(-score, kind="stable")
+        roots = root.tolist()
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            a, b = head(roots[i]), head(roots[j])
+            if a != b and similar(symbols(i), symbols(j), similarity, k):
+                top[max(a, b)] = min(a, b)
+                yield min(node[i], node[j]), max(node[i], node[j])
+
+    def batch(pairs):
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        rows: list = []
+        for one in batches:
+            for row in zip(*(c.to_pylist() for c in one.columns), strict=True):
+                if rows and rows[-1][:2] != row[:2]:
+                    yield batch(list(links_of(rows)))
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield batch(list(links_of(rows)))
 
     return run
 
@@ -416,19 +468,35 @@ def leaders(sketched: DataFrame, members: DataFrame, samples: int = SAMPLES, sim
     return ends.groupBy("node").agg(F.max("x").alias("x")).select("x.a", "x.b", "x.agree").distinct()
 
 
-def across(sketched: DataFrame, members: DataFrame, roots: DataFrame, samples: int = SAMPLES, similarity: float = SIMILARITY, agreeing: int = AGREEING, most: int | None = None) -> DataFrame:
-    """(a, b, agree), a < b: all candidates that share a group and have different roots, or with most those among the best so many of either in a piece of a group."""
+def ties(sketched: DataFrame, members: DataFrame, roots: DataFrame, samples: int = SAMPLES, similarity: float = SIMILARITY, agreeing: int = AGREEING) -> DataFrame:
+    """(a, b): a spanning forest, piece by piece, of the candidates that share a group and have different roots."""
     rooted = members.join(roots, "node", "left").select("bucket", "family", "node", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     own = rooted.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sketched.select("node", "family", "words", "marks"), ["node", "family"])
     lay = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least("block", o) * PIECES + F.greatest("block", o))
     laid = own.withColumn("piece", F.explode(lay)).select("bucket", "piece", "block", "node", "root", "words", "marks")
-    found = laid.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece").mapInArrow(_across(samples, similarity, agreeing, most), PAIRS)
-    found = found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    if most is None:
-        return found
-    ends = found.withColumn("node", F.explode(F.array("a", "b")))  # a node has at most `most` pairs from each piece of its groups, or was chosen by the other
-    return ends.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "a", "b"))).where(F.col("rank") <= most).select("a", "b").distinct()
+    return laid.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece").mapInArrow(_tied(samples, similarity, agreeing), "a long, b long").distinct()
+
+
+def region_links(tied: DataFrame, roots: DataFrame, bodies: DataFrame, k: int, samples: int, length: int, similarity: float, agreeing: int) -> DataFrame:
+    """(a, b): links that join the roots of each region of ties. Texts of a region's largest root are only met by the others."""
+    regions = components(tied).select(F.col("id").alias("node"), F.col("root").alias("region"))
+    own = regions.join(roots, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")).join(bodies, "node")
+    own = materialize(own, "regions")
+    parts = own.groupBy("region", "root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    # regions of a few hundred texts are cut too, into at most SPREAD blocks, as their pairs are many to align
+    need = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.least(F.ceil(n * 5 / BLOCK), F.lit(SPREAD)))
+    most = F.max(F.struct("n", "size", "root")).alias("m")
+    shape = parts.groupBy("region").agg(most, F.sum("n").alias("n"), F.sum("size").alias("size"))
+    one = need(F.col("n"), F.col("size")) <= 1
+    rest = F.greatest(need(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")), F.lit(1))
+    shape = shape.select("region", F.when(~one, F.col("m.root")).alias("largest"), F.when(one, 1).otherwise(rest).alias("rest"), F.when(one, 0).otherwise(need(F.col("m.n"), F.col("m.size"))).alias("large"))
+    big, h = F.col("root") == F.coalesce("largest", F.lit(None).cast("long")), F.xxhash64("node")
+    block = F.when(big, F.col("rest") + F.pmod(h, F.greatest("large", F.lit(1)))).otherwise(F.pmod(h, "rest"))
+    laid = own.join(shape, "region").withColumn("block", block).withColumn("last", F.when(F.col("block") >= F.col("rest"), F.col("rest")).otherwise(F.col("rest") + F.col("large")) - 1)
+    lay = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda o: F.least("block", o) * PIECES + F.greatest("block", o))
+    laid = laid.withColumn("piece", F.explode(lay)).select("region", "piece", "block", "node", "root", "text")
+    return laid.repartition("region", "piece").sortWithinPartitions("region", "piece").mapInArrow(_linked(k, samples, length, similarity, agreeing), "a long, b long")
 
 
 def aligned(pairs: DataFrame, bodies: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -469,33 +537,19 @@ def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, similarity: float =
     own = texts(docs).select("doc_id", _digest().alias("own"), "text")
     bodies = own.join(wanted, (F.col("own") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.first("text").alias("text"))
     bodies = materialize(bodies, "bodies")
-    tried = found = None
-    roots, level = None, members
     largest = members.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
-    while True:  # each level leaves a block of each group at most one root more than its texts that no leader met
+    found, level, levels = None, members, 2
+    while largest > BLOCK**levels:  # a level leaves a block of a group at most one root more than its texts that no leader met
+        levels += 1
+    for _ in range(levels):
         checked = aligned(leaders(sketched, level, samples, similarity, agreeing), bodies, similarity, k)
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
         new = checked.where("same").select("a", "b")
         found = new if found is None else materialize(found.unionByName(new), "verified")
         roots = components(found).withColumnRenamed("id", "node")
-        largest /= BLOCK
-        if largest <= 1:
-            break
         level = members.join(roots, "node").groupBy("bucket", "root").agg(F.min(F.struct("node", "family")).alias("x")).select("bucket", "x.node", "x.family")
-    most = FIRST
-    while True:
-        now = across(sketched, members, roots, samples, similarity, agreeing, most).join(tried, ["a", "b"], "left_anti")
-        checked = aligned(now, bodies, similarity, k)
-        new = checked.where("same").select("a", "b")
-        linked = bool(new.head(1))
-        if linked:
-            found = materialize(found.unionByName(new), "verified")
-        if most is None:
-            return found
-        if linked:
-            roots = components(found).withColumnRenamed("id", "node")
-        tried = tried.unionByName(checked.select("a", "b"))
-        most = most * 8 if linked and most < LAST else None
+    tied = ties(sketched, members, roots, samples, similarity, agreeing)
+    new = region_links(tied, roots, bodies, k, samples, length, similarity, agreeing)
+    return materialize(found.unionByName(new), "verified")
 
 
 def grouped(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
