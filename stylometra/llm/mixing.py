@@ -7,16 +7,18 @@ the (few) errors of the rounds so far, so nothing of the size of the corpus is s
 
 Fitting takes at most `sample` labelled rows, those of the least hash of doc_id. Null labels are no labels; null and
 empty texts have no tokens: their posterior is that of the labels, their rate 1 at most changes nothing. Rows of one
-doc_id are one document. A domain of the targets that no labelled row has cannot be met and is left out. Other columns
+doc_id are one document; rows without one are, if their texts are equal. A domain of the targets that no labelled row has cannot be met and is left out. Other columns
 are not read; an empty table, or no labels, gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import keyed_texts, materialize, texts, without_keys
 
 BUCKETS, SAMPLE, EVIDENCE = 4096, 3000, 50
 
@@ -45,11 +47,11 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int =
 
 
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], evidence: int = EVIDENCE) -> DataFrame:
-    """(doc_id, n_tokens, p: array). The mean log-likelihood of a word counts as that of `evidence` words at most, which keeps memberships soft."""
+    """(doc_id, n_tokens, p: array), a null doc_id replaced by a key. The mean log-likelihood of a word counts as that of `evidence` words at most, which keeps memberships soft."""
     ks = range(len(domains))
     table = F.broadcast(model.where("bucket >= 0"))  # BUCKETS rows
     prior = model.where("bucket = -1").head()
-    scored = words(texts(docs), "doc_id").join(table, "bucket", "left").groupBy("doc_id").agg(F.count("bucket").alias("n_tokens"), *[F.sum(f"l{k}").alias(f"t{k}") for k in ks])
+    scored = words(keyed_texts(docs), "doc_id").join(table, "bucket", "left").groupBy("doc_id").agg(F.count("bucket").alias("n_tokens"), *[F.sum(f"l{k}").alias(f"t{k}") for k in ks])
     weight = F.least(F.col("n_tokens"), F.lit(evidence)) / F.greatest(F.col("n_tokens"), F.lit(1))
     logits = scored.select("doc_id", "n_tokens", F.array(*[F.lit(prior[f"l{k}"]) + F.coalesce(F.col(f"t{k}") * weight, F.lit(0.0)) for k in ks]).alias("z"))
     shifted = logits.select("doc_id", "n_tokens", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
@@ -100,6 +102,8 @@ def rates(table: DataFrame, weights: list[float], total: float | None = None, ro
             errors.pop()
             continue
         sums = after
+    else:
+        warnings.warn(f"after {rounds} rounds the tokens of a domain miss their target by {max(abs(s / total - w) for s, w in zip(sums, weights, strict=True)):.2g} of all", stacklevel=2)
     return table.withColumn("rate", _rate(errors, pull))
 
 
@@ -118,4 +122,5 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
     rated = rates(table, [targets[d] for d in domains], total)
     best = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.array_max("p")).cast("int"))
     draw = F.pmod(F.xxhash64(F.lit("copies"), F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.select("doc_id", "n_tokens", best.alias("domain"), "p", "rate", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).alias("copies"))
+    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return without_keys(rated.select("doc_id", "n_tokens", best.alias("domain"), "p", "rate", copies.alias("copies")))
