@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own if all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='stylometra-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,6 +42,17 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Bytes of text that a task which keeps a range of documents together should have at most.
+RANGE_BYTES = 128_000_000
+
+
+def parts_for(docs: DataFrame, size: int = RANGE_BYTES) -> int:
+    """Ranges to cut docs into: enough for `size` bytes of text each, and where those are few as many as a shuffle has, of a megabyte at least."""
+    total = texts(docs).agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-total // size), min(usual, -(-total // 1_000_000)))
+
+
 #: Keys up to this one stand for documents without a doc_id.
 NO_ID = -(1 << 62)
 

@@ -7,8 +7,8 @@ names on either side only, so equal substrings get equal names inside, at any of
 hashed names of one level (all, if few): equal texts have equal fingerprints, and the likeness of two fingerprints
 estimates the Jaccard likeness of the texts' phrases.
 
-Null texts count as empty (fingerprint of the empty set; likeness of two empty sets: 1); ties of doc_id are ordered by
-text; repeated rows are documents of their own; the document after the last is the first, which for a single row is
+Null texts count as empty (fingerprint of the empty set; likeness of two empty sets: 1); documents without a doc_id come
+first; ties of doc_id are ordered by text; repeated rows are documents of their own; the document after the last is the first, which for a single row is
 itself; an empty table gives an empty result; other columns than doc_id and text are not read.
 """
 
@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, materialize, mix64, texts
+from .common import BYTE_VALUES, materialize, mix64, parts_for, texts
 
 #: Names in a fingerprint, and the level they are from.
 KEEP, LEVEL = 64, 2
+#: Ranges of doc_id at most: their bounds stand in one expression. Larger ranges only run longer, as tasks hold a few megabytes at a time.
+MOST_PARTS = 10_000
 
 
 def _low_bit(x: np.ndarray) -> np.ndarray:
@@ -161,24 +163,24 @@ def fingerprint(docs: DataFrame, keep: int = KEEP, level: int = LEVEL) -> DataFr
 def with_following(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (part, doc_id, text, mark), sorted by doc_id within each part, each part closed by a copy (mark 1) of the first row of the next part; the last by that of the first."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = texts(docs)
-    cuts = base.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10000).alias("c")).head()["c"] if parts > 1 else None
+    parts = parts or min(parts_for(docs), MOST_PARTS)
+    base = texts(docs).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))  # documents without a doc_id come first
+    cuts = base.select(F.percentile_approx("place", [k / parts for k in range(1, parts)], 10000).alias("c")).head()["c"] if parts > 1 else None
     cuts = sorted({int(c) for c in cuts or ()})
-    part = F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c < doc_id))") if cuts else F.lit(0)
+    part = F.expr(f"size(filter(array({','.join(f'{c}L' if c > -(1 << 63) else f'({c + 1}L - 1L)' for c in cuts)}), c -> c < place))") if cuts else F.lit(0)
     own = base.withColumn("part", part.cast("int"))
-    # one row for each part: its least doc_id, and of equal ids the least text
-    heads = materialize(own.select("part", "doc_id").groupBy("part").agg(F.min("doc_id").alias("doc_id")), "heads")
-    order = [r[0] for r in heads.orderBy("part").collect()]
-    before = {p: order[k - 1] for k, p in enumerate(order)}
+    # one row for each part: its first place, and of equal places the least text
+    heads = materialize(own.select("part", "place").groupBy("part").agg(F.min("place").alias("place")), "heads")
+    order = [(r[0], r[1]) for r in heads.orderBy("part").collect()]  # one row for each part
+    columns = ["part", "doc_id", "text", "mark"]
     if not order:
-        return own.select("part", "doc_id", "text", F.lit(0).alias("mark"))
-    target = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    first_ids = [r[0] for r in heads.select("doc_id").collect()]
-    closing = own.where(F.col("doc_id").isin(first_ids)).groupBy("doc_id", "part").agg(F.min("text").alias("text"))
-    closing = closing.select(target[F.col("part")].alias("part"), "doc_id", "text", F.lit(1).alias("mark"))
-    both = own.select("part", "doc_id", "text", F.lit(0).alias("mark")).unionByName(closing)
-    return both.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "mark", "doc_id", "text")
+        return own.withColumn("mark", F.lit(0)).select(columns)
+    target = F.create_map(*[F.lit(x) for k, (p, _) in enumerate(order) for x in (p, order[k - 1][0])])
+    first = F.broadcast(heads.select(F.col("place").alias("_place"), F.col("part").alias("_part")))
+    closing = own.join(first, (F.col("place") == F.col("_place")) & (F.col("part") == F.col("_part"))).groupBy("part", "place").agg(F.min("text").alias("text"))
+    closing = closing.select(target[F.col("part")].alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", "place", F.lit(1).alias("mark"))
+    both = own.select("part", "doc_id", "text", "place", F.lit(0).alias("mark")).unionByName(closing)
+    return both.repartition(len(order), "part").sortWithinPartitions("part", "mark", "place", "text").select(columns)
 
 
 def _compared(keep: int, level: int):

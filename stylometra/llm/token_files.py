@@ -6,7 +6,7 @@ Format of a file, all integers little-endian: magic "STK1"; then blocks, each of
   u32 id of each rank, the most frequent first (ties: the smaller id first)
   control bytes: two bits for each id, its bytes less one, four ids to a byte
   data bytes: the ranks, 1 to 4 bytes each.
-Files hold the documents in ascending doc_id order, one file for each range. A file is written under a name of its
+Files hold the documents in ascending doc_id order, one file for each range of about RANGE_BYTES of text at most. A file is written under a name of its
 attempt and renamed, so a task that runs again replaces it.
 
 Null texts count as empty (only the end id); equal doc_ids are ordered as they come; documents without
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, groups, read_vocabulary
-from .common import materialize, shared_dir, texts
+from .common import materialize, parts_for, shared_dir, texts
 from .pretokens import Pieces
 
 NO_DOC = -(1 << 63)
@@ -127,7 +127,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     """Write files to folder (a URI) and return their list: (file, first_doc_id, documents, ids)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary or read_vocabulary())
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(docs)
 
     def run(batches):
         from pyarrow import fs
