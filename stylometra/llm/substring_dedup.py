@@ -7,7 +7,7 @@ can hold one of its windows.
 
 Nulls and empty texts have no words and lose nothing; texts shorter than a window are kept whole; repeated rows count as
 copies; an empty table gives an empty result; other columns than doc_id and text are not read.
-Rows without a doc_id are documents of their own. Rows of one doc_id must have one text: spans are found by doc_id.
+Every row is a document, also one without a doc_id or with the doc_id of another.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Polynomial, keyed_texts, without_keys
-from .repeats import Scheme, covered, repeated_windows
+from .common import Polynomial
+from .repeats import Scheme, covered, named_texts, repeated_windows, same_row
 
 
 class RelativeParser:
@@ -69,8 +69,8 @@ def scheme(window: int = 35) -> Scheme:
 
 
 def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(doc_id, spans: array of (lo, hi), a null doc_id replaced by a key): starts of windows of so many words that start elsewhere in docs too."""
-    return repeated_windows(keyed_texts(docs), scheme(window), resolve)
+    """(doc_id, tag, spans: array of (lo, hi)): starts of windows of so many words that start elsewhere in docs too."""
+    return repeated_windows(named_texts(docs), scheme(window), resolve)
 
 
 def _kept(window: int):
@@ -93,5 +93,6 @@ def _kept(window: int):
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the words in no repeated window, joined by one space."""
-    base = keyed_texts(docs)
-    return without_keys(base.join(duplicate_spans(docs, window), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string"))
+    base, found = named_texts(docs), duplicate_spans(docs, window)
+    met = base.join(found, same_row(base, found), "left").select(base["doc_id"], "text", "spans")
+    return met.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")

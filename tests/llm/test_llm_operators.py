@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stylometra.llm import bpe, fingerprints, mixing, order_minhash, quality_model, quality_rules, queries, secrets, substring_dedup, suffix_dedup, token_files
+from stylometra.llm import bpe, fingerprints, mixing, order_minhash, quality_model, quality_rules, queries, repeats, secrets, substring_dedup, suffix_dedup, token_files
 from stylometra.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, lo int, spans string"
@@ -57,9 +57,17 @@ def brute_cover(seqs, width):
     return out
 
 
+def small_blocks(monkeypatch, contexts):
+    """contexts of a seed in a block; where one, references and pieces are small too, and most keys hot."""
+    monkeypatch.setattr(repeats, "BLOCK_CONTEXTS", contexts)
+    if contexts == 1:
+        for name, value in (("PIECE_CONTEXTS", 3), ("BLOCK_SYMBOLS", 200), ("HOT", 10**6)):
+            monkeypatch.setattr(repeats, name, value)
+
+
 @pytest.mark.parametrize("heavy", [5000, 1])
 def test_substring_dedup(docs, texts, heavy, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda d, s, r: __import__("stylometra.llm.repeats", fromlist=["x"]).repeated_windows(d, s, r, heavy))
+    small_blocks(monkeypatch, heavy)
     words = {i: tuple(t.encode().split()) for i, t in texts.items()}
     gone = brute_cover(words, 35)
     for r in substring_dedup.without_repeats(docs, 35).collect():
@@ -69,7 +77,7 @@ def test_substring_dedup(docs, texts, heavy, monkeypatch):
 
 @pytest.mark.parametrize("heavy", [5000, 1])
 def test_suffix_dedup(docs, texts, heavy, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda d, s, r: __import__("stylometra.llm.repeats", fromlist=["x"]).repeated_windows(d, s, r, heavy))
+    small_blocks(monkeypatch, heavy)
     raw = {i: t.encode() for i, t in texts.items()}
     gone = brute_cover(raw, 60)
     for r in suffix_dedup.without_repeats(docs, 60).collect():
@@ -79,6 +87,43 @@ def test_suffix_dedup(docs, texts, heavy, monkeypatch):
         assert r.n_spans == int(np.sum(np.diff(np.append(0, m.astype(int))) == 1))
 
 
+@pytest.mark.parametrize("heavy", [5000, 1])
+def test_repeats_at_their_real_lengths(spark, heavy, monkeypatch):
+    """35 words and 400 bytes: a passage in many documents, periodic and very long texts, doc_ids that repeat with other texts, no doc_id."""
+    small_blocks(monkeypatch, heavy)
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9)))
+    passage = " ".join(word() for _ in range(110))
+    bodies = [" ".join(word() for _ in range(draw.randint(0, 90))) + " " + passage + " " + " ".join(word() for _ in range(draw.randint(0, 90))) for _ in range(40)]
+    bodies += [passage[k : k + 420] for k in (0, 7, 100)] + ["ab " * 900, "é" * 700, " ".join(word() for _ in range(20000)) + " " + passage, "", None]
+    ids = [None if k % 9 == 0 else k % 25 for k in range(len(bodies))]
+    docs = spark.createDataFrame(list(zip(ids, bodies)), "doc_id long, text string").repartition(5)
+    texts = {k: (t or "") for k, t in enumerate(bodies)}
+    words = {k: tuple(t.encode().split()) for k, t in texts.items()}
+    gone = brute_cover(words, 35)
+    want = Counter((ids[k], len(w), b" ".join(x for x, g in zip(w, gone[k]) if not g).decode()) for k, w in words.items())
+    assert Counter((r.doc_id, r.n_words, r.kept) for r in substring_dedup.without_repeats(docs, 35).collect()) == want
+    raw = {k: t.encode() for k, t in texts.items()}
+    gone = brute_cover(raw, 400)
+    want = Counter((ids[k], len(b), bytes(x for x, g in zip(b, gone[k]) if not g)) for k, b in raw.items())
+    assert Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.without_repeats(docs, 400).collect()) == want
+
+
+def test_run_index_steps_and_search():
+    ss = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 40))).encode() for _ in range(4)]
+    index = suffix_dedup.RunIndex([np.frombuffer(s, np.uint8) for s in ss])
+    for p in (b"a", b"ab", b"bba", b"abab", b"c", b"aaaaaaa"):
+        assert index.occurrences(p) == sum(s.startswith(p, i) for s in ss for i in range(len(s)))
+    # stepping back from the suffix that is the last separator alone spells the texts from their end
+    symbols = np.repeat(index.run_symbols, index.run_lengths)
+    at, spelt = len(ss) - 1, []
+    for _ in range(index.n):
+        spelt.append(int(symbols[at]) - len(ss))
+        at = index.lf(at)
+    assert bytes(c for c in reversed(spelt) if c >= 0) == b"".join(ss)
+    assert int(index.run_lengths.sum()) == index.n and len(index.sampled) <= 2 * len(index.run_symbols)
+
+
 def test_run_index_matches_brute_force():
     for _ in range(20):
         ss = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 30))).encode() for _ in range(3)]
@@ -122,6 +167,20 @@ def test_token_files(docs, texts):
         at += len(ids)
 
 
+def test_token_files_equal_the_library_on_all_documents(spark):
+    """The pieces are cut by our own pattern; this holds their ids against the library's encode for whole texts."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    coded = Tokenizer.from_str(bpe.read_vocabulary()).encode_batch([t for _, t in rows], add_special_tokens=False)
+    got, at = {r.doc_id: r for r in token_files.round_trip(docs).collect()}, 0
+    for (i, _), e in zip(rows, coded):
+        ids = np.array([*e.ids, 0], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_rank_code_round_trip():
     r = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     assert np.array_equal(token_files.unpack_ranks(*token_files.pack_ranks(r), len(r)), r)
@@ -184,6 +243,77 @@ def test_secrets_and_ledger(docs, texts):
     again, grown = secrets.findings(docs, ledger)
     assert grown.count() == ledger.count() == len(set(texts.values())) and again.count() == len(texts)
     assert "abc123XYZ" not in secrets.redact(texts[36], row.spans)
+    assert secrets.scan("paſſword = abcdef123456") == [] and secrets.scan("API_KEY: abcdef")[0][2] == "assign"
+
+
+def plain_secrets(text):
+    """The base rules of the contract by hand: (start, kind's place, end)."""
+    names, found = ("password", "passwd", "secret", "token", "apikey", "api_key"), []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(c.lower() if c.isascii() else c for c in text)
+    at = 0
+    while at < len(text):
+        end = None
+        for n in names:
+            if lower.startswith(n, at):
+                for first in (1, 0):  # a greedy optional quote, then without
+                    k = at + len(n)
+                    if first and text[k : k + 1] not in ("'", '"') or first and not text[k : k + 1]:
+                        continue
+                    k += first
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    if text[k : k + 1] not in (":", "=") or not text[k : k + 1]:
+                        continue
+                    k += 1
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    k += text[k : k + 1] in ("'", '"') and bool(text[k : k + 1])
+                    stop = k
+                    while stop < len(text) and text[stop] in value:
+                        stop += 1
+                    if stop > k:
+                        end = (k, stop)
+                        break
+                if end:
+                    break
+        if end:
+            if end[1] - end[0] >= 6:
+                found.append((at, 0, end[1]))
+            at = end[1]
+        else:
+            at += 1
+    for place, (head, chars, least) in enumerate((("AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("", "0123456789abcdef", 24)), 1):
+        at = 0
+        while at < len(text):
+            stop = at + len(head)
+            if text.startswith(head, at):
+                while stop < len(text) and text[stop] in chars:
+                    stop += 1
+            if stop > at + len(head):
+                if stop - at >= least:
+                    found.append((at, place, stop))
+                at = stop
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_secrets_equal_a_plain_scan(spark):
+    kinds = ("assign", "access", "hex")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(2)
+    parts = ["token", "Secret", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "abc.DEF", "x1", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "deadbeef", "\n", "é", "password"]
+    odd = spark.createDataFrame([(10**6 + k, "".join(draw.choice(parts) for _ in range(draw.randint(0, 25)))) for k in range(500)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(odd)
+    want = {r.doc_id: plain_secrets(r.text or "") for r in both.collect()}
+    got = secrets.findings(both)[0].collect()
+    assert len(got) == len(want) and any(want.values())
+    for r in got:
+        own = want[r.doc_id]
+        base = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in own)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in own) for n in range(3))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
 def test_classifier(spark, docs):
