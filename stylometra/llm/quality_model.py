@@ -1,7 +1,7 @@
 """Quality classifier from supervised subword embeddings.
 
-Words, their shapes, byte n-grams inside words (spaces at both ends included) and a mark at each three-word window that
-the text repeats are hashed to buckets with a learned vector each. A
+Words, character 3- and 4-grams of words (spaces at both ends included) and, over the coarse alphabet of classes of
+characters, 4- and 8-grams of the text are hashed to buckets with a learned vector each. A
 document is the average of its features' vectors, a softmax layer gives its class; both are trained by stochastic
 gradient descent in numpy, one document at a time. A score needs only the average over features of a bucket's vector
 times the difference of the output vectors, so scoring gathers one number for each feature.
@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Polynomial, chunks, mix64, repeated_keys, texts, word_bounds
+from .common import BYTE_VALUES, Polynomial, chunks, texts, word_bounds
 from .repeats import joined
 
 BITS = 18
-#: Classes of bytes: capitals, small letters and bytes beyond ASCII, digits, other signs than sentence marks.
-_CLASS = np.full(256, 4, np.uint8)
-_CLASS[list(b".,;:'\"()-? \t\n\v\f\r")] = 0
-_CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 1, 2, 2, 3
+#: Classes of characters: sentence marks 0, capitals 1, small letters and all beyond ASCII 2, digits 3, other signs 4, white space 5, line ends 6.
+_CLASS = np.full(129, 4, np.uint8)
+_CLASS[list(b".,;:'\"()-?")], _CLASS[[32, 9, 11, 12, 13]], _CLASS[10] = 0, 5, 6
+_CLASS[65:91], _CLASS[97:123], _CLASS[128], _CLASS[48:58] = 1, 2, 2, 3
+#: Lengths of n-grams of classes.
+COARSE = (4, 8)
 SAMPLE = 3000
 
 
@@ -36,38 +38,39 @@ def features(blobs: list[bytes], bits: int = BITS) -> list[tuple[np.ndarray, np.
     data, starts, ends = joined(blobs)
     a, b = word_bounds(data)
     first, last = np.searchsorted(a, starts), np.searchsorted(a, ends)
-    words = Polynomial(BYTE_VALUES[data]).slices(a, b)
-    out = [((words >> np.uint64(64 - bits)).astype(np.int32), last - first)]
-    # the shape of each word: how many of each class of bytes it has, three standing for more; whether it repeats the last
-    shape = np.zeros(len(a), np.int32)
-    for k in range(1, 5):
-        total = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(_CLASS[data] == k, out=total[1:])
-        shape = shape * 4 + np.minimum(total[b] - total[a], 3)
-    again = np.zeros(len(a), np.int32)
-    again[1:] = words[1:] == words[:-1]
-    again[first[last > first]] = 0
-    shape = ((2 * shape + again + 1).astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int32)
-    out.append((shape, last - first))
-    # a mark for each word that begins a window of three words found elsewhere in the text
-    owner = np.repeat(np.arange(len(blobs)), last - first)
-    if len(words) > 2:
-        at = np.flatnonzero(owner[2:] == owner[:-2])
-        salt = mix64(np.arange(len(blobs), dtype=np.uint64) + np.uint64(1))
-        hit = at[repeated_keys(Polynomial(words).slices(at, at + 3) ^ salt[owner[at]])]
-        out.append((np.zeros(len(hit), np.int32), np.bincount(owner[hit], minlength=len(blobs))))
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    if len(data) >= 4:
-        plain = np.where(space, np.uint8(32), data).astype(np.uint32)
-        three = plain[:-2] | plain[1:-1] << 8 | plain[2:] << 16
+    shift = np.uint64(64 - bits)
+    out = [((Polynomial(BYTE_VALUES[data]).slices(a, b) >> shift).astype(np.int32), last - first)]
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    lead = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+    starts, ends = lead[starts], lead[ends]
+
+    def add(code: np.ndarray, ok: np.ndarray) -> None:
+        place = np.zeros(len(ok) + 1, np.int64)
+        np.cumsum(ok, out=place[1:])
+        code = code[ok]
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append(((code >> shift).astype(np.int32), place[np.minimum(ends, len(ok))] - place[np.minimum(starts, len(ok))]))
+
+    if len(points) >= 4:  # n-grams inside words or with the white space at their ends
+        space = (points == 32) | ((points >= 9) & (points <= 13))
+        plain = np.where(space, np.uint32(32), points).astype(np.uint64)
         inside = ~space[1:-1]
-        for code, ok in ((three * np.uint32(0x9E3779B1), inside), ((three[:-1] | plain[3:] << 24) * np.uint32(0x85EBCA6B), inside[:-1] & inside[1:])):
-            place = np.zeros(len(ok) + 1, np.int64)
-            np.cumsum(ok, out=place[1:])
-            code = code[ok]
-            code ^= code >> np.uint32(15)
-            code *= np.uint32(0x2C1B3C6D)
-            out.append(((code >> np.uint32(32 - bits)).astype(np.int32), place[np.minimum(ends, len(ok))] - place[np.minimum(starts, len(ok))]))
+        three = plain[:-2] + (plain[1:-1] << np.uint64(21)) + (plain[2:] << np.uint64(42))
+        add(three * np.uint64(0x9E3779B97F4A7C15), inside)
+        add((three[:-1] ^ plain[3:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9), inside[:-1] & inside[1:])
+    kinds = _CLASS[np.minimum(points, 128)].astype(np.uint64)
+    edge = np.zeros(len(points) + 1, bool)  # the line feed after each text: no n-gram holds it
+    edge[ends] = True
+    for n in COARSE:
+        count = len(points) - n + 1
+        if count > 0:
+            code, free = np.zeros(count, np.uint64), np.ones(count, bool)
+            for k in range(n):
+                code = code * np.uint64(8) + kinds[k : k + count]
+                free &= ~edge[k : k + count]
+            add((code + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15), free)
     return out
 
 
@@ -147,8 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["label", "bucket", "share"])
 
-    # at most `sample` rows are sent to every task and back
-    rows = texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "label").mapInArrow(run, "label int, bucket binary, share binary")
+    # at most `sample` rows are sent to every task and back: of rows that repeat a doc_id the least text counts
+    met = texts(docs).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = met.select("text", "label").mapInArrow(run, "label int, bucket binary, share binary")
     got = [(r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in rows.collect()]
     got.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return train(got, bits, seed=seed)
