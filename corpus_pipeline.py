@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages over the table of documents; each stage's rows are written and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and returns rows with the columns of documents; the last returns encoded documents.
+
+In every stage a null text counts as empty, repeated rows are documents of their own, columns beside those of documents
+are dropped, and an empty table gives an empty one. Empty texts get the score of the bias; they are copies of each other,
+so one of them stays; they hold no secret; they are not repeated; they have no token.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ def _scored(docs: DataFrame, model: quality_model.Model) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id stays."""
+    """Of each class of near copies the document with the least doc_id stays; where no document of it has one, that of the least text by hash."""
     return _columns(order_minhash.representatives(docs))
 
 
@@ -89,7 +93,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("minhash_near_dedup", near_duplicates), ("secret_scans", secret_spans), ("mix_sources", mixture), ("bpe_coding", encoding)]
 
-#: The stages learn models and use hashes that SQL cannot express; tests/llm checks each against brute force.
+#: The stages learn models and use hashes that SQL cannot express; tests/llm holds them against plain versions.
 ORACLE_SQL = None
 
 

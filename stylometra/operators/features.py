@@ -27,12 +27,30 @@ def impute_median(long: DataFrame, training: Column) -> DataFrame:
     return long.join(med, "feature", "left").withColumn("value", F.coalesce("value", "med")).drop("med")
 
 
+#: Rows of a table that may be sent to every task.
+SMALL = 100_000
+
+
+def join_small(rows: DataFrame, statistics: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined (inner, nulls meet nulls) with a table of statistics by group: sent to every task if it has at most SMALL rows, else shuffled."""
+    spark = rows.sparkSession
+    names = [f"_by{k}" for k in range(len(by))]
+    right = statistics.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], *[c for c in statistics.columns if c not in by])
+    few = right.limit(SMALL + 1).collect()  # at most SMALL + 1 rows
+    if len(few) <= SMALL:
+        right = F.broadcast(spark.createDataFrame(few, right.schema))
+    met = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        met = met & F.col(c).eqNullSafe(F.col(n))
+    return rows.join(right, met).drop(*names)
+
+
 def standardise(long: DataFrame, training: Column | None = None) -> DataFrame:
     """z by the population moments of the training rows; a deviation of 0 counts as 1."""
-    w = Window.partitionBy("feature")
     x = F.col("value") if training is None else F.when(training, F.col("value"))
-    sd = F.stddev_pop(x).over(w)
-    return long.withColumn("z", (F.col("value") - F.avg(x).over(w)) / F.when(sd > 0, sd).otherwise(1.0))
+    moments = long.groupBy("feature").agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_sd"))
+    z = (F.col("value") - F.col("_m")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    return join_small(long, moments, ["feature"]).withColumn("z", z).drop("_m", "_sd")
 
 
 def composite(z: DataFrame, directions: DataFrame) -> DataFrame:
@@ -40,17 +58,44 @@ def composite(z: DataFrame, directions: DataFrame) -> DataFrame:
     return z.join(F.broadcast(directions), "feature").groupBy("row").agg(F.avg(F.col("direction") * F.col("z")).alias("score"))
 
 
+def running_counts(df: DataFrame, by: list[str], value: str, blocks: int = 64) -> DataFrame:
+    """(by..., value, _n, _before): how many rows of the group have each value, and how many a lesser one. Nulls are left out.
+
+    Equal values are counted before they meet. Counts run within blocks between quantiles of the value; only the blocks'
+    sums meet in one window.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), [k / blocks for k in range(1, blocks)], 10000).alias("c")).head()["c"] or []
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    own = counts.withColumn("_b", F.size(F.filter(edges, lambda c: c < F.col(value).cast("double"))))
+    sums = own.groupBy(*by, "_b").agg(F.sum("_n").alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*by, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ran = own.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return join_small(ran, base, [*by, "_b"]).select(*by, value, "_n", (F.col("_base") + F.col("_in")).alias("_before"))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """rho and n in each group of by; ties have mean ranks."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, mean_rank(by, F.col(x)).alias("_x"), mean_rank(by, F.col(y)).alias("_y"))
+    """rho and n in each group of by; ties have mean ranks. Without groups ranks come from running counts of values."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if by:
+        ranked = known.select(*by, mean_rank(by, F.col(x)).alias("_x"), mean_rank(by, F.col(y)).alias("_y"))
+    else:
+        pairs = known.groupBy(F.col(x).alias("_u"), F.col(y).alias("_v")).agg(F.count("*").alias("_c"))
+        rank = F.col("_before") + (F.col("_n") + 1) / 2
+        ranked = pairs.join(running_counts(known.select(F.col(x).alias("_u")), [], "_u").select("_u", rank.alias("_x")), "_u").join(running_counts(known.select(F.col(y).alias("_v")), [], "_v").select("_v", rank.alias("_y")), "_v")
+        s = ranked.agg(F.sum("_c").alias("n"), *[F.sum(F.col("_c") * e).alias(k) for k, e in (("sx", F.col("_x")), ("sy", F.col("_y")), ("sxx", F.col("_x") * F.col("_x")), ("syy", F.col("_y") * F.col("_y")), ("sxy", F.col("_x") * F.col("_y")))])
+        n = F.col("n")
+        cov, vx, vy = n * F.col("sxy") - F.col("sx") * F.col("sy"), n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
+        return s.select(F.try_divide(cov, F.sqrt(vx * vy)).alias("rho"), F.coalesce("n", F.lit(0)).alias("n"))
     return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
 def centred(df: DataFrame, by: list[str], value: str, least: int = 1) -> DataFrame:
     """value less its group's mean, in groups of at least so many rows."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least)
-    return out.withColumn("centred", F.col(value) - F.avg(value).over(w)).drop("_n")
+    means = df.groupBy(*by).agg(F.count("*").alias("_n"), F.avg(value).alias("_m")).where(F.col("_n") >= least)
+    return join_small(df, means, by).withColumn("centred", F.col(value) - F.col("_m")).drop("_n", "_m")
 
 
 def regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -91,11 +136,16 @@ def eta_squared(long: DataFrame) -> DataFrame:
 
 
 def leave_one_out_signs(groups: DataFrame, x: str = "value", y: str = "y") -> DataFrame:
-    """groups: (feature, grp, value, y), one row a group. Share of leave-one-out correlations with the sign of the whole."""
-    folds = groups.select(F.col("feature"), F.col("grp").alias("fold"))
-    loo = folds.join(groups, "feature").where("fold <> grp").groupBy("feature", "fold").agg(F.corr(x, y).alias("r"))
-    whole = groups.groupBy("feature").agg(F.corr(x, y).alias("r_all"))
-    return loo.join(whole, "feature").groupBy("feature").agg(F.first("r_all").alias("r_all"), F.avg((F.signum("r") == F.signum("r_all")).cast("int")).alias("same_sign"))
+    """groups: (feature, grp, value, y), one row a group. Share of leave-one-out correlations with the sign of the whole: the sums of all less those of each group."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    own = groups.where(both).withColumn("_x", F.col(x).cast("double")).withColumn("_y", F.col(y).cast("double"))
+    means = own.groupBy("feature").agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    c = join_small(own, means, ["feature"]).select("feature", (F.col("_x") - F.col("_mx")).alias("u"), (F.col("_y") - F.col("_my")).alias("v"))
+    sums = c.groupBy("feature").agg(F.count("*").alias("n"), F.sum("u").alias("su"), F.sum("v").alias("sv"), F.sum(F.col("u") * F.col("v")).alias("suv"), F.corr("u", "v").alias("r_all"))
+    n, a, b = F.col("n") - 1, F.col("su") - F.col("u"), F.col("sv") - F.col("v")
+    cov = (F.col("suv") - F.col("u") * F.col("v")) - a * b / n  # a correlation has the sign of its covariance
+    signs = join_small(c, sums, ["feature"]).where("n > 1").withColumn("_same", (F.signum(cov) == F.signum("r_all")).cast("int"))
+    return signs.groupBy("feature").agg(F.first("r_all").alias("r_all"), F.avg("_same").alias("same_sign"))
 
 
 def global_rank(df: DataFrame, value: str, tie: str, blocks: int = 64) -> DataFrame:
@@ -119,11 +169,17 @@ def step_up(p: DataFrame, q: float = 0.05) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve in rank-sum form."""
+    """Area under the ROC curve in rank-sum form. Equal scores are counted before they meet."""
     by = by or []
-    r = df.where(F.col(score).isNotNull()).select(*by, positive.cast("int").alias("_p"), mean_rank(by, F.col(score)).alias("_r"))
-    s = r.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum(1 - F.col("_p")).alias("n_neg"), F.sum(F.when(F.col("_p") == 1, F.col("_r"))).alias("rs"))
-    return s.select(*by, "n_pos", "n_neg", F.try_divide(F.col("rs") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auc"))
+    p = positive.cast("int")
+    rows = df.where(F.col(score).isNotNull() & p.isNotNull()).select(*by, F.col(score).alias("_v"), p.alias("_p"))
+    ends = rows.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum(1 - F.col("_p")).alias("n_neg"))
+    positives = rows.where("_p = 1").groupBy(*by, "_v").agg(F.count("*").alias("_pos"))
+    less = running_counts(rows, by, "_v").join(positives, [*by, "_v"])
+    total = F.sum(F.col("_pos") * (F.col("_before") + (F.col("_n") + 1) / 2))
+    s = less.groupBy(*by).agg(total.alias("_rs"))
+    s = s.join(ends, by) if by else s.crossJoin(F.broadcast(ends))  # one row
+    return s.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_rs") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def concordance(df: DataFrame, key: str, truth: str, pred: str) -> DataFrame:

@@ -7,19 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import gram_sums
-
-
-def group_grams(df: DataFrame, group: str, vector: str, y: str) -> dict[str, np.ndarray]:
-    """Each group's sums of outer products of (1, x, y). The driver holds groups x features squared numbers, never rows."""
-    parts = gram_sums(df.where(F.col(vector).isNotNull() & F.col(y).isNotNull()), group, vector, y)
-    cells = parts.select("grp", F.posexplode("gram").alias("k", "v")).groupBy("grp", "k").agg(F.sum("v").alias("v"))
-    out: dict = {}
-    for r in cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("c")).collect():
-        v = np.array([c["v"] for c in r["c"]])
-        size = int(round(len(v) ** 0.5))
-        out[r["grp"]] = v.reshape(size, size)
-    return out
+from .models import group_grams
 
 
 def moments(gram: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float]:

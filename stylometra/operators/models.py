@@ -7,9 +7,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers that the driver may hold: groups x (columns + 2) squared.
+MOST_CELLS = 100_000_000
 
-def gram_sums(df: DataFrame, group: str, vector: str, y: str) -> DataFrame:
-    """One row for each group and partition: sums of outer products of (1, x, y), to be added up. One pass, no shuffle of rows."""
+
+def group_grams(df: DataFrame, group: str, vector: str, y: str) -> dict[str, np.ndarray]:
+    """Each group's sums of outer products of (1, x, y); rows with a null vector or y are left out. One pass of rows: partitions send a packed matrix a group, which are added up before the driver gets them.
+
+    Raises ValueError if there are more than MOST_CELLS numbers: too many groups or columns for a fit on the driver.
+    """
+    known = df.where(F.col(vector).isNotNull() & F.col(y).isNotNull())
+    shape = known.agg(F.countDistinct(group).alias("g"), F.max(F.size(vector)).alias("w")).head()
+    width = (shape["w"] or 0) + 2
+    if shape["g"] * width * width > MOST_CELLS:
+        raise ValueError(f"{shape['g']} groups of {width - 2} columns are too many for one fit: more than {MOST_CELLS} numbers")
 
     def run(frames):
         sums: dict = {}
@@ -17,19 +28,22 @@ def gram_sums(df: DataFrame, group: str, vector: str, y: str) -> DataFrame:
             for g, own in f.groupby(group):
                 x = np.column_stack([np.ones(len(own)), np.stack(own[vector].to_numpy()).astype(float), own[y].to_numpy(float)])
                 sums[g] = sums.get(g, 0) + x.T @ x
-        yield pd.DataFrame({"grp": [str(g) for g in sums], "gram": [s.ravel() for s in sums.values()]})
+        yield pd.DataFrame({"grp": [str(g) for g in sums], "gram": [s.tobytes() for s in sums.values()]})
+
+    def add(f):
+        return pd.DataFrame({"grp": f["grp"][:1], "gram": [sum(np.frombuffer(b) for b in f["gram"]).tobytes()]})
 
-    return df.select(group, vector, y).mapInPandas(run, "grp string, gram array<double>")
+    parts = known.select(group, vector, y).mapInPandas(run, "grp string, gram binary")
+    rows = parts.groupBy("grp").applyInPandas(add, "grp string, gram binary").collect()  # bounded above
+    return {r["grp"]: np.frombuffer(bytes(r["gram"])).reshape(width, width).copy() for r in sorted(rows, key=lambda r: r["grp"])}
 
 
 def ridge_leave_group_out(df: DataFrame, group: str, vector: str, y: str, lams: list[float]) -> DataFrame:
     """(grp, lam, n, sse): each group predicted by the ridge fit on the others, whose Gram is the total less its own."""
-    parts = gram_sums(df, group, vector, y).groupBy("grp").agg(F.collect_list("gram").alias("g"))
-    rows = {r["grp"]: np.sum(np.array(r["g"]), axis=0) for r in parts.collect()}  # groups x features squared
-    if not rows:
+    grams = group_grams(df, group, vector, y)
+    if not grams:
         return df.sparkSession.createDataFrame([], "grp string, lam double, n long, sse double")
-    size = int(round(len(next(iter(rows.values()))) ** 0.5))
-    grams = {g: v.reshape(size, size) for g, v in rows.items()}
+    size = len(next(iter(grams.values())))
     total, out = sum(grams.values()), []
     for g, own in grams.items():
         rest = total - own
@@ -63,4 +77,5 @@ def cosine_neighbours(queries: DataFrame, index: DataFrame, k: int) -> DataFrame
     q = queries.select("query", F.col("v").alias("a"), F.sqrt(dot("v", "v")).alias("na")).where("na > 0")
     i = index.select("id", F.col("v").alias("b"), F.sqrt(dot("v", "v")).alias("nb")).where("nb > 0")
     c = q.join(i, F.col("query") != F.col("id")).select("query", "id", F.round(dot("a", "b") / (F.col("na") * F.col("nb")), 9).alias("cosine"))
+    # WindowGroupLimit keeps the k best of each partition before the shuffle, so no window holds a query's whole index
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: Signs other than letters and digits at a word's edges. Words stand between ASCII white space.
+EDGE = r"(?:^|(?<=\s))[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?=\s|$)"
 
 
 def sentence_array(text: Column, marks: str = r"[.;\n]+") -> Column:
     """Trimmed, not empty."""
-    return F.filter(F.transform(F.split(text, marks), lambda s: F.trim(s)), lambda s: s != "")
+    return F.array_remove(F.split(F.trim(text), f" *(?:{marks}) *"), "")
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", marks: str = r"[.;\n]+") -> DataFrame:
@@ -18,20 +19,32 @@ def sentences(docs: DataFrame, key: str = "doc_id", marks: str = r"[.;\n]+") ->
     return docs.select(key, F.posexplode(sentence_array(F.col("text"), marks)).alias("sent_no", "sentence"))
 
 
+def token_array(text: Column) -> Column:
+    """Lower-case words without edge punctuation, in order."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), EDGE, ""), r"\s+"), "")
+
+
 def tokens(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep..., sent_no, tok_no, token): lower-case words without edge punctuation, by sentence."""
     s = docs.select(*keep, F.posexplode(sentence_array(F.col("text"))).alias("sent_no", "sentence"))
-    words = F.filter(F.transform(F.split(F.lower("sentence"), r"\s+"), lambda w: F.regexp_replace(w, EDGE, "")), lambda w: w != "")
-    return s.select(*keep, "sent_no", F.posexplode(words).alias("tok_no", "token"))
+    return s.select(*keep, "sent_no", F.posexplode(token_array(F.col("sentence"))).alias("tok_no", "token"))
+
+
+def words_of(text: Column) -> Column:
+    """The tokens of all sentences in one array: sentence marks part words, so they count as white space."""
+    return token_array(F.translate(text, ".;", "  "))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All n-grams of the padded text, from an array of its characters: no character is searched from the text's start."""
-    chars = F.split(F.concat(F.lit(" "), text, F.lit(" ")), "")
-    grams = chars
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.filter(grams, lambda g: g.isNotNull())
+    """All n-grams of code points of the padded text: at each place a look ahead, then one step."""
+    return F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
+
+
+def sentence_ngrams(text: Column, n: int, sep: str = " ") -> Column:
+    """The token n-grams of all sentences in one array; no window over rows."""
+    arrays = F.transform(sentence_array(text), lambda s: token_array(s))
+    grams = F.transform(arrays, lambda a: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.concat_ws(sep, *[F.element_at(a, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>")))
+    return F.flatten(grams)
 
 
 def top_by_count(rows: DataFrame, item: str, k: int, first: str) -> DataFrame:

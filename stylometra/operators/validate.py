@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import running_counts
+
 
 def variance_match(df: DataFrame, truth: str, pred: str, low: float = 0.5, high: float = 8.0) -> DataFrame:
     """Predictions stretched about their mean to the deviation of the truth; the stretch is clipped."""
@@ -22,14 +24,21 @@ def regression_calibration(df: DataFrame, truth: str, pred: str, low: float = 0.
 
 
 def conformal(residuals: DataFrame, value: str, levels: list[float], by: list[str] | None = None, clamp: bool = False) -> DataFrame:
-    """Half-width of each level: the ceil((n + 1) a)-th least absolute residual, infinite (or the greatest) beyond n."""
+    """Half-width of each level: the ceil((n + 1) a)-th least absolute residual, infinite (or the greatest) beyond n.
+
+    Equal residuals are counted before they meet; running counts are taken in blocks of the values' order.
+    """
     by = by or []
-    s = residuals.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.abs(F.col(value)))).alias("r"))
-    n = F.size("r")
-    each = s.withColumn("level", F.explode(F.array(*[F.lit(a) for a in levels])))
-    k = F.ceil((n + 1) * F.col("level") - 1e-9).cast("int")
-    beyond = F.element_at("r", n) if clamp else F.lit(math.inf)
-    return each.select(*by, "level", n.alias("n"), k.alias("k"), F.when(k <= n, F.try_element_at("r", F.least(k, n))).otherwise(beyond).alias("half_width"))
+    known = residuals.where(F.col(value).isNotNull()).select(*by, F.abs(F.col(value)).alias("_r"))
+    ran = running_counts(known, by, "_r")
+    sizes = known.groupBy(*by).agg(F.count("*").alias("n"), F.max("_r").alias("_top"))
+    each = sizes.withColumn("level", F.explode(F.array(*[F.lit(a) for a in levels])))
+    each = each.withColumn("k", F.ceil((F.col("n") + 1) * F.col("level") - 1e-9).cast("int")).where("n > 0")
+    wanted = each.withColumn("_k", F.least("k", "n"))
+    hit = ran.join(wanted, by) if by else ran.crossJoin(F.broadcast(wanted))  # without groups a row for each level
+    hit = hit.where((F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
+    beyond = F.col("_top") if clamp else F.lit(math.inf)
+    return hit.select(*by, "level", F.col("n").cast("int").alias("n"), "k", F.when(F.col("k") <= F.col("n"), F.col("_r")).otherwise(beyond).alias("half_width"))
 
 
 def jackknife_plus(folds: DataFrame, by: list[str], alpha: float) -> DataFrame:
@@ -69,10 +78,10 @@ def permuted(df: DataFrame, draws: int, label: str, strata: list[str] | None = N
     return a.join(b, ["draw", *strata, "_k"]).drop("_k", "_id")
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], value: str, draws: int, seed: int = 0) -> DataFrame:
-    """Poisson bootstrap: every row's weight in a draw is a Poisson(1) number from a hash, so no row is moved."""
+def bootstrap_mean(df: DataFrame, by: list[str], value: str, draws: int, row: list[str], seed: int = 0) -> DataFrame:
+    """Poisson bootstrap: every row's weight in a draw is a Poisson(1) number from a hash of its key (the columns row), so no row is moved. Rows of one key are drawn together."""
     d = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", *df.columns), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw", *row), F.lit(1 << 40)) / float(1 << 40)
     w, total, term = F.lit(0), 0.0, math.exp(-1)
     for k in range(8):
         total += term
@@ -82,10 +91,10 @@ def bootstrap_mean(df: DataFrame, by: list[str], value: str, draws: int, seed: i
     return x.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("mean"))
 
 
-def subsample(df: DataFrame, by: list[str], n: int, draws: int, seed: int = 0) -> DataFrame:
-    """n rows of each group without replacement in each draw, by the least hashes."""
+def subsample(df: DataFrame, by: list[str], n: int, draws: int, row: list[str], seed: int = 0) -> DataFrame:
+    """n rows of each group without replacement in each draw, by the least hashes of their keys (the columns row; ties by the key itself)."""
     d = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
-    w = Window.partitionBy("draw", *by).orderBy(F.xxhash64(F.lit(seed), "draw", *df.columns))
+    w = Window.partitionBy("draw", *by).orderBy(F.xxhash64(F.lit(seed), "draw", *row), *row)
     return df.crossJoin(F.broadcast(d)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import features as X
+from ..operators import joins as J
 from ..operators import models as M
 from ..operators import text as T
 from ..operators import validate as V
@@ -78,17 +79,22 @@ def jn4_full_outer(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(labels, "doc_id", "full").select("doc_id", "lang", "quality", "toxic")
 
 
-@query("WITH r(unit, lo, hi) AS (VALUES ('a', 0, 4999), ('b', 3000, 9000), ('c', 8000, 100000)) SELECT unit, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN r ON o_orderkey BETWEEN lo AND hi GROUP BY unit")
+@query("WITH r AS (SELECT c_custkey AS unit, c_custkey * 37 AS lo, c_custkey * 37 + 59 AS hi FROM customer) SELECT unit, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN r ON o_orderkey BETWEEN lo AND hi GROUP BY unit")
 def jn7_range_join(spark, d):
-    units = spark.range(3).select(F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") + 1).cast("int")).alias("unit"), F.element_at(F.array(F.lit(0), F.lit(3000), F.lit(8000)), (F.col("id") + 1).cast("int")).alias("lo"), F.element_at(F.array(F.lit(4999), F.lit(9000), F.lit(100000)), (F.col("id") + 1).cast("int")).alias("hi"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return o.join(F.broadcast(units), F.col("o_orderkey").between(F.col("lo"), F.col("hi"))).groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    units = table(spark, d, "customer").select(F.col("c_custkey").alias("unit"), (F.col("c_custkey") * 37).alias("lo"), (F.col("c_custkey") * 37 + 59).alias("hi"))
+    return J.range_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", units, "lo", "hi", 64).groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE (conv_id > 10 OR conv_id = 10 AND turn >= 2) AND (conv_id < 20 OR conv_id = 20 AND turn <= 1)")
+@query("WITH r AS (SELECT conv_id AS unit, conv_id AS c0, 2 AS t0, conv_id + 2 AS c1, 1 AS t1 FROM conversations WHERE turn = 0 GROUP BY 1) SELECT unit, count(*) AS n, min(conv_id * 1000 + turn) AS first, max(conv_id * 1000 + turn) AS last FROM conversations JOIN r ON (conv_id > c0 OR conv_id = c0 AND turn >= t0) AND (conv_id < c1 OR conv_id = c1 AND turn <= t1) GROUP BY 1")
 def jn8_struct_range(spark, d):
-    at = F.struct(F.col("conv_id"), F.col("turn"))
-    return table(spark, d, "conversations").where((at >= F.struct(F.lit(10).cast("long").alias("conv_id"), F.lit(2).cast("long").alias("turn"))) & (at <= F.struct(F.lit(20).cast("long").alias("conv_id"), F.lit(1).cast("long").alias("turn")))).select("conv_id", "turn", "role")
+    """Turns in (chapter, verse)-like intervals that overlap: from the third turn of each conversation to the second of the one after the next."""
+    c = table(spark, d, "conversations").select("conv_id", "turn")
+    units = c.where("turn = 0").select(F.col("conv_id").alias("unit")).distinct()
+    units = units.select("unit", F.col("unit").alias("lo"), (F.col("unit") + 2).alias("hi"))
+    met = J.range_join(c, "conv_id", units, "lo", "hi", 4)
+    inside = (F.struct("conv_id", F.col("turn").cast("int")) >= F.struct(F.col("lo"), F.lit(2))) & (F.struct("conv_id", F.col("turn").cast("int")) <= F.struct(F.col("hi"), F.lit(1)))
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    return met.where(inside).groupBy("unit").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
 
 
 @query("WITH n AS (SELECT s_nationkey AS k, avg(s_acctbal) AS t, max(s_suppkey) AS p FROM supplier GROUP BY 1) SELECT count(*) AS n_pairs, round(avg(((a.p - b.p) * (a.t - b.t) > 0)::INT), 6) AS concordance FROM n a JOIN n b ON a.k < b.k AND a.t <> b.t")
@@ -204,10 +210,9 @@ def wn1_wn3_centred_rho(spark, d):
     return X.spearman(c, ["lang"], "cx", "y").select("lang", r6("rho", "rho"), "n")
 
 
-@query(f"WITH {TOK}, g AS (SELECT token || ' ' || lead(token) OVER (PARTITION BY doc_id, sent_no ORDER BY tok_no) AS gram FROM tok) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) >= 5")
+@query(f"WITH {TOK}, g AS (SELECT token || ' ' || lead(token) OVER (PARTITION BY doc_id, sent_no ORDER BY tok_no) AS gram FROM tok) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram")
 def wn5_bigrams(spark, d):
-    toks = T.tokens(table(spark, d, "documents"), "doc_id")
-    return T.token_ngrams(toks, ["doc_id", "sent_no"], ["tok_no"], 2).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
+    return table(spark, d, "documents").select(F.explode(T.sentence_ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("WITH e AS (SELECT epoch(ts) AS t, value FROM events), c AS (SELECT DISTINCT floor(t / 86400) * 86400 + 43200 AS centre FROM e), x AS (SELECT floor(t / 86400) AS day, count(*) AS n, sum(value) AS s FROM e GROUP BY 1) SELECT centre::BIGINT AS centre, count(*) AS n, round(avg(value), 6) AS mean FROM c JOIN e ON t BETWEEN centre - 43200 AND centre + 43200 - 0.000001 GROUP BY centre")
@@ -289,9 +294,11 @@ def sc9_char3(spark, d):
 
 @query(f"WITH {TOK} SELECT doc_id, count(*) AS n_tok, round(count(*) FILTER (regexp_matches(token, '(?:tion|ment)$')) * 1000.0 / count(*), 6) AS noun, round(count(*) FILTER (regexp_matches(token, '(?:ung|keit|heit)$')) * 1000.0 / count(*), 6) AS abstr, round(count(*) FILTER (token IN ('the','la','el','der','die','das','le')) * 1000.0 / count(*), 6) AS article, round(count(DISTINCT token) / count(*), 6) AS ttr FROM tok GROUP BY doc_id")
 def sc14_fx1_detectors(spark, d):
-    t, n = F.col("token"), F.count("*")
-    rate = lambda c: F.count_if(c) * 1000.0 / n
-    return T.tokens(table(spark, d, "documents"), "doc_id").groupBy("doc_id").agg(n.alias("n_tok"), r6(rate(t.rlike("(?:tion|ment)$")), "noun"), r6(rate(t.rlike("(?:ung|keit|heit)$")), "abstr"), r6(rate(t.isin("the", "la", "el", "der", "die", "das", "le")), "article"), r6(F.countDistinct("token") / n, "ttr"))
+    w = F.col("w")
+    docs = table(spark, d, "documents").select("doc_id", T.words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    rate = lambda test: F.size(F.filter(w, test)) * 1000.0 / F.size(w)
+    ends = lambda pattern: rate(lambda t: t.rlike(pattern))
+    return docs.select("doc_id", F.size(w).cast("long").alias("n_tok"), r6(ends("(?:tion|ment)$"), "noun"), r6(ends("(?:ung|keit|heit)$"), "abstr"), r6(rate(lambda t: t.isin("the", "la", "el", "der", "die", "das", "le")), "article"), r6(F.size(F.array_distinct(w)) / F.size(w), "ttr"))
 
 
 @query(f"WITH u AS (SELECT source, {Y} AS y FROM documents GROUP BY source), s AS (SELECT a.source, sum(exp(-0.5 * ((a.y - b.y) / 2) ** 2)) AS s FROM u a, u b GROUP BY a.source) SELECT source, round((1 / greatest(s, 1e-9)) / (SELECT avg(1 / greatest(s, 1e-9)) FROM s), 6) AS weight FROM s")
@@ -307,7 +314,8 @@ def sc23_json(spark, d):
 
 @query()
 def src6_html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.length(R.html_text_column("html")).alias("n_chars"))
+    text = table(spark, d, "pages").select("page_id", R.html_text_column("html").alias("text"))
+    return text.select("page_id", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 @query("SELECT doc_id, sha256(coalesce(lang, '') || '|' || coalesce(source, '')) AS digest FROM documents")
@@ -389,11 +397,11 @@ def vl11_vl12_permutation_null(spark, d):
 
 @query()
 def vl16_bootstrap(spark, d):
-    b = V.bootstrap_mean(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], "n_chars", 50)
+    b = V.bootstrap_mean(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], "n_chars", 50, ["doc_id"])
     return b.groupBy("lang").agg(F.stddev_samp("mean").alias("sd"), F.percentile("mean", 0.16).alias("lo"), F.percentile("mean", 0.84).alias("hi"))
 
 
 @query()
 def vl17_subsample(spark, d):
-    s = V.subsample(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], 5, 20)
+    s = V.subsample(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], 5, 20, ["doc_id"])
     return s.groupBy("source", "draw").agg(F.stddev_pop("n_chars").alias("sd")).groupBy("source").agg(F.avg("sd").alias("sd"))

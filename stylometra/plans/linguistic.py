@@ -55,9 +55,9 @@ def sc6_tokenise_kept(spark, d):
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_sents"), F.sum(F.size("ws")).alias("n_words"), F.sum(F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w))).alias("chars"))
 
 
-@query(f"WITH {TOK} SELECT lang, token, count(*) AS n FROM tok GROUP BY 1, 2 HAVING count(*) >= 20")
+@query(f"WITH {TOK} SELECT lang, token, count(*) AS n FROM tok GROUP BY 1, 2")
 def sc7_tokens(spark, d):
-    return _tok(spark, d, "lang").groupBy("lang", "token").agg(F.count("*").alias("n")).where("n >= 20")
+    return _tok(spark, d, "lang").groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {TOK}, f AS (SELECT doc_id, sent_no, tok_no, CASE WHEN token IN {CLOSED_SQL} THEN token END AS t FROM tok), g AS (SELECT t AS a, lead(t) OVER w AS b FROM f WINDOW w AS (PARTITION BY doc_id, sent_no ORDER BY tok_no)), f2 AS (SELECT * FROM f WHERE t IS NOT NULL), g2 AS (SELECT t AS a, lead(t) OVER w AS b FROM f2 WINDOW w AS (PARTITION BY doc_id, sent_no ORDER BY tok_no)) SELECT 'skip' AS mode, a || '·' || b AS gram, count(*) AS n FROM g WHERE a || b IS NOT NULL GROUP BY 2 UNION ALL SELECT 'compact', a || '·' || b, count(*) FROM g2 WHERE a || b IS NOT NULL GROUP BY 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -22,6 +23,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir (shared by all executors); a folder of our own only where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='stylometra-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/stylometra/{name}-{uuid.uuid4().hex}"
@@ -91,35 +94,69 @@ def sentences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
 
 
-class _Text(HTMLParser):
-    """Text of a page: DROP elements vanish with their content, BLOCK elements end a line."""
+#: Elements whose content vanishes, and those after which the text up to the next tag goes too; elements that end a line; of these, those without an end tag.
+VOID = frozenset({"script", "style", "head", "nav", "footer"})
+DROP = frozenset({"note"})
+BLOCK = frozenset({"p", "div", "li", "br", "hr", "h1", "h2", "h3", "h4", "tr", "section", "article"})
+EMPTY = frozenset({"br", "hr"})
+
 
-    DROP = frozenset({"script", "style", "head", "nav", "footer", "note"})
-    BLOCK = frozenset({"p", "div", "li", "br", "h1", "h2", "h3", "h4", "tr", "section", "article"})
+class _Text(HTMLParser):
+    """Text of a page. An element that is never closed hides nothing (but code), and a new p, li or tr ends an open one."""
 
-    def __init__(self):
+    def __init__(self, void, drop, block):
         super().__init__(convert_charrefs=True)
+        self.void, self.drop, self.block = void, drop, block
         self.parts: list[str] = []
-        self.depth = 0
+        self.hidden: list[str] = []  # text since the outermost hiding element began
+        self.open: list[str] = []  # hiding elements
+        self.tail = False
+        self.implied: set[str] = set()
+
+    def _add(self, text: str) -> None:
+        (self.hidden if self.open else self.parts).append(text)
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.DROP
+        self.tail = False
+        if tag == "body" and "head" in self.open:
+            self.handle_endtag("head")
+        if tag in self.void or tag in self.drop:
+            self.open.append(tag)
+        elif tag in self.block and (tag in EMPTY or tag in self.implied):
+            self._add("\n")
+        if tag in ("p", "li", "tr"):
+            self.implied.add(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.tail = tag in self.drop
+        if tag in self.block:
+            self._add("\n")
 
     def handle_endtag(self, tag):
-        if tag in self.DROP:
-            self.depth = max(0, self.depth - 1)
-        elif tag in self.BLOCK:
-            self.parts.append("\n")
+        self.tail = False
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+            if not self.open:
+                self.hidden.clear()
+                self.tail = tag in self.drop
+        elif tag in self.block and tag not in EMPTY:
+            self._add("\n")
+            self.implied.discard(tag)
 
     def handle_data(self, data):
-        if not self.depth:
-            self.parts.append(data)
+        if not self.tail:
+            self._add(data)
+
+    def close(self):
+        super().close()
+        if self.open and self.open[0] not in self.CDATA_CONTENT_ELEMENTS:
+            self.parts += self.hidden
 
 
-def html_text(html: str | None) -> str | None:
+def html_text(html: str | None, void: frozenset = VOID, drop: frozenset = DROP, block: frozenset = BLOCK) -> str | None:
     if html is None:
         return None
-    p = _Text()
+    p = _Text(void, drop, block)
     p.feed(html)
     p.close()
     return "".join(p.parts)
@@ -138,6 +175,22 @@ def missing_draws(wanted: DataFrame, done: DataFrame, key: str = "draw") -> Data
     return wanted.join(done.select(key).distinct(), key, "left_anti")
 
 
+def inputs_digest(tables: list[DataFrame], *extra) -> str:
+    """One digest of the rows of the tables (in any order; repeats count) and of settings."""
+    parts = []
+    for t in tables:
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in t.columns]).cast("decimal(38,0)")
+        other = F.hash(*[F.col(f"`{c}`") for c in t.columns]).cast("decimal(38,0)")
+        got = t.agg(F.count("*"), F.sum(row), F.sum(row * other % F.lit(10**15).cast("decimal(38,0)"))).head()
+        parts.append(f"{t.schema.simpleString()} {tuple(map(str, got))}")
+    return hashlib.sha256("|".join([*parts, *map(repr, extra)]).encode()).hexdigest()
+
+
+def guarded_draws(spark: SparkSession, path: str, tables: list[DataFrame], *extra) -> str:
+    """The folder below path for draws made from these inputs and settings: runs on the same inputs go on there, others never meet their draws, which stay aside."""
+    return f"{path.rstrip('/')}/{inputs_digest(tables, *extra)[:16]}"
+
+
 def fingerprint(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """(key, digest): SHA-256 over the named columns, for telling changed outputs from equal ones."""
     return df.select(key, F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256).alias("digest"))
