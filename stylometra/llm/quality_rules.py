@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Polynomial, chunks, mix64, repeated_keys, texts, word_bounds
+from .common import BYTE_VALUES, Polynomial, chunks, materialize, mix64, repeated_keys, texts, word_bounds
 from .repeats import joined
 
-SYMBOLS = b"[#*$%&|<>]"[1:-1]
+SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts")
 
 #: Bit of each rule (in this order) and when it fails, over the measurements.
@@ -98,6 +98,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failed", F.expr(" | ".join(f"({b})" for b in bits)))
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder and read back: policies and ablations then cost no pass over texts."""
+    return materialize(ledger(docs), "rule-ledger")
+
+
 def apply_policy(table: DataFrame, policy: str = "v1") -> DataFrame:
     """The ledger with kept: no rule of the policy fails."""
     return table.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask_of(policy))) == 0)

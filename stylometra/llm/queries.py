@@ -36,11 +36,16 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    ledger = quality_rules.apply_policy(quality_rules.stored_ledger(table(spark, sf_dir, "documents")))
     base = F.col("failed").bitwiseAND(F.lit(quality_rules.mask_of("base"))) != 0
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ledger of op5: for each rule the documents that fail it, that fail it alone, and that would be kept without it."""
+    return quality_rules.ablation(quality_rules.stored_ledger(table(spark, sf_dir, "documents")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -63,10 +68,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_bpe_coding, op4_order_minhash, op5_quality_rules, op6_token_files, op7_fingerprints, op8_secret_scan, op9_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_bpe_coding, op4_order_minhash, op5_quality_rules, op6_token_files, op7_fingerprints, op8_secret_scan, op9_substring_dedup, op10_suffix_dedup, quality_rule_ablation)}
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
+_BITS = ", ".join(f"('{rule}', {1 << k})" for k, rule in enumerate(quality_rules.RULES))
+
 #: DuckDB SQL over the whole tables, where SQL can express the operator.
 ORACLE_SQL = {
     "op5_quality_rules": f"""
@@ -100,3 +107,6 @@ kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.i) FILTER (WHERE
          FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY words.doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
 }
+ORACLE_SQL["quality_rule_ablation"] = f"""
+WITH ledger AS ({ORACLE_SQL["op5_quality_rules"]}), r(rule, bit) AS (VALUES {_BITS}), kept AS (SELECT failed & {quality_rules.mask_of("v1")} AS bits FROM ledger)
+SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_only, count(*) FILTER (bits & ({quality_rules.mask_of("v1")} - bit) = 0) AS n_kept_without FROM kept, r GROUP BY rule"""
