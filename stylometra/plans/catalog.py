@@ -388,7 +388,7 @@ def vl10_predictive(spark, d):
 
 
 @query()
-def vl11_vl12_permutation_null(spark, d):
+def vl11_permutation_null(spark, d):
     s = table(spark, d, "documents").groupBy("source").agg(F.avg("n_chars").alias("x")).withColumn("y", unit_year())
     null = X.spearman(V.permuted(s, 200, "y"), ["draw"], "x", "y")
     seen = X.spearman(s.withColumn("draw", F.lit(-1)), ["draw"], "x", "y").select(F.col("rho").alias("seen"))

@@ -112,7 +112,7 @@ def md25_weighted_fit(spark, d):
 
 
 @query()
-def vl3_vl4_vl20_specification_grid(spark, d):
+def vl20_scenario_grid(spark, d):
     n = len(table(spark, d, "embeddings").select("embedding").first()[0])
     cols = [list(range(0, n, s)) for s in (1, 2, 4)] + [list(range(n // 2)), list(range(n // 2, n))]
     return A.scenario_fits(_vectors(spark, d), "g", "embedding", "y", LAMS, [[]], cols).select("scenario", "lam", "n", r6("rmse", "rmse"))
@@ -131,7 +131,7 @@ def vl21_noise_features(spark, d):
 
 
 @query()
-def vl22_vl23_leave_column_out(spark, d):
+def vl23_leave_column_out(spark, d):
     n = len(table(spark, d, "embeddings").select("embedding").first()[0])
     return A.scenario_fits(_vectors(spark, d), "g", "embedding", "y", [1.0], [], [[c for c in range(n) if c != k] for k in range(n)]).select("scenario", "n", r6("rmse", "rmse"))
 
