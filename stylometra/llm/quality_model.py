@@ -28,7 +28,9 @@ BITS = 18
 _CLASS = np.full(129, 4, np.uint8)
 _CLASS[list(b".,;:'\"()-?")], _CLASS[[32, 9, 11, 12, 13]], _CLASS[10] = 0, 5, 6
 _CLASS[65:91], _CLASS[97:123], _CLASS[128], _CLASS[48:58] = 1, 2, 2, 3
-#: Lengths of n-grams of classes.
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 500_000
+#: Lengths of n-grams of classes: powers of two, the last at most 8.
 COARSE = (4, 8)
 SAMPLE = 3000
 
@@ -60,17 +62,21 @@ def features(blobs: list[bytes], bits: int = BITS) -> list[tuple[np.ndarray, np.
         three = plain[:-2] + (plain[1:-1] << np.uint64(21)) + (plain[2:] << np.uint64(42))
         add(three * np.uint64(0x9E3779B97F4A7C15), inside)
         add((three[:-1] ^ plain[3:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9), inside[:-1] & inside[1:])
-    kinds = _CLASS[np.minimum(points, 128)].astype(np.uint64)
-    edge = np.zeros(len(points) + 1, bool)  # the line feed after each text: no n-gram holds it
-    edge[ends] = True
-    for n in COARSE:
-        count = len(points) - n + 1
-        if count > 0:
-            code, free = np.zeros(count, np.uint64), np.ones(count, bool)
-            for k in range(n):
-                code = code * np.uint64(8) + kinds[k : k + count]
-                free &= ~edge[k : k + count]
-            add((code + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15), free)
+    kinds = _CLASS[np.minimum(points, 128)].astype(np.uint32)
+    edges = np.zeros(len(points) + 1, np.int32)  # line feeds that end texts, before each place: no n-gram holds one
+    edges[ends + 1] = 1
+    edges = np.cumsum(edges)
+    code, n = kinds, 1
+    while 2 * n <= COARSE[-1] and len(code) > n:  # an n-gram of classes from its halves, three bits a class
+        code, n = (code[:-n] << np.uint32(3 * n)) + code[n:], 2 * n
+        if n in COARSE:
+            free = edges[n : n + len(code)] == edges[: len(code)]
+            place = np.zeros(len(free) + 1, np.int64)
+            np.cumsum(free, out=place[1:])
+            own = (code[free] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            own ^= own >> np.uint32(15)
+            own *= np.uint32(0x85EBCA6B)
+            out.append(((own >> np.uint32(32 - bits)).astype(np.int32), place[np.minimum(ends, len(free))] - place[np.minimum(starts, len(free))]))
     return out
 
 
@@ -163,7 +169,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.3, bits: int = B
     shared = docs.sparkSession.sparkContext.broadcast((model.weights(), model.offset))
 
     def run(batches):
-        for ids, blobs in chunks(batches, 2_000_000):
+        for ids, blobs in chunks(batches, SCORED_BYTES):
             weights, offset = shared.value
             s = score(blobs, weights, offset, bits)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
