@@ -42,11 +42,14 @@ def _scored(docs: DataFrame, model: quality_model.Model) -> DataFrame:
     def run(batches):
         weights, offset = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                blobs = [(x.as_py() or "").encode() for x in part.column(place)]
-                s = quality_model.score(blobs, weights, offset)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array((s >= 0.3).astype(np.int32))], names=[*names, "predicted"])
+            at, blobs, size = 0, [], 0
+            for k, x in enumerate(batch.column(place)):
+                blobs.append((x.as_py() or "").encode())
+                size += len(blobs[-1])
+                if size >= quality_model.SCORED_BYTES or k == batch.num_rows - 1:
+                    s = quality_model.score(blobs, weights, offset)
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(blobs)).columns, pa.array((s >= 0.3).astype(np.int32))], names=[*names, "predicted"])
+                    at, blobs, size = k + 1, [], 0
 
     return own.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "predicted int"]))
 

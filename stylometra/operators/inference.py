@@ -269,3 +269,80 @@ def substituted(tokens: DataFrame, changes: dict[str, str], rate: float, place:
     for old, other in changes.items():
         new = F.when(F.col("token") == old, other).otherwise(new)
     return tokens.withColumn("token", F.when(new.isNotNull() & (draw < rate), new).otherwise(F.col("token")))
+
+
+def shifted(gram: np.ndarray, delta: float) -> np.ndarray:
+    """The Gram matrix of a group whose rows' y are all moved by delta."""
+    out = gram.copy()
+    out[:-1, -1] = out[-1, :-1] = gram[:-1, -1] + delta * gram[:-1, 0]
+    out[-1, -1] = gram[-1, -1] + 2 * delta * gram[0, -1] + delta * delta * gram[0, 0]
+    return out
+
+
+def anchor_shifts(df: DataFrame, group: str, vector: str, y: str, lam: float, scenarios: dict[str, dict[str, float]]) -> DataFrame:
+    """(scenario, grp, truth, pred): leave-one-group-out predictions with some groups' y moved; no scenario reads rows again."""
+    grams, out = group_grams(df, group, vector, y), []
+    for name, moves in scenarios.items() if len(grams) > 1 else []:
+        own = {g: shifted(v, moves.get(g, 0.0)) for g, v in grams.items()}
+        out += [(name, g, _truth(own[g]), float(p[0])) for g, p in _left_out(own, [lam]).items()]
+    return df.sparkSession.createDataFrame(out, "scenario string, grp string, truth double, pred double")
+
+
+def random_subsets(df: DataFrame, group: str, vector: str, y: str, lam: float, size: int, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, mae, rho): leave-one-group-out fits on columns drawn without replacement; draw -1 has all columns."""
+    grams, out, rng = group_grams(df, group, vector, y), [], np.random.default_rng(seed)
+    width = len(next(iter(grams.values()))) - 2 if grams else 0
+    truth = np.array([_truth(v) for v in grams.values()])
+    for draw in range(-1, draws if len(grams) > 1 else -1):
+        columns = np.arange(width) if draw < 0 else np.sort(rng.permutation(width)[:size])
+        pred = np.array([p[0] for p in _left_out({g: _cut(v, columns) for g, v in grams.items()}, [lam]).values()])
+        if len(grams) > 1:
+            out.append((draw, float(np.abs(pred - truth).mean()), spearman_of(pred, truth)))
+    return df.sparkSession.createDataFrame(out, "draw int, mae double, rho double")
+
+
+def bootstrap(df: DataFrame, by: list[str], value: str, draws: int, row: list[str], statistic: str = "mean", weight: str | None = None, seed: int = 0) -> DataFrame:
+    """(by..., draw, value): Poisson bootstrap of the mean (weighted, if asked) or the median; a row's number in a draw comes from a hash of its key."""
+    d = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw", *row), F.lit(1 << 40)) / float(1 << 40)
+    times, total, term = F.lit(0), 0.0, math.exp(-1)
+    for k in range(8):
+        total += term
+        times = times + (u >= total).cast("int")
+        term /= k + 1
+    x = df.crossJoin(F.broadcast(d)).withColumn("_t", times).where("_t > 0")
+    w = F.col("_t") * F.col(weight) if weight else F.col("_t")
+    made = F.percentile(F.col(value), F.lit(0.5), F.col("_t")) if statistic == "median" else F.try_divide(F.sum(w * F.col(value)), F.sum(F.when(F.col(value).isNotNull(), w)))
+    return x.groupBy(*by, "draw").agg(made.alias("value"))
+
+
+def annotated_rates(tokens: DataFrame, unit: str, sentence: str, order: str, single: dict[str, Column], pairs: dict[str, Column], tops: dict[str, int]) -> DataFrame:
+    """(unit, family, item, n, rate) of annotated tokens: single families count an item for each token, pairs one for each two neighbours of a sentence; a null voids it.
+
+    Only the commonest items of each family (ties by item) of all units are kept; rates are per 1000 tokens of the unit.
+    Neighbours are met in the sentence's array of tokens, so the table is grouped by sentence once and never windowed.
+    """
+    kinds = {**{k: c for k, c in single.items()}, **{f"_{k}": c for k, c in pairs.items()}}
+    cells = F.struct(F.col(order).alias("_o"), *[c.cast("string").alias(k) for k, c in kinds.items()])
+    own = tokens.groupBy(unit, sentence).agg(F.array_sort(F.collect_list(cells)).alias("s"))  # the tokens of one sentence
+    lists = [F.struct(F.lit(k).alias("family"), F.transform("s", lambda x, k=k: x[k]).alias("items")) for k in single]
+    for k in pairs:
+        both = F.zip_with(F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), lambda a, b, k=k: F.concat(a[f"_{k}"], F.lit("|"), b[f"_{k}"]))
+        lists.append(F.struct(F.lit(k).alias("family"), both.alias("items")))
+    flat = own.select(unit, F.explode(F.array(*lists)).alias("f")).select(unit, "f.family", F.explode("f.items").alias("item")).where("item IS NOT NULL")
+    counts = flat.groupBy(unit, "family", "item").agg(F.count("*").alias("n"))
+    whole, kept = counts.groupBy("family", "item").agg(F.sum("n").alias("_all")), None
+    for family, k in tops.items():
+        part = whole.where(F.col("family") == family).orderBy(F.desc("_all"), "item").limit(k).select("family", "item")
+        kept = part if kept is None else kept.unionByName(part)
+    size = tokens.groupBy(unit).agg(F.count("*").alias("_size"))
+    met = counts.join(F.broadcast(kept), ["family", "item"]).join(size, unit)  # at most sum(tops) rows are sent
+    return met.select(unit, "family", "item", "n", (F.col("n") * 1000.0 / F.col("_size")).alias("rate"))
+
+
+def clause_order(parts: DataFrame, unit: str, clause: str, role: str, place: str, subject: str, verb: str, thing: str) -> DataFrame:
+    """(unit, sv, ov, null_subject): of clauses that have both the share whose last subject, or object, stands before the last verb; of those with a verb the share without a subject."""
+    at = lambda r: F.max(F.when(F.col(role) == r, F.col(place)))
+    own = parts.groupBy(unit, clause).agg(at(subject).alias("s"), at(verb).alias("v"), at(thing).alias("o"))
+    share = lambda a, b: F.avg((F.col(a) < F.col(b)).cast("int"))
+    return own.groupBy(unit).agg(share("s", "v").alias("sv"), share("o", "v").alias("ov"), F.avg(F.when(F.col("v").isNotNull(), F.col("s").isNull().cast("int"))).alias("null_subject"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import features as X
 from ..operators import inference as I
 from ..operators import text as T
 from ..sources.tables import table
@@ -123,3 +125,79 @@ def snk8_guarded_resume(spark, d):
     done = spark.read.parquet(path)
     both = done.select("doc_id", F.lit("done").alias("status")).unionByName(R.missing_draws(docs, done, "doc_id").select("doc_id", F.lit("open").alias("status")))
     return both.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE s0 AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.;\\n]+'), lambda s: trim(s, ' ')), lambda s: s <> '') AS ss FROM documents), sx AS (SELECT doc_id, generate_subscripts(ss, 1) AS k, regexp_matches(unnest(ss), '(?i)\\b(?:said|dit|sagt|dice|der|la|the)\\b') AS hit FROM s0), a(after) AS (VALUES (1), (2)), w(doc_id, after, k, skip, kept) AS (SELECT doc_id, after, k, CASE WHEN hit THEN after ELSE 0 END, (NOT hit)::INT FROM sx, a WHERE k = 1 UNION ALL SELECT sx.doc_id, w.after, sx.k, CASE WHEN w.skip > 0 THEN w.skip - 1 WHEN hit THEN w.after ELSE 0 END, (w.skip = 0 AND NOT hit)::INT FROM w JOIN sx ON sx.doc_id = w.doc_id AND sx.k = w.k + 1) SELECT doc_id, count(*) FILTER (after = 1) AS n_sents, sum(kept) FILTER (after = 1)::BIGINT AS n_basic, sum(kept) FILTER (after = 2)::BIGINT AS n_heavy, round(1 - sum(kept) FILTER (after = 2) / count(*) FILTER (after = 2), 6) AS dropped_heavy FROM w GROUP BY 1")
+def sc8_quote_forms(spark, d):
+    """Sentences left by the basic form (one sentence goes with each that attributes speech) and the heavy one (two go), and the share that the heavy one drops."""
+    verbs = r"(?i)\b(?:said|dit|sagt|dice|der|la|the)\b"
+    docs = table(spark, d, "documents").select("doc_id", T.sentence_array(F.col("text")).alias("ss")).where(F.size("ss") > 0)
+    n, kept = F.size("ss").cast("long"), lambda after: F.size(T.drop_quotes(F.col("ss"), verbs, after)).cast("long")
+    return docs.select("doc_id", n.alias("n_sents"), kept(1).alias("n_basic"), kept(2).alias("n_heavy"), r6(1 - kept(2) / n, "dropped_heavy"))
+
+
+
+@query("WITH t AS (SELECT l_orderkey % 500 AS unit, l_orderkey AS s, l_linenumber AS o, l_returnflag AS flag, l_returnflag || '/' || l_linestatus AS agr, least(l_quantity::BIGINT // 10, 4)::VARCHAR AS size FROM lineitem), p AS (SELECT unit, flag || '|' || lead(flag) OVER (PARTITION BY unit, s ORDER BY o) AS item FROM t), i AS (SELECT unit, 'flag' AS family, flag AS item FROM t UNION ALL SELECT unit, 'agr', agr FROM t UNION ALL SELECT unit, 'size', size FROM t UNION ALL SELECT unit, 'flag_bi', item FROM p WHERE item IS NOT NULL), c AS (SELECT unit, family, item, count(*) AS n FROM i GROUP BY ALL), v AS (SELECT family, item, row_number() OVER (PARTITION BY family ORDER BY sum(n) DESC, item) AS k FROM c GROUP BY 1, 2), z AS (SELECT unit, count(*) AS size FROM t GROUP BY 1), l(family, top) AS (VALUES ('flag', 3), ('agr', 2), ('size', 4), ('flag_bi', 5)) SELECT unit, family, item, n, round(n * 1000.0 / size, 6) AS rate FROM c JOIN v USING (family, item) JOIN l ON l.family = v.family AND k <= top JOIN z USING (unit)")
+def fx3_fx4_annotated_rates(spark, d):
+    """Families over annotated tokens: single tags, agreement of two, bins, and neighbours of a sentence; an order's lines stand for a sentence."""
+    li = table(spark, d, "lineitem").withColumn("unit", F.col("l_orderkey") % 500)
+    size = F.least(F.floor(F.col("l_quantity").cast("long") / 10), F.lit(4))
+    single = {"flag": F.col("l_returnflag"), "agr": F.concat_ws("/", "l_returnflag", "l_linestatus"), "size": size}
+    return I.annotated_rates(li, "unit", "l_orderkey", "l_linenumber", single, {"flag_bi": F.col("l_returnflag")}, {"flag": 3, "agr": 2, "size": 4, "flag_bi": 5}).select("unit", "family", "item", "n", r6("rate", "rate"))
+
+
+@query("WITH c AS (SELECT l_orderkey % 500 AS unit, l_orderkey, max(l_linenumber) FILTER (l_returnflag = 'A') AS s, max(l_linenumber) FILTER (l_returnflag = 'N') AS v, max(l_linenumber) FILTER (l_returnflag = 'R') AS o FROM lineitem GROUP BY 1, 2) SELECT unit, round(avg((s < v)::INT), 6) AS sv, round(avg((o < v)::INT), 6) AS ov, round(avg((s IS NULL)::INT) FILTER (v IS NOT NULL), 6) AS null_subject FROM c GROUP BY 1")
+def fx5_clause_order(spark, d):
+    li = table(spark, d, "lineitem").withColumn("unit", F.col("l_orderkey") % 500)
+    return I.clause_order(li, "unit", "l_orderkey", "l_returnflag", "l_linenumber", "A", "N", "R").select("unit", r6("sv", "sv"), r6("ov", "ov"), r6("null_subject", "null_subject"))
+
+
+@query()
+def vl16_bootstrap_forms(spark, d):
+    """Deviations over draws of a stratum's mean, weighted mean and median, and of the difference of two strata's medians."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars").where("lang IS NOT NULL")
+    forms = [I.bootstrap(docs, ["lang"], "n_chars", 50, ["doc_id"], s, w).withColumn("form", F.lit(n)) for n, s, w in (("mean", "mean", None), ("weighted", "mean", "n_chars"), ("median", "median", None))]
+    both = forms[0].unionByName(forms[1]).unionByName(forms[2])
+    gap = forms[2].groupBy("draw").agg((F.max(F.when(F.col("lang") == "en", F.col("value"))) - F.max(F.when(F.col("lang") == "de", F.col("value")))).alias("value"))
+    both = both.unionByName(gap.select(F.lit("en-de").alias("lang"), "draw", "value", F.lit("median gap").alias("form")))
+    return both.groupBy("form", "lang").agg(F.count("value").alias("draws"), r6(F.avg("value"), "mean"), r6(F.stddev_samp("value"), "sd"))
+
+
+@query()
+def vl19_anchor_shifts(spark, d):
+    moves = {"none": {}, "all later": {str(g): 1.0 for g in range(10)}, "odd later": {str(g): 1.0 for g in range(1, 10, 2)}, "first earlier": {"0": -2.0}}
+    return I.anchor_shifts(_vectors(spark, d), "g", "embedding", "y", 1.0, moves).select("scenario", "grp", r6("truth", "truth"), r6("pred", "pred"))
+
+
+@query()
+def vl23_random_subsets(spark, d):
+    return I.random_subsets(_vectors(spark, d), "g", "embedding", "y", 1.0, 16, 50).select("draw", r6("mae", "mae"), r6("rho", "rho"))
+
+
+@query("WITH r AS (SELECT doc_id, lang, n_chars - 1500.0 AS res, 1500.0 AS pred FROM documents), m AS (SELECT lang, avg(res) AS off FROM r GROUP BY 1), e AS (SELECT round(res - off, 4) AS e FROM r JOIN m USING (lang)), c AS (SELECT lang, round(2000 - (1500.0 + off), 4) AS cut FROM m) SELECT lang, cut, round(avg((e > cut)::INT), 6) AS p_beyond FROM c, e GROUP BY 1, 2")
+def vl28_rescored(spark, d):
+    """Predictions moved by their stratum's mean residual, and the share of adjusted residuals that take them beyond a cut: strata meet a count of distinct residuals, not rows."""
+    r = table(spark, d, "documents").select("lang", (F.col("n_chars") - 1500.0).alias("res"))
+    off = r.groupBy("lang").agg(F.avg("res").alias("off"), F.count("*").alias("n"))
+    e = X.join_small(r, off.select("lang", "off"), ["lang"]).select(F.round(F.col("res") - F.col("off"), 4).alias("e"))
+    ran = X.running_counts(e, [], "e")
+    cuts = off.select("lang", F.round(2000 - (1500.0 + F.col("off")), 4).alias("cut"))
+    n = e.count()
+    # the count of residuals at or below each cut: the last running count there
+    below = cuts.join(ran, F.col("e") <= F.col("cut"), "left").groupBy("lang", "cut").agg(F.coalesce(F.max(F.col("_before") + F.col("_n")), F.lit(0)).alias("k"))
+    return below.select("lang", "cut", r6(1 - F.col("k") / F.lit(n), "p_beyond"))
+
+
+@query()
+def vl13_false_discovery(spark, d):
+    """Features that a screen keeps, those that it keeps when groups' labels are dealt anew, and the share of false ones that this suggests."""
+    g = dims(spark, d).groupBy("feature", "grp").agg(F.avg("value").alias("value"))
+    y = spark.range(10).select(F.col("id").alias("grp"), F.col("id").cast("double").alias("y"))
+    deals = y.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    w = Window.partitionBy("draw").orderBy(F.xxhash64("draw", "grp"), "grp")
+    deals = deals.withColumn("y", (F.row_number().over(w) - 1).cast("double")).select("grp", "draw", "y").unionByName(y.select("grp", F.lit(-1).alias("draw"), "y"))
+    s = X.spearman(g.join(F.broadcast(deals), "grp"), ["draw", "feature"], "value", "y")  # 101 rows a group
+    hit = F.abs("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))) > 2.306004  # two-sided 5 % of t with 8 degrees of freedom
+    kept = s.groupBy("draw").agg(F.count_if(hit).alias("kept"))
+    out = kept.agg(F.max(F.when(F.col("draw") == -1, F.col("kept"))).alias("kept"), F.avg(F.when(F.col("draw") >= 0, F.col("kept"))).alias("null_mean"))
+    return out.select("kept", r6("null_mean", "null_mean"), r6(F.least(F.try_divide(F.col("null_mean"), F.col("kept")), F.lit(1.0)), "fdp"))

@@ -178,3 +178,30 @@ def test_command_line(capsys, spark, tmp_path):
     assert main(["run", "nothing", "--tables", "x"]) == 2
     assert main(["run", "prj21_era", "--tables", "/root/testdata/sf0.001", "--out", f"file://{tmp_path}/out"]) == 0
     assert spark.read.parquet(f"file://{tmp_path}/out/prj21_era").count() > 0
+
+
+def test_moved_anchors_and_random_columns(spark):
+    df, data = _groups(spark)
+    moved = {r.grp: r for r in inference.anchor_shifts(df, "g", "v", "y", 1.0, {"x": {"3": 5.0}}).collect()}
+    again = spark.createDataFrame([(g, v, t + 5.0 * (g == "3")) for g, v, t in data], "g string, v array<double>, y double")
+    direct = {r.grp: r for r in inference.anchor_shifts(again, "g", "v", "y", 1.0, {"x": {}}).collect()}
+    assert moved["3"].truth == pytest.approx(8.0) and all(moved[g].pred == pytest.approx(direct[g].pred) for g in moved)
+    subsets = inference.random_subsets(df, "g", "v", "y", 1.0, 2, 20).collect()
+    assert len(subsets) == 21 and min(r.mae for r in subsets) <= subsets[0].mae + 1.0 and max(r.mae for r in subsets) > 1.5
+
+
+def test_bootstrap_forms(spark):
+    df = spark.createDataFrame([(i, float(i), 1.0 + i % 3) for i in range(60)] + [(99, None, 1.0)], "i long, v double, w double")
+    for statistic, weight in (("mean", None), ("mean", "w"), ("median", None)):
+        got = [r["value"] for r in inference.bootstrap(df, [], "v", 40, ["i"], statistic, weight).collect()]
+        assert len(got) == 40 and 20 < np.mean(got) < 40 and 0.5 < np.std(got) < 8
+
+
+def test_annotated_rates_and_clause_order(spark):
+    rows = [("u", 1, 1, "a"), ("u", 1, 2, "b"), ("u", 1, 3, None), ("u", 1, 4, "a"), ("u", 2, 1, "b"), ("w", 3, 1, "a")]
+    df = spark.createDataFrame(rows, "unit string, s long, o long, tag string")
+    got = {(r.unit, r.family, r["item"]): (r.n, r.rate) for r in inference.annotated_rates(df, "unit", "s", "o", {"tag": F.col("tag")}, {"two": F.col("tag")}, {"tag": 2, "two": 5}).collect()}
+    assert got == {("u", "tag", "a"): (2, 400.0), ("u", "tag", "b"): (2, 400.0), ("w", "tag", "a"): (1, 1000.0), ("u", "two", "a|b"): (1, 200.0)}
+    parts = spark.createDataFrame([("u", 1, "S", 1), ("u", 1, "V", 2), ("u", 2, "V", 1), ("u", 2, "O", 2), ("u", 3, "V", 1), ("u", 3, "S", 2)], "unit string, c long, role string, place long")
+    r = inference.clause_order(parts, "unit", "c", "role", "place", "S", "V", "O").head()
+    assert (r.sv, r.ov, r.null_subject) == (0.5, 0.0, pytest.approx(1 / 3))
