@@ -320,15 +320,21 @@ def annotated_rates(tokens: DataFrame, unit: str, sentence: str, order: str, sin
     """(unit, family, item, n, rate) of annotated tokens: single families count an item for each token, pairs one for each two neighbours of a sentence; a null voids it.
 
     Only the commonest items of each family (ties by item) of all units are kept; rates are per 1000 tokens of the unit.
-    Neighbours are met in the sentence's array of tokens, so the table is grouped by sentence once and never windowed.
+    Tokens of one place are ordered by their tags. Neighbours are met in the sentence's array of tokens, so the table is grouped by sentence once and never windowed.
     """
     kinds = {**{k: c for k, c in single.items()}, **{f"_{k}": c for k, c in pairs.items()}}
     cells = F.struct(F.col(order).alias("_o"), *[c.cast("string").alias(k) for k, c in kinds.items()])
-    own = tokens.groupBy(unit, sentence).agg(F.array_sort(F.collect_list(cells)).alias("s"))  # the tokens of one sentence
-    lists = [F.struct(F.lit(k).alias("family"), F.transform("s", lambda x, k=k: x[k]).alias("items")) for k in single]
-    for k in pairs:
-        both = F.zip_with(F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), lambda a, b, k=k: F.concat(a[f"_{k}"], F.lit("|"), b[f"_{k}"]))
-        lists.append(F.struct(F.lit(k).alias("family"), both.alias("items")))
+    own = tokens.groupBy(unit, sentence).agg(F.array_sort(F.collect_list(cells)).alias("_s"))  # the tokens of one sentence
+    first, second = (F.slice("_s", F.lit(at), F.greatest(F.size("_s") - 1, F.lit(0))) for at in (1, 2))
+
+    def single_items(k: str) -> Column:
+        return F.transform("_s", lambda x: x[k])
+
+    def pair_items(k: str) -> Column:
+        return F.zip_with(first, second, lambda a, b: F.concat(a[f"_{k}"], F.lit("|"), b[f"_{k}"]))
+
+    lists = [F.struct(F.lit(k).alias("family"), single_items(k).alias("items")) for k in single]
+    lists += [F.struct(F.lit(k).alias("family"), pair_items(k).alias("items")) for k in pairs]
     flat = own.select(unit, F.explode(F.array(*lists)).alias("f")).select(unit, "f.family", F.explode("f.items").alias("item")).where("item IS NOT NULL")
     counts = flat.groupBy(unit, "family", "item").agg(F.count("*").alias("n"))
     whole, kept = counts.groupBy("family", "item").agg(F.sum("n").alias("_all")), None

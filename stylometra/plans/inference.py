@@ -127,17 +127,17 @@ def snk8_guarded_resume(spark, d):
     return both.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("WITH RECURSIVE s0 AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.;\\n]+'), lambda s: trim(s, ' ')), lambda s: s <> '') AS ss FROM documents), sx AS (SELECT doc_id, generate_subscripts(ss, 1) AS k, regexp_matches(unnest(ss), '(?i)\\b(?:said|dit|sagt|dice|der|la|the)\\b') AS hit FROM s0), a(after) AS (VALUES (1), (2)), w(doc_id, after, k, skip, kept) AS (SELECT doc_id, after, k, CASE WHEN hit THEN after ELSE 0 END, (NOT hit)::INT FROM sx, a WHERE k = 1 UNION ALL SELECT sx.doc_id, w.after, sx.k, CASE WHEN w.skip > 0 THEN w.skip - 1 WHEN hit THEN w.after ELSE 0 END, (w.skip = 0 AND NOT hit)::INT FROM w JOIN sx ON sx.doc_id = w.doc_id AND sx.k = w.k + 1) SELECT doc_id, count(*) FILTER (after = 1) AS n_sents, sum(kept) FILTER (after = 1)::BIGINT AS n_basic, sum(kept) FILTER (after = 2)::BIGINT AS n_heavy, round(1 - sum(kept) FILTER (after = 2) / count(*) FILTER (after = 2), 6) AS dropped_heavy FROM w GROUP BY 1")
+@query("WITH RECURSIVE s0 AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.;\\n]+'), lambda s: trim(s, ' ')), lambda s: s <> '') AS ss FROM documents), sx AS (SELECT doc_id, generate_subscripts(ss, 1) AS k, regexp_matches(unnest(ss), '(?i)(?:^|[^\\p{L}\\p{N}_])(?:said|dit|sagt|dice|der|la|the)(?:[^\\p{L}\\p{N}_]|$)') AS hit FROM s0), a(after) AS (VALUES (1), (2)), w(doc_id, after, k, skip, kept) AS (SELECT doc_id, after, k, CASE WHEN hit THEN after ELSE 0 END, (NOT hit)::INT FROM sx, a WHERE k = 1 UNION ALL SELECT sx.doc_id, w.after, sx.k, CASE WHEN w.skip > 0 THEN w.skip - 1 WHEN hit THEN w.after ELSE 0 END, (w.skip = 0 AND NOT hit)::INT FROM w JOIN sx ON sx.doc_id = w.doc_id AND sx.k = w.k + 1) SELECT doc_id, count(*) FILTER (after = 1) AS n_sents, sum(kept) FILTER (after = 1)::BIGINT AS n_basic, sum(kept) FILTER (after = 2)::BIGINT AS n_heavy, round(1 - sum(kept) FILTER (after = 2) / count(*) FILTER (after = 2), 6) AS dropped_heavy FROM w GROUP BY 1")
 def sc8_quote_forms(spark, d):
     """Sentences left by the basic form (one sentence goes with each that attributes speech) and the heavy one (two go), and the share that the heavy one drops."""
-    verbs = r"(?i)\b(?:said|dit|sagt|dice|der|la|the)\b"
+    verbs = r"(?i)(?:^|[^\p{L}\p{N}_])(?:said|dit|sagt|dice|der|la|the)(?:[^\p{L}\p{N}_]|$)"
     docs = table(spark, d, "documents").select("doc_id", T.sentence_array(F.col("text")).alias("ss")).where(F.size("ss") > 0)
     n, kept = F.size("ss").cast("long"), lambda after: F.size(T.drop_quotes(F.col("ss"), verbs, after)).cast("long")
     return docs.select("doc_id", n.alias("n_sents"), kept(1).alias("n_basic"), kept(2).alias("n_heavy"), r6(1 - kept(2) / n, "dropped_heavy"))
 
 
 
-@query("WITH t AS (SELECT l_orderkey % 500 AS unit, l_orderkey AS s, l_linenumber AS o, l_returnflag AS flag, l_returnflag || '/' || l_linestatus AS agr, least(l_quantity::BIGINT // 10, 4)::VARCHAR AS size FROM lineitem), p AS (SELECT unit, flag || '|' || lead(flag) OVER (PARTITION BY unit, s ORDER BY o) AS item FROM t), i AS (SELECT unit, 'flag' AS family, flag AS item FROM t UNION ALL SELECT unit, 'agr', agr FROM t UNION ALL SELECT unit, 'size', size FROM t UNION ALL SELECT unit, 'flag_bi', item FROM p WHERE item IS NOT NULL), c AS (SELECT unit, family, item, count(*) AS n FROM i GROUP BY ALL), v AS (SELECT family, item, row_number() OVER (PARTITION BY family ORDER BY sum(n) DESC, item) AS k FROM c GROUP BY 1, 2), z AS (SELECT unit, count(*) AS size FROM t GROUP BY 1), l(family, top) AS (VALUES ('flag', 3), ('agr', 2), ('size', 4), ('flag_bi', 5)) SELECT unit, family, item, n, round(n * 1000.0 / size, 6) AS rate FROM c JOIN v USING (family, item) JOIN l ON l.family = v.family AND k <= top JOIN z USING (unit)")
+@query("WITH t AS (SELECT l_orderkey % 500 AS unit, l_orderkey AS s, l_linenumber AS o, l_returnflag AS flag, l_returnflag || '/' || l_linestatus AS agr, least(l_quantity::BIGINT // 10, 4)::VARCHAR AS size FROM lineitem), p AS (SELECT unit, flag || '|' || lead(flag) OVER (PARTITION BY unit, s ORDER BY o, flag, agr, size) AS item FROM t), i AS (SELECT unit, 'flag' AS family, flag AS item FROM t UNION ALL SELECT unit, 'agr', agr FROM t UNION ALL SELECT unit, 'size', size FROM t UNION ALL SELECT unit, 'flag_bi', item FROM p WHERE item IS NOT NULL), c AS (SELECT unit, family, item, count(*) AS n FROM i GROUP BY ALL), v AS (SELECT family, item, row_number() OVER (PARTITION BY family ORDER BY sum(n) DESC, item) AS k FROM c GROUP BY 1, 2), z AS (SELECT unit, count(*) AS size FROM t GROUP BY 1), l(family, top) AS (VALUES ('flag', 3), ('agr', 2), ('size', 4), ('flag_bi', 5)) SELECT unit, family, item, n, round(n * 1000.0 / size, 6) AS rate FROM c JOIN v USING (family, item) JOIN l ON l.family = v.family AND k <= top JOIN z USING (unit)")
 def fx3_fx4_annotated_rates(spark, d):
     """Families over annotated tokens: single tags, agreement of two, bins, and neighbours of a sentence; an order's lines stand for a sentence."""
     li = table(spark, d, "lineitem").withColumn("unit", F.col("l_orderkey") % 500)
