@@ -51,7 +51,7 @@ def parts_for(docs: DataFrame, size: int = RANGE_BYTES) -> int:
 
     The size is that of the first rows times the number of rows: it only shapes files and tasks, so no pass over all texts is spent on it.
     """
-    seen = texts(docs).limit(2000).agg(F.avg(F.octet_length("text"))).head()[0] or 0
+    seen = texts(docs).select(F.octet_length("text").alias("n")).limit(2000).agg(F.avg("n")).head()[0] or 0
     total = int(seen * docs.count())
     usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, -(-total // size), min(usual, -(-total // 1_000_000)))
