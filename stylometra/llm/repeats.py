@@ -30,8 +30,8 @@ from .common import BYTE_VALUES, Polynomial, materialize, texts, word_bounds
 
 #: Different contexts of one seed that one block may hold (3 MB of bytes, 250 MB in a resolver), and contexts of one reference in a piece.
 BLOCK_CONTEXTS, PIECE_CONTEXTS = 5000, 500
-#: Symbols of contexts in one resolver block, and bytes of text handled at once.
-BLOCK_SYMBOLS = 300_000
+#: Symbols of contexts in one resolver block (a suffix order of so many stays in a processor's cache), and bytes of text handled at once.
+BLOCK_SYMBOLS = 100_000
 CHUNK_BYTES = 4_000_000
 #: A key is hot if it holds more than one row in so many.
 HOT = 4096
