@@ -1,7 +1,7 @@
 """Profiles of texts by detectors of endings, words and clusters, and by the commonest items of several families.
 
 A detector is (name, kind, alternatives): `ending`, a word of letters that goes on to one of the endings; `suffix`, a
-word of at least four characters with one of the endings; `word`, the whole word; `part`, a word that holds a cluster;
+word of at least four characters with one of the endings; `end`, any word with one of them; `word`, the whole word; `part`, a word that holds a cluster;
 `inner`, a word that holds one of the alternatives between other signs than letters. Words are lower-case, without edge
 signs and diacritics. Every count is one scan of the joined words, so rows are neither multiplied nor shuffled.
 """
@@ -66,10 +66,11 @@ REGISTER = (
 )
 
 #: Kinds as patterns over one word, for a regular expression engine without look-around.
-WORD_PATTERNS = {"ending": r"^[\p{L}\p{N}_]+(?:%s)$", "suffix": r"^.*(?:%s)$", "word": r"^(?:%s)$", "part": r"%s", "inner": r"(?:^|[^\p{L}\p{N}_])(?:%s)(?:[^\p{L}\p{N}_]|$)"}
+WORD_PATTERNS = {"ending": r"^[\p{L}\p{N}_]+(?:%s)$", "suffix": r"^.*(?:%s)$", "end": r"(?:%s)$", "word": r"^(?:%s)$", "part": r"%s", "inner": r"(?:^|[^\p{L}\p{N}_])(?:%s)(?:[^\p{L}\p{N}_]|$)"}
 _JOINED = {
     "ending": r"(?<= )[\p{L}\p{N}_]+(?:%s)(?= )",
     "suffix": r"(?<= )(?=[^ ]{4})[^ ]*(?:%s)(?= )",
+    "end": r"(?<= )[^ ]*(?:%s)(?= )",
     "word": r"(?<= )(?:%s)(?= )",
     "part": r"(?<= )[^ ]*(?:%s)[^ ]*(?= )",
     "inner": r"(?<= )(?:[^ ]*[^\p{L}\p{N}_ ])?(?:%s)(?:[^\p{L}\p{N}_ ][^ ]*)?(?= )",

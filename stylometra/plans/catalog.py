@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import features as X
 from ..operators import joins as J
 from ..operators import models as M
+from ..operators import profiles as P
 from ..operators import text as T
 from ..operators import validate as V
 from ..sources import tables as R
@@ -294,11 +295,10 @@ def sc9_char3(spark, d):
 
 @query(f"WITH {TOK} SELECT doc_id, count(*) AS n_tok, round(count(*) FILTER (regexp_matches(token, '(?:tion|ment)$')) * 1000.0 / count(*), 6) AS noun, round(count(*) FILTER (regexp_matches(token, '(?:ung|keit|heit)$')) * 1000.0 / count(*), 6) AS abstr, round(count(*) FILTER (token IN ('the','la','el','der','die','das','le')) * 1000.0 / count(*), 6) AS article, round(count(DISTINCT token) / count(*), 6) AS ttr FROM tok GROUP BY doc_id")
 def sc14_fx1_detectors(spark, d):
-    w = F.col("w")
-    docs = table(spark, d, "documents").select("doc_id", T.words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    rate = lambda test: F.size(F.filter(w, test)) * 1000.0 / F.size(w)
-    ends = lambda pattern: rate(lambda t: t.rlike(pattern))
-    return docs.select("doc_id", F.size(w).cast("long").alias("n_tok"), r6(ends("(?:tion|ment)$"), "noun"), r6(ends("(?:ung|keit|heit)$"), "abstr"), r6(rate(lambda t: t.isin("the", "la", "el", "der", "die", "das", "le")), "article"), r6(F.size(F.array_distinct(w)) / F.size(w), "ttr"))
+    w, n = F.col("w"), F.size("w")
+    docs = table(spark, d, "documents").select("doc_id", T.words_of(F.col("text")).alias("w")).where(n > 0)
+    rate = lambda kind, alternatives: P.counted(w, kind, alternatives) * 1000.0 / n
+    return docs.select("doc_id", n.cast("long").alias("n_tok"), r6(rate("end", "tion|ment"), "noun"), r6(rate("end", "ung|keit|heit"), "abstr"), r6(rate("word", "the|la|el|der|die|das|le"), "article"), r6(F.size(F.array_distinct(w)) / n, "ttr"))
 
 
 @query(f"WITH u AS (SELECT source, {Y} AS y FROM documents GROUP BY source), s AS (SELECT a.source, sum(exp(-0.5 * ((a.y - b.y) / 2) ** 2)) AS s FROM u a, u b GROUP BY a.source) SELECT source, round((1 / greatest(s, 1e-9)) / (SELECT avg(1 / greatest(s, 1e-9)) FROM s), 6) AS weight FROM s")
