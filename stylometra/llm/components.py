@@ -16,8 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "links")
-    total = None
-    while True:
+    while _unsettled(edges):
         # large star: every larger neighbour of u is tied to u's least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,9 +25,11 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "links")
-        # done when a round changes nothing: every edge leads straight to a root
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).head()
-        if total == (now["n"], now["h"]):
-            break
-        total = (now["n"], now["h"])
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some id is tied to two others, or to one that is tied itself: else every edge leads straight to a root, as u > v in each."""
+    two = edges.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("u")
+    through = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+    return bool(two.unionByName(through).head(1))
