@@ -109,14 +109,16 @@ def score(blobs: list[bytes], weights: np.ndarray, offset: float, bits: int = BI
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, dim: int = 10, epochs: int = 6, rate: float = 3.0, least: int = 5, smooth: float = 0.01, seed: int = 7) -> Model:
     """rows: (label, distinct buckets, their shares of the text's features, which sum to 1).
 
-    Buckets in fewer than `least` rows keep a vector of zeros: they could only memorise single documents.
+    Buckets in fewer than `least` rows keep a vector of zeros: they could only memorise single documents. They are taken
+    out of the list rows itself.
     """
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-0.01, 0.01, (1 << bits, dim)).astype(np.float32)
     output, bias = rng.uniform(-1, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     held = np.bincount(np.concatenate([b for _, b, _ in rows]), minlength=1 << bits) if rows else np.zeros(1 << bits, np.int64)
     vectors[held < least] = 0
-    rows = [(y, b[held[b] >= least], w[held[b] >= least]) for y, b, w in rows]
+    for k, (y, b, w) in enumerate(rows):  # in place: the driver need not hold both lists
+        rows[k] = (y, b[held[b] >= least], w[held[b] >= least])
     if len({r[0] for r in rows}) < 2:
         return Model(vectors, output, bias)
     steps, total, squares = 0, epochs * len(rows), np.zeros(1 << bits, np.float32)
