@@ -36,6 +36,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, wherever the shared folder is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text only, a null text as the empty one: extra columns never reach an operator."""
     ship(docs.sparkSession)

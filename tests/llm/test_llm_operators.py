@@ -373,7 +373,7 @@ def test_pipeline(spark):
 
 
 def test_queries_are_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
