@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, importance, mixing, order_minhash, quality_model, quality_rules, secrets, substring_dedup, suffix_dedup, token_files, vector_codes
+from . import bpe, fingerprints, importance, language_id, mixing, order_minhash, quality_model, quality_rules, secrets, substring_dedup, suffix_dedup, token_files, vector_codes
 from .common import table
 
 #: Target shares of tokens by language.
@@ -68,6 +68,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, ~language_id.held_out("doc_id"))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,7 +83,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_bpe_coding, op4_order_minhash, op5_quality_rules, op6_token_files, op7_fingerprints, op8_secret_scan, op9_substring_dedup, op10_suffix_dedup, op12_importance_resampling, op13_vector_codes, quality_rule_ablation)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_bpe_coding, op4_order_minhash, op5_quality_rules, op6_token_files, op7_fingerprints, op8_secret_scan, op9_substring_dedup, op10_suffix_dedup, op11_language_id, op12_importance_resampling, op13_vector_codes, quality_rule_ablation)}
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
