@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 #: Numbers that the driver may hold: groups x (columns + 2) squared.
 MOST_CELLS = 100_000_000
 
 
-def group_grams(df: DataFrame, group: str, vector: str, y: str) -> dict[str, np.ndarray]:
-    """Each group's sums of outer products of (1, x, y); rows with a null vector or y are left out. One pass of rows: partitions send a packed matrix a group, which are added up before the driver gets them.
+def merged_grams(parts: DataFrame) -> dict[str, np.ndarray]:
+    """parts: (grp, gram), square matrices as bytes, one for each task and group. Sums by group, added up in two levels, so no task holds more than about the root of the number of tasks of them.
 
-    Raises ValueError if there are more than MOST_CELLS numbers: too many groups or columns for a fit on the driver.
+    Raises ValueError if the sums have more than MOST_CELLS numbers: too many groups or columns for a fit on the driver.
     """
+    parts = stored(parts, "grams")
+    shape = parts.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.octet_length("gram")).alias("size")).agg(F.count("*").alias("g"), F.max("size").alias("size"), F.max("n").alias("n")).head()
+    if not shape["g"]:
+        return {}
+    if shape["g"] * shape["size"] > 8 * MOST_CELLS:
+        raise ValueError(f"{shape['g']} groups of {shape['size']} bytes are too many for one fit: more than {MOST_CELLS} numbers")
+    width = math.isqrt(shape["size"] // 8)
+
+    def add(f):
+        return pd.DataFrame({"grp": f["grp"][:1], "gram": [sum(np.frombuffer(b) for b in f["gram"]).tobytes()]})
+
+    level = math.isqrt(shape["n"])
+    if level > 2:
+        parts = parts.withColumn("_k", F.pmod(F.xxhash64("gram"), F.lit(level))).groupBy("grp", "_k").applyInPandas(add, "grp string, gram binary")
+    rows = parts.groupBy("grp").applyInPandas(add, "grp string, gram binary").collect()  # bounded above
+    return {r["grp"]: np.frombuffer(bytes(r["gram"])).reshape(width, width).copy() for r in sorted(rows, key=lambda r: r["grp"])}
+
+
+def group_grams(df: DataFrame, group: str, vector: str, y: str) -> dict[str, np.ndarray]:
+    """Each group's sums of outer products of (1, x, y); rows with a null vector or y are left out. One pass of rows: tasks write a matrix for each group, and these are added up before the driver gets them."""
     known = df.where(F.col(vector).isNotNull() & F.col(y).isNotNull())
-    shape = known.agg(F.countDistinct(group).alias("g"), F.max(F.size(vector)).alias("w")).head()
-    width = (shape["w"] or 0) + 2
-    if shape["g"] * width * width > MOST_CELLS:
-        raise ValueError(f"{shape['g']} groups of {width - 2} columns are too many for one fit: more than {MOST_CELLS} numbers")
 
     def run(frames):
         sums: dict = {}
@@ -28,14 +48,10 @@ def group_grams(df: DataFrame, group: str, vector: str, y: str) -> dict[str, np.
             for g, own in f.groupby(group):
                 x = np.column_stack([np.ones(len(own)), np.stack(own[vector].to_numpy()).astype(float), own[y].to_numpy(float)])
                 sums[g] = sums.get(g, 0) + x.T @ x
-        yield pd.DataFrame({"grp": [str(g) for g in sums], "gram": [s.tobytes() for s in sums.values()]})
-
-    def add(f):
-        return pd.DataFrame({"grp": f["grp"][:1], "gram": [sum(np.frombuffer(b) for b in f["gram"]).tobytes()]})
+        if sums:
+            yield pd.DataFrame({"grp": [str(g) for g in sums], "gram": [s.tobytes() for s in sums.values()]})
 
-    parts = known.select(group, vector, y).mapInPandas(run, "grp string, gram binary")
-    rows = parts.groupBy("grp").applyInPandas(add, "grp string, gram binary").collect()  # bounded above
-    return {r["grp"]: np.frombuffer(bytes(r["gram"])).reshape(width, width).copy() for r in sorted(rows, key=lambda r: r["grp"])}
+    return merged_grams(known.select(group, vector, y).mapInPandas(run, "grp string, gram binary"))
 
 
 def ridge_leave_group_out(df: DataFrame, group: str, vector: str, y: str, lams: list[float]) -> DataFrame:
