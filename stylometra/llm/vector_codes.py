@@ -115,12 +115,10 @@ def _round(books: np.ndarray, first: bool):
 
 def _changes(state: DataFrame, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts to add to those of the code books: no more rows than these have numbers."""
-    own = state.where("row IS NULL")
     sums, counts = np.zeros(shape, np.int64), np.zeros(shape[:2], np.int64)
-    for r in own.select("part", "entry", F.posexplode("sums").alias("k", "v")).groupBy("part", "entry", "k").agg(F.sum("v").alias("v")).collect():
-        sums[r["part"], r["entry"], r["k"]] = r["v"]
-    for r in own.groupBy("part", "entry").agg(F.sum("n").alias("n")).collect():
-        counts[r["part"], r["entry"]] = r["n"]
+    added = [F.sum("n"), *[F.sum(F.col("sums")[k]) for k in range(shape[2])]]
+    for part, entry, n, *values in state.where("row IS NULL").groupBy("part", "entry").agg(*added).collect():
+        counts[part, entry], sums[part, entry] = n, values
     return sums, counts
 
 
