@@ -178,13 +178,16 @@ def _counted(order: int):
 
 
 def sample(docs: DataFrame, training: Column, most_bytes: int = SAMPLE_BYTES, most_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, text) of the sample: at most so many rows and bytes a language, drawn by a hash of doc_id among rows where training holds."""
-    size, order = F.octet_length("text"), [F.xxhash64("doc_id", F.lit(11)), F.xxhash64("text")]
-    own = docs.where(training & F.col("lang").isNotNull() & (size > 0) & (size <= most_bytes)).select(F.col("lang").cast("string").alias("lang"), "doc_id", "text", size.cast("long").alias("size"))
-    w = Window.partitionBy("lang").orderBy(*order)
-    first = own.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most_rows)  # cut in each task before the shuffle
-    return first.withColumn("sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= most_bytes).select("lang", "text")
-
+    """(lang, text) of the sample: at most so many rows and bytes a language, drawn by a hash of doc_id among rows where training holds; equal rows count once."""
+    size = F.octet_length("text").cast("long")
+    known = docs.where(training & F.col("lang").isNotNull() & (size > 0) & (size <= most_bytes))
+    named = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.lit(11)).alias("draw"), F.xxhash64("text").alias("name"), "text")
+    w = Window.partitionBy("lang").orderBy("draw", "name")
+    # names alone are ranked, and those beyond most_rows go in each task before the shuffle
+    first = named.select("lang", "draw", "name", F.octet_length("text").cast("long").alias("size")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most_rows)
+    drawn = first.withColumn("sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= most_bytes)
+    key = ["lang", "draw", "name"]
+    return named.join(F.broadcast(drawn.select(*key).distinct()), key).groupBy(*key).agg(F.first("text").alias("text")).select("lang", "text")  # at most most_rows a language are sent
 
 def fit(docs: DataFrame, training: Column, order: int = ORDER, most_bytes: int = SAMPLE_BYTES, most_rows: int = SAMPLE_ROWS) -> Model:
     """Runs are counted in tasks and summed by Spark; the driver gets at most (order + 1) x most_bytes of them for each language."""
