@@ -218,35 +218,6 @@ def specification_curve(df: DataFrame, group: str, vector: str, y: str, lams: li
     return df.sparkSession.createDataFrame(out, "least_rows int, fraction double, lam double, calibration string, groups int, mae double, rho double")
 
 
-def relabelled(gram: np.ndarray, y: float) -> np.ndarray:
-    """The Gram matrix of a group whose rows all have another y."""
-    out = gram.copy()
-    out[:-1, -1] = out[-1, :-1] = y * gram[0, :-1]
-    out[-1, -1] = y * y * gram[0, 0]
-    return out
-
-
-def permutation_null(df: DataFrame, group: str, vector: str, y: str, lams: list[float], draws: int, strata: dict[str, str] | None = None, seed: int = 0) -> DataFrame:
-    """(draw, rho, mae): leave-one-group-out fits with groups' labels dealt anew (within strata, if given); draw -1 has the true labels. y must be one value in each group.
-
-    A new label only re-weights a group's sums, so no draw reads rows.
-    """
-    grams = group_grams(df, group, vector, y)
-    names, out, rng = sorted(grams), [], np.random.default_rng(seed)
-    truth = np.array([_truth(grams[g]) for g in names])
-    kinds = np.array([strata[g] if strata else "" for g in names])
-    for draw in range(-1, draws if len(names) >= 3 else -1):
-        now = truth.copy()
-        if draw >= 0:
-            for s in sorted(set(kinds)):
-                at = np.flatnonzero(kinds == s)
-                now[at] = truth[rng.permutation(at)]
-        left = _left_out({g: relabelled(grams[g], v) for g, v in zip(names, now, strict=True)}, lams)
-        pred = np.median(np.array(list(left.values())), axis=1)
-        out.append((draw, spearman_of(pred, now), float(np.abs(pred - now).mean())))
-    return df.sparkSession.createDataFrame(out, "draw int, rho double, mae double")
-
-
 def detectable(n: int, alpha: float = 0.05, power: float = 0.8) -> float:
     """The least correlation that n units show with the given power, two-sided, by bisection on the normal form of the transformed correlation."""
     cut, se = NormalDist().inv_cdf(1 - alpha / 2), 1 / math.sqrt(max(n - 3, 1))

@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import catalog, composites, inference, linguistic, modelling, relational, sampling  # noqa: F401
+from . import catalog, composites, inference, linguistic, modelling, nested, relational, sampling, variational  # noqa: F401

@@ -12,7 +12,11 @@ from ..sources.tables import table
 from .registry import DIMS, TOK, dims, query, r6, unit_year
 
 LAMS = [0.1, 1.0, 10.0, 100.0]
-STRATA = {str(g): "even" if g % 2 == 0 else "odd" for g in range(1000)}
+
+
+def _strata(spark, d) -> dict[str, str]:
+    """Even and odd labels; a row for each group."""
+    return {str(g): "odd" if g % 2 else "even" for (g,) in table(spark, d, "embeddings").where("label IS NOT NULL").select("label").distinct().collect()}
 
 
 def _vectors(spark, d):
@@ -65,23 +69,13 @@ def vl3_nested_configurations(spark, d):
 
 @query()
 def vl4_nested_screen(spark, d):
-    r = I.nested_choice(_vectors(spark, d), "g", "embedding", "y", LAMS, strata=STRATA, fractions=[0.25, 0.5, 1.0])
+    r = I.nested_choice(_vectors(spark, d), "g", "embedding", "y", LAMS, strata=_strata(spark, d), fractions=[0.25, 0.5, 1.0])
     return r.select("grp", "choice", "lam", r6("inner_rho", "inner_rho"), "truth", r6("pred", "pred"))
 
 
-@query()
-def vl11_fit_null(spark, d):
-    return I.permutation_null(_vectors(spark, d), "g", "embedding", "y", LAMS, 100).select("draw", r6("rho", "rho"), r6("mae", "mae"))
-
-
-@query()
-def vl12_fit_null_within_strata(spark, d):
-    return I.permutation_null(_vectors(spark, d), "g", "embedding", "y", LAMS, 100, STRATA).select("draw", r6("rho", "rho"), r6("mae", "mae"))
-
-
 @query()
 def vl20_specification_curve(spark, d):
-    return I.specification_curve(_vectors(spark, d), "g", "embedding", "y", LAMS, [1, 20, 100], STRATA, [0.25, 0.5, 1.0])
+    return I.specification_curve(_vectors(spark, d), "g", "embedding", "y", LAMS, [1, 20, 100], _strata(spark, d), [0.25, 0.5, 1.0])
 
 
 @query()

@@ -70,19 +70,6 @@ def test_nested_choice_takes_the_informative_columns(spark):
     assert len(curve) == 8 and {r.least_rows for r in curve} == {1}
 
 
-def test_null_of_the_whole_fit_equals_fits_of_relabelled_rows(spark):
-    df, data = _groups(spark)
-    null = inference.permutation_null(df, "g", "v", "y", [1.0], 30)
-    rows = {r.draw: r for r in null.collect()}
-    assert len(rows) == 31 and rows[-1].rho > 0.9 and np.median([r.rho for d, r in rows.items() if d >= 0]) < 0.6
-    order = np.random.default_rng(0).permutation(np.arange(8))
-    again = spark.createDataFrame([(g, v, float(order[int(g)])) for g, v, _ in data], "g string, v array<double>, y double")
-    direct = {r.draw: r for r in inference.permutation_null(again, "g", "v", "y", [1.0], 0).collect()}
-    assert rows[0].rho == pytest.approx(direct[-1].rho) and rows[0].mae == pytest.approx(direct[-1].mae)
-    within = inference.permutation_null(df, "g", "v", "y", [1.0], 5, {str(g): str(g) for g in range(8)}).collect()
-    assert all(r.rho == pytest.approx(rows[-1].rho) for r in within)  # strata of one group leave labels alone
-
-
 def test_paired_tests(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, -4, 5, 6, 7, 8, 0)], "g string, d double")
     r = inference.paired_tests(df, ["g"], "d").head()
