@@ -518,11 +518,12 @@ def _digest():
 def nodes_of(rows: DataFrame) -> DataFrame:
     """(digest, least, node) of each text: its least doc_id, and a key: that doc_id, or a number made from the digest where it has none or another text has the same."""
     each = rows.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    shared = each.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 OR least IS NULL").select(F.col("least").alias("other"))
+    named, bare = each.where("least IS NOT NULL"), each.where("least IS NULL")
+    shared = named.groupBy("least").agg(F.count("*").alias("n"))
     made = F.lit(NO_ID) - F.pmod(F.xxhash64("digest"), F.lit(1 << 61))
-    odd = F.col("n").isNotNull() | F.col("least").isNull() | (F.col("least") <= NO_ID)
-    return each.join(shared.withColumn("n", F.lit(1)), F.col("least") == F.col("other"), "left").select("digest", "least", F.when(odd, made).otherwise(F.col("least")).alias("node"))
-
+    odd = (F.col("n") > 1) | (F.col("least") <= NO_ID)
+    known = named.join(shared, "least").select("digest", "least", F.when(odd, made).otherwise(F.col("least")).alias("node"))
+    return known.unionByName(bare.select("digest", "least", made.alias("node")))  # texts without an id never meet by it
 
 def links(docs: DataFrame, nodes: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, length: int = LENGTH, agreeing: int = AGREEING) -> DataFrame:
     """(a, b): verified links of nodes (digest, node) of docs. They join all components; within one not every link is there."""
@@ -583,5 +584,5 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     body = F.coalesce(docs["text"], F.lit("")).cast("binary")
     here = (F.unhex(F.sha2(body, 256)) == F.col("__text")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))
     met = docs.join(fate, here, "left")
-    one = met.where("__several").groupBy("__id", "__text").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("__row")).select("__row.*")
+    one = met.where("__several").groupBy("__id", "__text").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("__row")).select("__row.*")
     return met.where("__several IS NULL").select(*[docs[c] for c in docs.columns]).unionByName(one)

@@ -180,4 +180,5 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.3, bits: int = B
 
 
 def held_out(doc_id: str):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """crc32 of the id's text mod 5 is 0; an id that is null counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -266,7 +266,7 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, resolver, most: int | None
     light = content.where(F.col("k") <= most).select(F.col("seed").alias("group"), F.lit(False).alias("head"), "n", "doc_id", "tag", "lo", "content")
     blocks = light.unionByName(_by_reference(content.where(F.col("k") > most), scheme))
     compared = blocks.repartition("group").sortWithinPartitions("group", F.desc("head")).mapInArrow(_resolved(scheme, resolver), SPAN_SCHEMA).distinct()
-    return spans.unionByName(compared).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return spans.unionByName(compared).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # rows that are equal share their spans
 
 
 def _by_reference(content: DataFrame, scheme: Scheme) -> DataFrame:

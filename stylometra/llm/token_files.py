@@ -6,10 +6,10 @@ Format of a file, all integers little-endian: magic "STK1"; then blocks, each of
   u32 id of each rank, the most frequent first (ties: the smaller id first)
   control bytes: two bits for each id, its bytes less one, four ids to a byte
   data bytes: the ranks, 1 to 4 bytes each.
-Files hold the documents in ascending doc_id order, one file for each range of about RANGE_BYTES of text at most. A file is written under a name of its
-attempt and renamed, so a task that runs again replaces it.
+Files hold the documents in ascending doc_id order. A task writes a range of documents, to a further file whenever one has FILE_IDS ids. Files have
+names of their attempt, and only those in the list that Spark commits are read, so a task may run again.
 
-Null texts count as empty (only the end id); equal doc_ids are ordered as they come; documents without
+Null texts count as empty (only the end id); equal doc_ids are ordered by text (by its hash first); documents without
 a doc_id come first, under the least i64; other columns than doc_id and text
 are not read; an empty table gives no files and an empty result.
 """
@@ -32,8 +32,8 @@ from .pretokens import Pieces
 
 NO_DOC = -(1 << 63)
 MAGIC = b"STK1"
-#: Ids in a block.
-BLOCK_IDS = 2_000_000
+#: Ids in a block, and from how many on a file is closed: a file is read as one row.
+BLOCK_IDS, FILE_IDS = 2_000_000, 64_000_000
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -132,34 +132,41 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     def run(batches):
         from pyarrow import fs
 
-        ids_of, blocks, first, docs_in, ids_in = library_pieces(shared.value), [MAGIC], None, 0, 0
-        number = TaskContext.get().partitionId()
+        ids_of, number = library_pieces(shared.value), TaskContext.get().partitionId()
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
-        temporary, name = f"{top}/.{uuid.uuid4().hex}", f"part-{number:06d}.stk"
+        out, name, files, first, docs_in, ids_in = None, None, 0, None, 0, 0
         held_ids, held, size = [], [], 0
-        with store.open_output_stream(temporary) as out:
-            out.write(MAGIC)
-            for doc_ids, own in groups(batches, 4_000_000):
-                first = doc_ids[0] if first is None else first
-                for i, x in zip(doc_ids, ids_of(own), strict=True):
-                    held_ids.append(i)
-                    held.append(np.append(x, np.int32(end_id)))
-                    size += len(x) + 1
-                    ids_in += len(x) + 1
-                    if size >= BLOCK_IDS:
-                        out.write(pack_block(held_ids, held))
-                        held_ids, held, size = [], [], 0
-                docs_in += len(doc_ids)
+
+        def closed():
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([docs_in], pa.int64()), pa.array([ids_in], pa.int64())], names=["file", "first_doc_id", "documents", "ids"])
+
+        for doc_ids, own in groups(batches, 4_000_000):
+            for i, x in zip(doc_ids, ids_of(own), strict=True):
+                if out is None:  # a name of its own for each attempt: only files in the list that Spark commits are read
+                    name, first, docs_in, ids_in = f"part-{number:06d}-{files:06d}-{uuid.uuid4().hex}.stk", i, 0, 0
+                    out = store.open_output_stream(f"{top}/{name}")
+                    out.write(MAGIC)
+                held_ids.append(i)
+                held.append(np.append(x, np.int32(end_id)))
+                size += len(x) + 1
+                ids_in += len(x) + 1
+                docs_in += 1
+                if size >= BLOCK_IDS:
+                    out.write(pack_block(held_ids, held))
+                    held_ids, held, size = [], [], 0
+                    if ids_in >= FILE_IDS:
+                        yield closed()
+                        out, files = None, files + 1
+        if out is not None:
             if held_ids:
                 out.write(pack_block(held_ids, held))
-        if not docs_in:
-            store.delete_file(temporary)
-            return
-        store.move(temporary, f"{top}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([docs_in], pa.int64()), pa.array([ids_in], pa.int64())], names=["file", "first_doc_id", "documents", "ids"])
+            yield closed()
 
-    ordered = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC))).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # equal and missing ids are told apart by text, so no range holds all of them
+    own = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC))).withColumn("name", F.xxhash64("text"))
+    ordered = own.repartitionByRange(parts, "doc_id", "name").sortWithinPartitions("doc_id", "name", "text").select("doc_id", "text")
     return materialize(ordered.mapInArrow(run, "file string, first_doc_id long, documents long, ids long"), "token-files")
 
 
