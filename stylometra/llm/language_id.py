@@ -166,13 +166,15 @@ def build(counts: list[tuple[str, int, int, int]], order: int = ORDER) -> Model:
 
 def _counted(order: int):
     def run(batches):
-        for batch in batches:
-            names, blobs = batch.column(0).to_pylist(), [plain(t.as_py()) for t in batch.column(1)]
-            for name in sorted(set(names)):
-                own = [runs(np.frombuffer(b"\x00" * order + b, np.uint8), order) for x, b in zip(names, blobs, strict=True) if x == name and b]
-                for k, codes in enumerate(zip(*own, strict=True)):
-                    code, n = np.unique(np.concatenate(codes), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(np.full(len(code), k, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "code", "n"])
+        held: dict[str, list[bytes]] = {}
+        for batch in batches:  # the sample of a few languages
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(name, []).append(plain(text))
+        for name in sorted(held):
+            own = [runs(np.frombuffer(b"\x00" * order + b, np.uint8), order) for b in held[name] if b]
+            for k, codes in enumerate(zip(*own, strict=True)):
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(np.full(len(code), k, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "code", "n"])
 
     return run
 
@@ -190,10 +192,10 @@ def sample(docs: DataFrame, training: Column, most_bytes: int = SAMPLE_BYTES, mo
     return named.join(F.broadcast(drawn.select(*key).distinct()), key).groupBy(*key).agg(F.first("text").alias("text")).select("lang", "text")  # at most most_rows a language are sent
 
 def fit(docs: DataFrame, training: Column, order: int = ORDER, most_bytes: int = SAMPLE_BYTES, most_rows: int = SAMPLE_ROWS) -> Model:
-    """Runs are counted in tasks and summed by Spark; the driver gets at most (order + 1) x most_bytes of them for each language."""
+    """Runs are counted in a task for each language's sample; the driver gets at most (order + 1) x most_bytes of them for each language."""
     ship(docs.sparkSession)
-    found = sample(docs, training, most_bytes, most_rows).mapInArrow(_counted(order), "lang string, k int, code long, n long")
-    got = found.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow()
+    found = sample(docs, training, most_bytes, most_rows).repartition("lang").mapInArrow(_counted(order), "lang string, k int, code long, n long")
+    got = found.toArrow()
     return build(list(zip(*(got[c].to_pylist() for c in ("lang", "k", "code", "n")), strict=True)), order)
 
 
