@@ -6,6 +6,7 @@ Models start from Gram matrices of groups (see matrix): the driver holds groups
 from __future__ import annotations
 
 import math
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -78,23 +79,51 @@ def _sign_p(k: int, n: int) -> float:
     return min(1.0, 2 * incomplete_beta(n - low, low + 1, 0.5))
 
 
+#: Up to so many differences, without ties or zeros, the signed-rank test is exact.
+EXACT_RANKS = 50
+
+
+@cache
+def _rank_sums(n: int) -> np.ndarray:
+    """Share of all sign patterns of the ranks 1 to n with each sum of positive ranks, by convolution."""
+    share = np.ones(1)
+    for k in range(1, n + 1):
+        more = np.zeros(len(share) + k)
+        more[: len(share)] += share / 2
+        more[k:] += share / 2
+        share = more
+    return share
+
+
+def signed_rank_p(w: float, n: int) -> float:
+    """Two-sided, exact, of a sum of positive ranks without ties."""
+    share, k = _rank_sums(n), int(round(w))
+    return float(min(1.0, 2 * min(share[: k + 1].sum(), share[k:].sum())))
+
+
 def paired_tests(df: DataFrame, by: list[str], difference: str) -> DataFrame:
-    """(by..., n, n_up, w_up, sign_p, z, rank_p): the sign test, and the signed-rank test by its normal form with the variance less its ties' part."""
+    """(by..., n, n_up, w_up, sign_p, z, rank_p, exact): the sign test, and the signed-rank test: exact for at most EXACT_RANKS differences without ties or zeros,
+    else by its normal form with the variance less its ties' part. Differences of 0 are left out; nulls in by are a group."""
     r = signed_ranks(df, by, difference)
-    ties = df.where(F.col(difference) != 0).groupBy(*by, F.abs(F.col(difference)).alias("_a")).agg(F.count("*").cast("double").alias("_t"))
-    ties = ties.groupBy(*by).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"))
+    sizes = df.where(F.col(difference).isNotNull()).groupBy(*by, F.abs(F.col(difference)).alias("_a")).agg(F.count("*").cast("double").alias("_t"))
+    tied = F.when(F.col("_a") != 0, F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t"))
+    ties = sizes.groupBy(*by).agg(F.coalesce(F.sum(tied), F.lit(0.0)).alias("_ties"), F.max(F.col("_a") == 0).alias("_zeros"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = F.try_divide(F.col("w_up") - n * (n + 1) / 4, F.sqrt(var))
-    out = r.join(ties, by).withColumn("z", z)
+    names = {c: f"_by{k}" for k, c in enumerate(by)}
+    same = F.lit(True)
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    out = r.join(ties.withColumnsRenamed(names), same).withColumn("z", z).withColumn("exact", (F.col("n") <= EXACT_RANKS) & (F.col("_ties") == 0) & ~F.col("_zeros"))
 
     def tails(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([_sign_p(int(a), int(b)) for a, b in zip(k, n, strict=True)], dtype="float64")
 
-    def normal(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: 2 * NormalDist().cdf(-abs(x)), na_action="ignore")
+    def ranks(exact: pd.Series, w: pd.Series, n: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(a, int(b)) if e else None if pd.isna(x) else 2 * NormalDist().cdf(-abs(x)) for e, a, b, x in zip(exact, w, n, z, strict=True)], dtype="float64")
 
-    return out.select(*by, "n", "n_up", "w_up", F.pandas_udf(tails, "double")("n_up", "n").alias("sign_p"), "z", F.pandas_udf(normal, "double")("z").alias("rank_p"))
+    return out.select(*by, "n", "n_up", "w_up", F.pandas_udf(tails, "double")("n_up", "n").alias("sign_p"), "z", F.pandas_udf(ranks, "double")("exact", "w_up", "n", "z").alias("rank_p"), "exact")
 
 
 def hat_leave_one_out(df: DataFrame, key: str, vector: str, y: str, lam: float) -> DataFrame:

@@ -49,10 +49,22 @@ def ag28_md25_regression_tails(spark, d):
     return out.select("l_returnflag", "term", F.round("coef", 3).alias("coef"), F.round("se", 3).alias("se"), F.round("t", 3).alias("t"), r6("p", "p"))
 
 
-@query("WITH x AS (SELECT o_orderpriority AS g, o_totalprice - 250000 AS d FROM orders WHERE o_totalprice <> 250000), r AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY abs(d)) + (count(*) OVER (PARTITION BY g, abs(d)) - 1) / 2.0 AS r FROM x), t AS (SELECT g, sum(k * k * k - k) AS ties FROM (SELECT g, abs(d) AS a, count(*)::DOUBLE AS k FROM x GROUP BY 1, 2) GROUP BY 1), s AS (SELECT g, count(*)::DOUBLE AS n, count(*) FILTER (d > 0) AS n_up, sum(r) FILTER (d > 0) AS w FROM r GROUP BY g) SELECT g, n::BIGINT AS n, n_up, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s JOIN t USING (g)")
+@query("WITH x AS (SELECT o_orderpriority AS g, o_totalprice - 250000 AS d FROM orders WHERE o_totalprice <> 250000), r AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY abs(d)) + (count(*) OVER (PARTITION BY g, abs(d)) - 1) / 2.0 AS r FROM x), t AS (SELECT g, sum(k * k * k - k) AS ties FROM (SELECT g, abs(d) AS a, count(*)::DOUBLE AS k FROM x GROUP BY 1, 2) GROUP BY 1), s AS (SELECT g, count(*)::DOUBLE AS n, count(*) FILTER (d > 0) AS n_up, sum(r) FILTER (d > 0) AS w FROM r GROUP BY g) SELECT g, n::BIGINT AS n, n_up, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z, round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))) FROM range(least(n_up, n - n_up)::BIGINT + 1) r(i))), 6) AS sign_p FROM s JOIN t USING (g)")
 def ag29_paired_tests(spark, d):
     x = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), (F.col("o_totalprice") - 250000).alias("d"))
-    return I.paired_tests(x, ["g"], "d").select("g", "n", "n_up", r6("z", "z"))
+    return I.paired_tests(x, ["g"], "d").select("g", "n", "n_up", r6("z", "z"), r6("sign_p", "sign_p"))
+
+
+@query(f"""WITH RECURSIVE chance(n, d) AS (SELECT 0::BIGINT, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range((n + 1) * (n + 2) // 2 + 1), lambda w: (CASE WHEN w < len(d) THEN d[w + 1] ELSE 0 END + CASE WHEN w >= n + 1 THEN d[w - n] ELSE 0 END) / 2) FROM chance WHERE n < {I.EXACT_RANKS}),
+x AS (SELECT o_custkey AS g, round(o_totalprice - 150000, 2) AS d FROM orders),
+b AS (SELECT g FROM x GROUP BY g HAVING count(*) <= {I.EXACT_RANKS} AND count(*) FILTER (d = 0) = 0 AND count(DISTINCT abs(d)) = count(*)),
+r AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY abs(d)) AS r FROM x SEMI JOIN b USING (g)),
+s AS (SELECT g, count(*) AS n, count(*) FILTER (d > 0) AS n_up, coalesce(sum(r) FILTER (d > 0), 0)::BIGINT AS w FROM r GROUP BY g)
+SELECT g, s.n, n_up, w::DOUBLE AS w_up, round(least(1.0, 2 * least(list_sum(d[1 : w + 1]), list_sum(d[w + 1 :]))), 6) AS rank_p FROM s JOIN chance ON chance.n = s.n""")
+def ag29_exact_signed_rank(spark, d):
+    """Customers' orders against a fixed sum, where the exact test applies."""
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("g"), F.round(F.col("o_totalprice") - 150000, 2).alias("d"))
+    return I.paired_tests(x, ["g"], "d").where("exact").select("g", "n", "n_up", F.col("w_up").cast("double").alias("w_up"), r6("rank_p", "rank_p"))
 
 
 @query()

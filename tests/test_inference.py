@@ -77,6 +77,19 @@ def test_paired_tests(spark):
     assert inference._sign_p(100, 300) == pytest.approx(2 * sum(math.comb(300, k) for k in range(101)) / 2**300, rel=1e-9)
 
 
+def test_exact_signed_ranks(spark):
+    from itertools import product
+
+    d = [1.0, -2.0, 3.0, 4.5, -5.0, 6.0, 7.0]
+    sums = [sum(k + 1 for k, up in enumerate(signs) if up) for signs in product((0, 1), repeat=7)]
+    w = sum(k + 1 for k, x in enumerate(d) if x > 0)
+    want = min(1.0, 2 * min(sum(s <= w for s in sums), sum(s >= w for s in sums)) / 2**7)
+    rows = [("a", x) for x in d] + [("b", x) for x in [*d, 0.0]] + [("c", x) for x in [*d, -7.0]] + [(None, x) for x in d]
+    got = {r.g: r for r in inference.paired_tests(spark.createDataFrame(rows, "g string, d double"), ["g"], "d").collect()}
+    assert got["a"].exact and got["a"].rank_p == pytest.approx(want) and got[None].rank_p == pytest.approx(want)
+    assert not got["b"].exact and not got["c"].exact and got["b"].rank_p == pytest.approx(math.erfc(abs(got["b"].z) / math.sqrt(2)))
+
+
 def test_least_detectable_correlation():
     assert inference.detectable(25) == pytest.approx(0.53, abs=0.02) and inference.detectable(100) < inference.detectable(25)
 
