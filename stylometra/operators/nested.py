@@ -145,8 +145,8 @@ def _scored(width: int, lams: int):
     return run
 
 
-def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LAMS, alpha: float = 1.0, width: float = 90.0) -> DataFrame:
-    """(draw, fold, grp, lam, n, med, sd): the median prediction of every group left out, for each lam, within every fold of every draw. labels: draws x groups."""
+def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LAMS, alpha: float = 1.0, width: float = 90.0) -> tuple[DataFrame, DataFrame]:
+    """((draw, fold, grp, lam, n, med, sd): the median prediction of every group left out, for each lam, within every fold of every draw; their coefficients). labels: draws x groups."""
     spark = blocks.sparkSession
     grams = block_grams(blocks)
     names = list(groups["grp"])
@@ -173,8 +173,8 @@ def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LA
     scored = stored(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scored(columns, len(lams)), SCORED), "scored")
     settled = scored.where("n IS NOT NULL").select("draw", "fold", "grp", "lam", "n", F.col("value").alias("med"), "sd")
     if int(groups["pieces"].max()) == 1:
-        return settled
-    return settled.unionByName(exact_medians(scored.where("n IS NULL"), ["draw", "fold", "grp", "lam"], "value"))
+        return settled, coefficients
+    return settled.unionByName(exact_medians(scored.where("n IS NULL"), ["draw", "fold", "grp", "lam"], "value")), coefficients
 
 
 def nested_fit(df: DataFrame, group: str, vector: str, y: str, lams=LAMS, alpha: float = 1.0, width: float = 90.0, draws: int = 0, stratum: str | None = None, seed: int = 0) -> DataFrame:
@@ -195,7 +195,7 @@ def nested_fit(df: DataFrame, group: str, vector: str, y: str, lams=LAMS, alpha:
         found = dict(df.where(F.col(group).isNotNull()).groupBy(F.col(group).cast("string")).agg(F.min(F.col(stratum).cast("string"))).collect())
         strata = np.array([found.get(g) for g in names], object)
     labels = dealt_labels(truth, draws, strata, seed)
-    med = medians(blocks, groups, labels, lams, alpha, width)
+    med, _ = medians(blocks, groups, labels, lams, alpha, width)
     dealt = spark.createDataFrame([(k - 1, j, g, float(labels[k, j])) for k in range(len(labels)) for j, g in enumerate(names)], "draw int, own int, grp string, truth double")
     met = med.join(dealt, ["draw", "grp"])
     error = met.where("fold <> own").groupBy("draw", "fold", "lam").agg(F.avg(F.abs(F.col("med") - F.col("truth"))).alias("error"))
@@ -208,6 +208,32 @@ def nested_fit(df: DataFrame, group: str, vector: str, y: str, lams=LAMS, alpha:
     return outer.select("draw", "grp", "n", "truth", value.alias("lam"), F.col("med").alias("raw"), "sd", pred.alias("pred"))
 
 
+def fold_models(df: DataFrame, group: str, vector: str, y: str, lams=LAMS, alpha: float = 1.0, width: float = 90.0) -> DataFrame:
+    """(grp, lam, beta, stretch, truth, raw): for each group the fit without it: constant and slopes at its lam, and the calibration by the other groups' predictions among themselves: truth + stretch x (prediction - raw)."""
+    spark = df.sparkSession
+    ship(spark)
+    blocks, groups = packed(df, group, vector, y)
+    schema = "grp string, lam double, beta array<double>, stretch double, truth double, raw double"
+    if len(groups) < 3:
+        return spark.createDataFrame([], schema)
+    names, truth = list(groups["grp"]), groups["y"].to_numpy(float)
+    med, coefficients = medians(blocks, groups, truth[None, :], lams, alpha, width)
+    place = {g: k for k, g in enumerate(names)}
+    inner = {(r["fold"], r["lam"]): [] for r in med.select("fold", "lam").distinct().collect()}
+    for r in med.select("fold", "grp", "lam", "med").collect():  # groups x groups x lams
+        if r["fold"] != place[r["grp"]]:
+            inner[r["fold"], r["lam"]].append((truth[place[r["grp"]]], r["med"]))
+    own = {r["fold"]: np.frombuffer(r["betas"]).reshape(len(lams), -1) for r in coefficients.where(F.element_at(F.array(*[F.lit(g) for g in names]), F.col("fold") + 1) == F.col("grp")).collect()}
+    out = []
+    for k, g in enumerate(names):
+        each = [np.array(inner[k, i]) for i in range(len(lams))]
+        lam = int(np.argmin([np.round(np.abs(e[:, 0] - e[:, 1]).mean(), 9) for e in each]))
+        t, p = each[lam].T
+        stretch = float(np.clip(t.std() / p.std(), 0.5, 8)) if p.std() > 0 else 1.0
+        out.append((g, float(lams[lam]), [float(v) for v in own[k][lam]], stretch, float(t.mean()), float(p.mean())))
+    return spark.createDataFrame(out, schema)
+
+
 def fit_metrics(fits: DataFrame) -> DataFrame:
     """(draw, groups, mae, rho, pairs, pair) of nested_fit: rank correlation and the share of pairs of groups of unlike truth that are in order."""
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import hierarchy as H
 from ..operators import nested as N
-from ..sources.tables import table
+from ..operators import substitution as S
+from ..sources.tables import stored, table
+from .hierarchy import TOKENS
+from .hierarchy import _tokens as annotated
 from .registry import query, r6
 
 LAMS = (10.0, 100.0, 1000.0, 10000.0)
@@ -43,3 +47,39 @@ def vl12_fit_null_within_strata(spark, d):
     fits = N.nested_fit(vectors, "g", "embedding", "y", LAMS, 1.0, WIDTH, DRAWS, "kind")
     strata = vectors.where("g IS NOT NULL").groupBy(F.col("g").cast("string").alias("grp")).agg(F.min("kind").cast("string").alias("stratum"))
     return N.fit_metrics(fits).join(N.stratum_rho(fits, strata), "draw").select("draw", r6("rho", "rho"), r6("mae", "mae"), r6("partial", "partial"))
+
+
+#: Late forms and what takes their place; the second entry is a new part of speech.
+SUBSTITUTIONS = {">NJ": (">NKJ", None), "L>": (">L", "advb"), "QHL/": ("<DH/", None), "C": (">CR", "conj"), "NXNW": (">NXNW", None)}
+RATES = [0.0, 0.25, 0.5, 1.0]
+
+
+def _chunks(spark, d):
+    """Annotated tokens by unit and chunk, marked for substitution."""
+    by = ["grp", "chunk"]
+    tokens = annotated(spark, d).withColumn("grp", F.col("unit").cast("string")).withColumn("chunk", F.expr("clause div 400"))
+    return by, S.marked(tokens.select(*by, "word", "lex", "sp"), by, SUBSTITUTIONS, ["word"])
+
+
+_SWAP = " ".join(f"WHEN lex = '{a}' THEN '{b}'" for a, (b, _) in SUBSTITUTIONS.items())
+_SWAP_SP = " ".join(f"WHEN lex = '{a}' THEN '{b}'" for a, (_, b) in SUBSTITUTIONS.items() if b)
+
+
+@query(f"WITH {TOKENS}, r(rate) AS (VALUES {', '.join(f'({r}::DOUBLE)' for r in RATES)}), m AS (SELECT unit, clause // 400 AS chunk, word, rate, CASE WHEN u < rate THEN coalesce(CASE {_SWAP} END, lex) ELSE lex END AS lex, CASE WHEN u < rate THEN coalesce(CASE {_SWAP_SP} END, sp) ELSE sp END AS sp FROM (SELECT *, ('0x' || substr(md5(word::VARCHAR), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM tokens), r), p AS (SELECT rate, lex, sp, sp || '|' || lead(sp) OVER (PARTITION BY unit, chunk, rate ORDER BY word) AS pb FROM m), i AS (SELECT rate, 'lex' AS family, lex AS item FROM p UNION ALL SELECT rate, 'pos', sp FROM p UNION ALL SELECT rate, 'pb', pb FROM p) SELECT rate, family, item, count(*) AS n FROM i WHERE item IS NOT NULL GROUP BY ALL")
+def vl22_counts_at_rates(spark, d):
+    """Counts of lexemes, parts of speech and their bigrams with late forms replaced at each rate, from stored counts and what changes."""
+    by, tokens = _chunks(spark, d)
+    return S.at_rates(S.counts(tokens, by), S.deltas(tokens, by, RATES), by, RATES).groupBy("rate", "family", "item").agg(F.sum("n").alias("n"))
+
+
+@query()
+def vl22_redated(spark, d):
+    """Each unit's date by the fit without it, with late forms replaced at each rate."""
+    by, tokens = _chunks(spark, d)
+    base = stored(S.counts(tokens, by), "counts")
+    top = H.commonest(base, {"lex": 40, "pos": 10, "pb": 20}).select("family", "item").distinct().orderBy("family", "item").collect()  # at most 70 rows
+    words = [(r["family"], r["item"]) for r in top]
+    sizes = tokens.groupBy(*by).agg(F.count("*").alias("words"))
+    models = N.fold_models(S.vectors(base, by, words, sizes).withColumn("y", F.col("grp").cast("double")), "grp", "x", "y", LAMS, 1.0, 4.0)
+    rows = S.vectors(S.at_rates(base, S.deltas(tokens, by, RATES), by, RATES), ["grp", "chunk", "rate"], words, sizes.withColumn("rate", F.explode(F.array(*[F.lit(r) for r in RATES]))))
+    return S.redated(rows.select("grp", "rate", "x"), ["grp", "rate"], models).select("grp", "rate", "n", r6("raw", "raw"), r6("pred", "pred"))
