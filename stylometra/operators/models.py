@@ -38,20 +38,20 @@ def merged_grams(parts: DataFrame) -> dict[str, np.ndarray]:
     return {r["grp"]: np.frombuffer(bytes(r["gram"])).reshape(width, width).copy() for r in sorted(rows, key=lambda r: r["grp"])}
 
 
-def group_grams(df: DataFrame, group: str, vector: str, y: str) -> dict[str, np.ndarray]:
-    """Each group's sums of outer products of (1, x, y); rows with a null vector or y are left out. One pass of rows: tasks write a matrix for each group, and these are added up before the driver gets them."""
-    known = df.where(F.col(vector).isNotNull() & F.col(y).isNotNull())
+def group_grams(df: DataFrame, group: str, vector: str, y: str, weight: str | None = None) -> dict[str, np.ndarray]:
+    """Each group's sums of outer products of (1, x, y), weighted if asked; rows with a null vector, y or weight are left out. One pass of rows: tasks write a matrix for each group, and these are added up before the driver gets them."""
+    known = df.where(F.col(vector).isNotNull() & F.col(y).isNotNull()).select(group, vector, y, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_weight")).where("_weight IS NOT NULL")
 
     def run(frames):
         sums: dict = {}
         for f in frames:
             for g, own in f.groupby(group):
                 x = np.column_stack([np.ones(len(own)), np.stack(own[vector].to_numpy()).astype(float), own[y].to_numpy(float)])
-                sums[g] = sums.get(g, 0) + x.T @ x
+                sums[g] = sums.get(g, 0) + x.T @ (x * own["_weight"].to_numpy()[:, None])
         if sums:
             yield pd.DataFrame({"grp": [str(g) for g in sums], "gram": [s.tobytes() for s in sums.values()]})
 
-    return merged_grams(known.select(group, vector, y).mapInPandas(run, "grp string, gram binary"))
+    return merged_grams(known.mapInPandas(run, "grp string, gram binary"))
 
 
 def ridge_leave_group_out(df: DataFrame, group: str, vector: str, y: str, lams: list[float]) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import catalog, composites, hierarchy, inference, linguistic, modelling, nested, relational, sampling, selection, variational  # noqa: F401
+from . import catalog, composites, gaussian, hierarchy, inference, linguistic, modelling, nested, relational, sampling, selection, variational  # noqa: F401
