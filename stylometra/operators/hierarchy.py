@@ -91,7 +91,7 @@ def families(tokens: DataFrame, by: list[str]) -> DataFrame:
 
     Neighbours don't cross chunks, and a chunk is of bounded size. A bigram lb of two open words doesn't count.
     """
-    word, clause, phrase = Window.partitionBy(*by).orderBy("word"), Window.partitionBy(*by).orderBy("clause"), Window.partitionBy(*by).orderBy("clause", "phrase")
+    word, clause, phrase = Window.partitionBy(*by).orderBy("word", "lex", "sp"), Window.partitionBy(*by).orderBy("clause"), Window.partitionBy(*by).orderBy("clause", "phrase")
     gram = lambda *parts: F.concat(*[p if k == 0 else F.concat(F.lit("|"), p) for k, p in enumerate(parts)])  # noqa: E731  (null where a part is)
     sp, lex = F.col("sp"), F.when(F.col("sp").isin(*CLOSED), F.col("lex")).otherwise("·")
     verb = sp == "verb"

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import group_grams
+from .models import MOST_CELLS, group_grams
 
 
 def moments(gram: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float]:
@@ -98,9 +98,20 @@ def pls_leave_group_out(df: DataFrame, group: str, vector: str, y: str, parts: i
     return df.sparkSession.createDataFrame(rows, "grp string, n long, rmse double")
 
 
-def principal_parts(df: DataFrame, group: str, vector: str, y: str, k: int) -> DataFrame:
-    """(part, share, loadings): eigenvectors of the correlation matrix, the greatest loading of each positive."""
-    grams = group_grams(df, group, vector, y)
+def filled(df: DataFrame, vector: str, most_null: float = 0.4) -> tuple[DataFrame, list[int]]:
+    """(df with the components of vector that are null or NaN in less than that share of rows, unknown ones by the component's median; the components' places). Rows without a vector go."""
+    known = df.where(F.col(vector).isNotNull()).withColumn(vector, F.transform(F.col(vector).cast("array<double>"), lambda v: F.when(~F.isnan(v), v)))
+    long = known.select(F.posexplode(vector).alias("k", "v"))
+    stats = long.groupBy("k").agg((1 - F.count("v") / F.count("*")).alias("none"), F.percentile("v", 0.5).alias("med")).where((F.col("none") < most_null) & F.col("med").isNotNull())
+    kept = sorted((r["k"], r["med"]) for r in stats.collect())  # a row for each component
+    values = F.array(*[F.coalesce(F.get(vector, F.lit(k)), F.lit(float(m))) for k, m in kept]) if kept else F.array().cast("array<double>")
+    return known.withColumn(vector, values), [k for k, _ in kept]
+
+
+def principal_parts(df: DataFrame, group: str, vector: str, y: str, k: int, most_null: float = 0.4) -> DataFrame:
+    """(part, share, loadings): eigenvectors of the correlation matrix, the greatest loading of each positive. Components null in most_null of the rows or more go, other nulls become medians; constant components have no loading."""
+    own, _ = filled(df, vector, most_null)
+    grams = group_grams(own, group, vector, y)
     if not grams:
         return df.sparkSession.createDataFrame([], "part int, share double, loadings array<double>")
     _, _, c, _, _ = moments(sum(grams.values()))
@@ -169,6 +180,77 @@ def logistic(df: DataFrame, vector: str, target: str, penalty: float = 1.0, step
     return beta
 
 
+def _logistic_steps(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, beta: np.ndarray, inverse: np.ndarray | None = None, most: int = 200) -> np.ndarray:
+    """Newton from beta; with an inverse curvature its first steps take that, and a new one is made where a step doesn't shrink to a quarter of the one before."""
+    before = np.inf
+    for _ in range(most):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
+        slope = x.T @ (p - y) + ridge * beta
+        if inverse is None:
+            inverse = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge))
+        step = inverse @ slope
+        size = float(np.abs(step).max())
+        if size > before / 4 and size > 1e-11:
+            inverse = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge))
+            step = inverse @ slope
+            size = float(np.abs(step).max())
+        beta, before = beta - step, size
+        if size < 1e-11:
+            break
+    return beta
+
+
+def _scaled_ridge(n: float, first: np.ndarray, second: np.ndarray, penalty: float) -> np.ndarray:
+    """The penalty of raw slopes that is one of standardised slopes; the constant has next to none."""
+    var = second / n - (first / n) ** 2
+    return np.concatenate([[1e-12], penalty * np.where(var > 1e-20, var, 1.0)])
+
+
+def logistic_leave_one_out(units: DataFrame, key: str, vector: str, target: str, penalty: float = 1.0) -> DataFrame:
+    """(key, target, score): each unit's probability by the L2 logistic fit of all others, on columns standardised without it. units is a table of units, not of rows: at most MOST_CELLS numbers.
+
+    One fit of all units gives a start; the curvature without a unit is that fit's less a rank-one part, and steps go on until they end, so scores are those of full
+    refits. Units without a vector or target are left out; where the others have one class alone the score is null.
+    """
+    known = units.where(F.col(vector).isNotNull() & F.col(target).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("_x"), F.col(target).cast("int").alias("_y"))
+    size = known.agg(F.count("*").alias("n"), F.max(F.size("_x")).alias("w")).head()
+    if size["n"] * ((size["w"] or 0) + 1) > MOST_CELLS:
+        raise ValueError(f"{size['n']} rows are too many to leave each out: more than {MOST_CELLS} numbers")
+    kind = dict(units.dtypes)[key]
+    schema = f"`{key}` {kind}, target int, score double"
+    rows = known.collect()
+    if len(rows) < 2:
+        return units.sparkSession.createDataFrame([], schema)
+    x = np.column_stack([np.ones(len(rows)), np.array([r["_x"] for r in rows])])
+    y = np.array([r["_y"] for r in rows], float)
+    ridge = _scaled_ridge(len(rows), x[:, 1:].sum(0), (x[:, 1:] ** 2).sum(0), penalty)
+    beta = _logistic_steps(x, y, ridge, np.zeros(x.shape[1])) if 0 < y.sum() < len(y) else np.zeros(x.shape[1])
+    w = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
+    inverse = np.linalg.inv((x * (w * (1 - w))[:, None]).T @ x + np.diag(ridge))
+    shared = units.sparkSession.sparkContext.broadcast((x, y, beta, inverse))
+
+    def run(frames):
+        x, y, beta, inverse = shared.value
+        first, second = x[:, 1:].sum(0), (x[:, 1:] ** 2).sum(0)
+        for f in frames:
+            out = []
+            for i in f["id"]:
+                left, other = np.delete(x, i, 0), np.delete(y, i)
+                if not 0 < other.sum() < len(other):
+                    out.append(None)
+                    continue
+                p = 1 / (1 + np.exp(-np.clip(x[i] @ beta, -35, 35)))
+                turned = inverse @ x[i]
+                less = inverse + np.outer(turned, turned) * (p * (1 - p) / (1 - p * (1 - p) * (x[i] @ turned)))
+                own = _scaled_ridge(len(other), first - x[i, 1:], second - x[i, 1:] ** 2, penalty)
+                out.append(float(1 / (1 + np.exp(-np.clip(x[i] @ _logistic_steps(left, other, own, beta, less), -35, 35)))))
+            yield pd.DataFrame({"id": f["id"], "score": pd.Series(out, dtype="float64")})
+
+    scores = units.sparkSession.range(len(rows)).mapInPandas(run, "id long, score double")
+    names = units.sparkSession.createDataFrame([(k, r[key], r["_y"]) for k, r in enumerate(rows)], f"id long, `{key}` {kind}, target int")
+    return names.join(scores, "id").select(key, "target", "score")
+
+
 def topic_factors(df: DataFrame, row: str, column: str, value: str, k: int, steps: int = 15) -> DataFrame:
     """(row, topic, weight) of a non-negative factorisation by multiplicative updates of the column factor; weights of a row sum to 1.
 

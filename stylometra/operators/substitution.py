@@ -18,7 +18,7 @@ def marked(tokens: DataFrame, by: list[str], changes: dict[str, tuple[str, str |
     pick = lambda k: F.coalesce(*[F.when(F.col("lex") == old, F.lit(new[k])) for old, new in changes.items()], F.lit(None).cast("string"))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in place])), 1, 7), 16, 10).cast("long") / float(1 << 28)
     own = tokens.withColumn("lex2", pick(0)).withColumn("sp2", F.coalesce(pick(1), "sp")).withColumn("draw", F.when(F.col("lex2").isNotNull(), draw))
-    w = Window.partitionBy(*by).orderBy("word")
+    w = Window.partitionBy(*by).orderBy("word", "lex", "sp")
     return own.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("sp", "sp2", "draw")})
 
 
@@ -34,7 +34,7 @@ def _pair(a: Column, b: Column) -> Column:
 
 def counts(tokens: DataFrame, by: list[str]) -> DataFrame:
     """(by..., family, item, n) of lexemes, parts of speech and bigrams of these within by."""
-    follow = F.lead("sp").over(Window.partitionBy(*by).orderBy("word"))
+    follow = F.lead("sp").over(Window.partitionBy(*by).orderBy("word", "lex", "sp"))
     own = tokens.select(*by, "lex", "sp", follow.alias("_f"))
     items = F.array(*[F.struct(F.lit(f).alias("family"), e.alias("item")) for f, e in (("lex", F.col("lex")), ("pos", F.col("sp")), ("pb", _pair(F.col("sp"), F.col("_f"))))])
     return own.select(*by, F.explode(items).alias("x")).select(*by, "x.*").where("item IS NOT NULL").groupBy(*by, "family", "item").agg(F.count("*").alias("n"))

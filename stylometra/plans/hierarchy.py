@@ -72,7 +72,7 @@ _SIZE = {f: "verbs" for f in ("vtf", "vsf", "vx")} | {f: "phrases" for f in ("ty
 def _families_sql() -> str:
     pick = lambda source, items: " UNION ALL ".join(f"SELECT chunk, '{f}' AS family, {e} AS item FROM {source}" for f, e in items)
     words = pick("t", [("lex", "lex"), ("pos", "sp"), ("pb", "sp || '|' || s2"), ("pt", "sp || '|' || s2 || '|' || s3"), ("lb", "CASE WHEN l <> '·' OR l2 <> '·' THEN l || '|' || l2 END"), ("st", "st"), ("nu", "nu"), ("gn", "gn"), ("prs", "prs"), *[(f, f"CASE WHEN sp = 'verb' THEN {e} END") for f, e in (("vtf", "vt"), ("vsf", "vs"), ("vx", "vt || '|' || vs"))]])
-    return f"""WITH {TOKENS}, t0 AS (SELECT *, CASE WHEN sp IN ({_CLOSED}) THEN lex ELSE '·' END AS l FROM tokens), t AS (SELECT *, lead(sp) OVER o AS s2, lead(sp, 2) OVER o AS s3, lead(l) OVER o AS l2 FROM t0 WINDOW o AS (PARTITION BY chunk ORDER BY word)),
+    return f"""WITH {TOKENS}, t0 AS (SELECT *, CASE WHEN sp IN ({_CLOSED}) THEN lex ELSE '·' END AS l FROM tokens), t AS (SELECT *, lead(sp) OVER o AS s2, lead(sp, 2) OVER o AS s3, lead(l) OVER o AS l2 FROM t0 WINDOW o AS (PARTITION BY chunk ORDER BY word, lex, sp)),
 p AS (SELECT chunk, clause, phrase, ptyp, function, lead(function) OVER (PARTITION BY chunk ORDER BY clause, phrase) AS f2 FROM (SELECT DISTINCT chunk, clause, phrase, ptyp, function FROM tokens)),
 c AS (SELECT chunk, ctyp, rela, lead(ctyp) OVER o AS c2, lead(rela) OVER o AS r2, lead(rela, 2) OVER o AS r3 FROM (SELECT DISTINCT chunk, clause, ctyp, rela FROM tokens) WINDOW o AS (PARTITION BY chunk ORDER BY clause)),
 i AS ({words} UNION ALL {pick("p", [("typ", "ptyp"), ("fun", "function"), ("fb", "function || '|' || f2")])} UNION ALL {pick("c", [("rela", "rela"), ("ctyp", "ctyp"), ("cb", "ctyp || '|' || c2"), ("rt", "rela || '|' || r2 || '|' || r3")])}),

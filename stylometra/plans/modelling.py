@@ -97,6 +97,20 @@ def md21_logistic_auc(spark, d):
     return X.auc(out, "score", F.col("t") == 1, ["fold"]).select("fold", "n_pos", "n_neg", r6("auc", "auc"))
 
 
+@query()
+def md21_leave_one_out(spark, d):
+    """Suppliers told apart by their lines, each by the fit of all others."""
+    li, q = table(spark, d, "lineitem"), F.col("l_quantity")
+    parts = [F.avg(q), F.avg("l_discount"), F.avg("l_tax"), F.stddev_pop(q), *[F.avg((F.col("l_returnflag") == f).cast("int")) for f in "ANR"], F.avg((F.col("l_linestatus") == "O").cast("int"))]
+    units = li.groupBy("l_suppkey").agg(F.array(*parts).alias("x"), (F.percentile("l_extendedprice", 0.5) > 53000).cast("int").alias("t"))
+    return A.logistic_leave_one_out(units, "l_suppkey", "x", "t").select("l_suppkey", "target", r6("score", "score"))
+
+
+@query()
+def md21_leave_one_out_auc(spark, d):
+    return X.auc(md21_leave_one_out(spark, d), "score", F.col("target") == 1).select("n_pos", "n_neg", r6("auc", "auc"))
+
+
 @query(f"WITH {TOK}, c AS (SELECT token, count(*)::DOUBLE AS n FROM tok GROUP BY 1), f AS (SELECT n, count(*) AS types FROM c GROUP BY 1), r AS (SELECT n, types, sum(types) OVER (ORDER BY n DESC) AS rank FROM f) SELECT round(regr_slope(ln(n), ln(rank)), 6) AS exponent, count(*) AS steps FROM r")
 def md23_rank_frequency(spark, d):
     c = T.tokens(table(spark, d, "documents"), "doc_id").groupBy("token").agg(F.count("*").cast("double").alias("n"))

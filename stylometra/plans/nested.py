@@ -65,7 +65,7 @@ _SWAP = " ".join(f"WHEN lex = '{a}' THEN '{b}'" for a, (b, _) in SUBSTITUTIONS.i
 _SWAP_SP = " ".join(f"WHEN lex = '{a}' THEN '{b}'" for a, (_, b) in SUBSTITUTIONS.items() if b)
 
 
-@query(f"WITH {TOKENS}, r(rate) AS (VALUES {', '.join(f'({r}::DOUBLE)' for r in RATES)}), m AS (SELECT unit, clause // 400 AS chunk, word, rate, CASE WHEN u < rate THEN coalesce(CASE {_SWAP} END, lex) ELSE lex END AS lex, CASE WHEN u < rate THEN coalesce(CASE {_SWAP_SP} END, sp) ELSE sp END AS sp FROM (SELECT *, ('0x' || substr(md5(word::VARCHAR), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM tokens), r), p AS (SELECT rate, lex, sp, sp || '|' || lead(sp) OVER (PARTITION BY unit, chunk, rate ORDER BY word) AS pb FROM m), i AS (SELECT rate, 'lex' AS family, lex AS item FROM p UNION ALL SELECT rate, 'pos', sp FROM p UNION ALL SELECT rate, 'pb', pb FROM p) SELECT rate, family, item, count(*) AS n FROM i WHERE item IS NOT NULL GROUP BY ALL")
+@query(f"WITH {TOKENS}, r(rate) AS (VALUES {', '.join(f'({r}::DOUBLE)' for r in RATES)}), m AS (SELECT unit, clause // 400 AS chunk, word, rate, lex AS l0, sp AS s0, CASE WHEN u < rate THEN coalesce(CASE {_SWAP} END, lex) ELSE lex END AS lex, CASE WHEN u < rate THEN coalesce(CASE {_SWAP_SP} END, sp) ELSE sp END AS sp FROM (SELECT *, ('0x' || substr(md5(word::VARCHAR), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM tokens), r), p AS (SELECT rate, lex, sp, sp || '|' || lead(sp) OVER (PARTITION BY unit, chunk, rate ORDER BY word, l0, s0) AS pb FROM m), i AS (SELECT rate, 'lex' AS family, lex AS item FROM p UNION ALL SELECT rate, 'pos', sp FROM p UNION ALL SELECT rate, 'pb', pb FROM p) SELECT rate, family, item, count(*) AS n FROM i WHERE item IS NOT NULL GROUP BY ALL")
 def vl22_counts_at_rates(spark, d):
     """Counts of lexemes, parts of speech and their bigrams with late forms replaced at each rate, from stored counts and what changes."""
     by, tokens = _chunks(spark, d)

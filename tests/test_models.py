@@ -120,3 +120,41 @@ def test_word_vectors_of_words_seen_once(spark):
     toks = spark.createDataFrame([(["a", "b", "once"],), (["a", "b"],)], "words array<string>")
     got = {r.word: r for r in sampling.word_vectors(toks, size=8, epochs=1).collect()}
     assert set(got) == {"a", "b", "once"} and all(len(r.vector) == 8 for r in got.values())
+
+
+def test_logistic_without_each_unit_equals_full_refits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (60, 4)) * [1, 10, 0.1, 1] + [0, 5, 1, 0]
+    x[:, 3] = 2.0  # constant
+    y = (x[:, 0] + x[:, 1] / 10 + rng.normal(0, 1, 60) > 0.5).astype(int)
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]], int(y[k])) for k in range(60)] + [(99, None, 1), (98, [0.0] * 4, None)], "k long, x array<double>, t int").repartition(3)
+    got = {r.k: r for r in matrix.logistic_leave_one_out(df, "k", "x", "t", 2.0).collect()}
+    assert sorted(got) == list(range(60))
+    for i in range(60):
+        a, b = np.delete(x, i, 0), np.delete(y, i)
+        sd = np.where(a.std(0) > 1e-10, a.std(0), 1.0)
+        z = np.column_stack([np.ones(59), (a - a.mean(0)) / sd])
+        beta, ridge = np.zeros(5), np.array([0, 2.0, 2.0, 2.0, 2.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z @ beta))
+            beta = beta - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - b) + ridge * beta)
+        want = 1 / (1 + np.exp(-(beta[0] + (x[i] - a.mean(0)) / sd @ beta[1:])))
+        assert got[i].score == pytest.approx(want, abs=1e-8) and got[i].target == y[i]
+    alone = matrix.logistic_leave_one_out(spark.createDataFrame([(1, [1.0], 1), (2, [2.0], 0), (3, [3.0], 0)], "k long, x array<double>, t int"), "k", "x", "t").collect()
+    assert {r.k: r.score is None for r in alone} == {1: True, 2: False, 3: False}
+
+
+def test_principal_parts_of_vectors_with_nulls(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (80, 4))
+    x[:, 1] += x[:, 0]
+    rows = [[None if k % 9 == j else float(v) for j, v in enumerate(r)] for k, r in enumerate(x)]
+    for k, r in enumerate(rows):
+        r[3] = r[3] if k % 2 else float("nan")  # half unknown: goes
+    df = spark.createDataFrame([("g", r, 1.0) for r in rows] + [("g", None, 1.0)], "g string, x array<double>, y double")
+    table = np.array([[np.nan if v is None else v for v in r[:3]] for r in rows])
+    full = np.where(np.isnan(table), np.nanmedian(table, axis=0), table)
+    value, vector = np.linalg.eigh(np.corrcoef(full.T))
+    got = matrix.principal_parts(df, "g", "x", "y", 2).orderBy("part").collect()
+    assert [r.share for r in got] == pytest.approx([value[2] / 3, value[1] / 3])
+    assert np.abs(got[0].loadings) == pytest.approx(np.abs(vector[:, 2]))
