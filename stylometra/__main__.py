@@ -1,4 +1,4 @@
-"""Command line: list the registered queries, print the SQL of one, or run some over a folder of tables."""
+"""Command line: list the registered queries, print the SQL of one, run some over a folder of tables, or run the stages of the workflow."""
 
 from __future__ import annotations
 
@@ -7,6 +7,44 @@ import sys
 import time
 
 
+def staged(given) -> int:
+    from . import workflow
+
+    if given.command == "stages":
+        for k, stage in enumerate(workflow.STAGES, 1):
+            print(f"{k} {stage.name}: {', '.join(stage.outputs)}; {', '.join(f'{n}={v}' for n, v in stage.parameters.items()) or 'no parameters'}")
+        for name in ("MODELS", "TRANSFORMS", "SCENARIOS"):
+            print(f"{name.lower()}: {', '.join(getattr(workflow, name))}")
+        return 0
+    chosen: dict[str, dict] = {}
+    try:
+        for item in given.set:
+            (stage, _, name), value = item.partition("=")[0].partition("."), item.partition("=")[2]
+            chosen.setdefault(stage, {})[name] = value
+        for stage in workflow.STAGES:
+            workflow.settings(stage, chosen.get(stage.name, {}))
+        if unknown := set(chosen) - {s.name for s in workflow.STAGES}:
+            raise ValueError(f"no stage is named {', '.join(sorted(unknown))}")
+        if not given.snapshot and not given.tables:
+            raise ValueError("--tables is needed to run stages")
+    except ValueError as wrong:
+        print(wrong, file=sys.stderr)
+        return 2
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.builder.appName("stylometra").getOrCreate()
+    if given.snapshot:
+        print(f"{workflow.snapshot(spark, given.out)} outputs recorded")
+        return 0
+    workflow.run(spark, given.tables, given.out, given.start, given.to, chosen)
+    try:
+        for r in workflow.compared(spark, given.out).orderBy("output").collect():
+            print(f"{r['output']}: {r['status']}")
+    except FileNotFoundError as none:
+        print(none)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="python -m stylometra", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -19,8 +57,18 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--out", help="folder for results; without it they are shown")
     run.add_argument("--format", choices=("parquet", "csv"), default="parquet")
     run.add_argument("--rows", type=int, default=20, help="rows to show")
+    flow = commands.add_parser("pipeline", help="run the stages, from one of them on, and compare the outputs with a snapshot; or take the snapshot")
+    flow.add_argument("--tables", help="folder of Parquet tables")
+    flow.add_argument("--out", required=True, help="folder of the stages' outputs")
+    flow.add_argument("--snapshot", action="store_true", help="record the outputs that are there")
+    flow.add_argument("--from", dest="start", type=int, default=1, help="number of the first stage to run")
+    flow.add_argument("--to", type=int, help="number of the last")
+    flow.add_argument("--set", action="append", default=[], metavar="STAGE.NAME=VALUE", help="a parameter of a stage; lists by commas")
+    commands.add_parser("stages", help="the stages with their outputs and parameters, and named models, transforms and scenarios")
     given = parser.parse_args(argv)
 
+    if given.command in ("pipeline", "stages"):
+        return staged(given)
     from .plans import registry
 
     if given.command == "list":
