@@ -27,18 +27,10 @@ def impute_median(long: DataFrame, training: Column) -> DataFrame:
     return long.join(med, "feature", "left").withColumn("value", F.coalesce("value", "med")).drop("med")
 
 
-#: Rows of a table that may be sent to every task.
-SMALL = 100_000
-
-
-def join_small(rows: DataFrame, statistics: DataFrame, by: list[str]) -> DataFrame:
-    """rows joined (inner, nulls meet nulls) with a table of statistics by group: sent to every task if it has at most SMALL rows, else shuffled."""
-    spark = rows.sparkSession
+def join_statistics(rows: DataFrame, statistics: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined (inner, nulls meet nulls) with a table of statistics by group; Spark sends it to every task where it is small."""
     names = [f"_by{k}" for k in range(len(by))]
     right = statistics.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], *[c for c in statistics.columns if c not in by])
-    few = right.limit(SMALL + 1).collect()  # at most SMALL + 1 rows
-    if len(few) <= SMALL:
-        right = F.broadcast(spark.createDataFrame(few, right.schema))
     met = F.lit(True)
     for c, n in zip(by, names, strict=True):
         met = met & F.col(c).eqNullSafe(F.col(n))
@@ -50,7 +42,7 @@ def standardise(long: DataFrame, training: Column | None = None) -> DataFrame:
     x = F.col("value") if training is None else F.when(training, F.col("value"))
     moments = long.groupBy("feature").agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_sd"))
     z = (F.col("value") - F.col("_m")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
-    return join_small(long, moments, ["feature"]).withColumn("z", z).drop("_m", "_sd")
+    return join_statistics(long, moments, ["feature"]).withColumn("z", z).drop("_m", "_sd")
 
 
 def composite(z: DataFrame, directions: DataFrame) -> DataFrame:
@@ -73,7 +65,7 @@ def running_counts(df: DataFrame, by: list[str], value: str, blocks: int = 64) -
     base = sums.select(*by, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ran = own.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    return join_small(ran, base, [*by, "_b"]).select(*by, value, "_n", (F.col("_base") + F.col("_in")).alias("_before"))
+    return join_statistics(ran, base, [*by, "_b"]).select(*by, value, "_n", (F.col("_base") + F.col("_in")).alias("_before"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -95,7 +87,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def centred(df: DataFrame, by: list[str], value: str, least: int = 1) -> DataFrame:
     """value less its group's mean, in groups of at least so many rows."""
     means = df.groupBy(*by).agg(F.count("*").alias("_n"), F.avg(value).alias("_m")).where(F.col("_n") >= least)
-    return join_small(df, means, by).withColumn("centred", F.col(value) - F.col("_m")).drop("_n", "_m")
+    return join_statistics(df, means, by).withColumn("centred", F.col(value) - F.col("_m")).drop("_n", "_m")
 
 
 def regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -140,11 +132,11 @@ def leave_one_out_signs(groups: DataFrame, x: str = "value", y: str = "y") -> Da
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     own = groups.where(both).withColumn("_x", F.col(x).cast("double")).withColumn("_y", F.col(y).cast("double"))
     means = own.groupBy("feature").agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-    c = join_small(own, means, ["feature"]).select("feature", (F.col("_x") - F.col("_mx")).alias("u"), (F.col("_y") - F.col("_my")).alias("v"))
+    c = join_statistics(own, means, ["feature"]).select("feature", (F.col("_x") - F.col("_mx")).alias("u"), (F.col("_y") - F.col("_my")).alias("v"))
     sums = c.groupBy("feature").agg(F.count("*").alias("n"), F.sum("u").alias("su"), F.sum("v").alias("sv"), F.sum(F.col("u") * F.col("v")).alias("suv"), F.corr("u", "v").alias("r_all"))
     n, a, b = F.col("n") - 1, F.col("su") - F.col("u"), F.col("sv") - F.col("v")
     cov = (F.col("suv") - F.col("u") * F.col("v")) - a * b / n  # a correlation has the sign of its covariance
-    signs = join_small(c, sums, ["feature"]).where("n > 1").withColumn("_same", (F.signum(cov) == F.signum("r_all")).cast("int"))
+    signs = join_statistics(c, sums, ["feature"]).where("n > 1").withColumn("_same", (F.signum(cov) == F.signum("r_all")).cast("int"))
     return signs.groupBy("feature").agg(F.first("r_all").alias("r_all"), F.avg("_same").alias("same_sign"))
 
 

@@ -107,13 +107,19 @@ def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFram
     return df.withColumn("_c", change).withColumn("run_no", F.sum("_c").over(w)).drop("_c")
 
 
-def percentile_of(reference: DataFrame, points: DataFrame, value: str, at: str) -> DataFrame:
-    """Adds ecdf: the share of reference values at most `at`. Distinct values are ranked; points meet them by an as-of union, not in pairs."""
+def percentile_of(reference: DataFrame, points: DataFrame, value: str, at: str, blocks: int = 64) -> DataFrame:
+    """Adds ecdf: the share of reference values at most `at`. Distinct values and points are counted within blocks between quantiles; only the blocks' sums meet."""
     c = reference.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
-    marks = c.select("_x", "_n", F.lit(0).alias("_side")).unionByName(points.select(F.col(at).cast("double").alias("_x")).distinct().select("_x", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_side")))
-    w = Window.orderBy("_x", "_side")  # distinct values alone
-    total = c.agg(F.sum("_n").alias("_t"))
-    ranked = marks.withColumn("_r", F.sum("_n").over(w)).where("_side = 1").crossJoin(total).select("_x", (F.col("_r") / F.col("_t")).alias("ecdf"))
+    cuts = c.agg(F.percentile_approx("_x", [k / blocks for k in range(1, blocks)], 10000).alias("c")).head()["c"] or []
+    edges = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    own = points.where(F.col(at).isNotNull()).select(F.col(at).cast("double").alias("_x")).distinct()
+    marks = c.select("_x", "_n", F.lit(0).alias("_side")).unionByName(own.select("_x", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_side")))
+    marks = marks.withColumn("_b", F.size(F.filter(edges, lambda x: x < F.col("_x"))))
+    sums = dict(marks.groupBy("_b").agg(F.sum("_n")).collect())  # at most `blocks` rows
+    before = [sum(n for k, n in sums.items() if k < b) for b in range(len(set(cuts)) + 1)]
+    inside = F.sum("_n").over(Window.partitionBy("_b").orderBy("_x", "_side"))
+    share = F.try_divide(inside + F.element_at(F.array(*[F.lit(n) for n in before]), F.col("_b") + 1), F.lit(sum(sums.values())))
+    ranked = marks.withColumn("ecdf", share).where("_side = 1").select("_x", "ecdf")
     return points.join(ranked, F.col(at).cast("double") == F.col("_x"), "left").drop("_x")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import features as X
+from ..operators import groups as G
 from ..operators import joins as J
 from ..operators import models as M
 from ..operators import profiles as P
@@ -383,8 +384,8 @@ def vl9_jackknife_plus(spark, d):
 @query(f"WITH {NATION}, r AS (SELECT truth - pred AS e FROM t) SELECT g, round(avg((pred + e > 4000)::INT), 6) AS p_above FROM t, r GROUP BY g")
 def vl10_predictive(spark, d):
     t = _nation(spark, d)
-    res = t.agg(F.collect_list(F.col("truth") - F.col("pred")).alias("e"))  # one residual a group
-    return t.crossJoin(F.broadcast(res)).select("g", r6(F.size(F.filter("e", lambda e: F.col("pred") + e > 4000)) / F.size("e"), "p_above"))
+    cuts = t.select("g", (4000 - F.col("pred")).alias("cut"))
+    return G.percentile_of(t.select((F.col("truth") - F.col("pred")).alias("e")), cuts, "e", "cut").select("g", r6(1 - F.col("ecdf"), "p_above"))
 
 
 @query()

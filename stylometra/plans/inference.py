@@ -185,7 +185,7 @@ def vl28_rescored(spark, d):
     """Predictions moved by their stratum's mean residual, and the share of adjusted residuals that take them beyond a cut: strata meet a count of distinct residuals, not rows."""
     r = table(spark, d, "documents").select("lang", (F.col("n_chars") - 1500.0).alias("res"))
     off = r.groupBy("lang").agg(F.avg("res").alias("off"), F.count("*").alias("n"))
-    e = X.join_small(r, off.select("lang", "off"), ["lang"]).select(F.round(F.col("res") - F.col("off"), 4).alias("e"))
+    e = X.join_statistics(r, off.select("lang", "off"), ["lang"]).select(F.round(F.col("res") - F.col("off"), 4).alias("e"))
     ran = X.running_counts(e, [], "e")
     cuts = off.select("lang", F.round(2000 - (1500.0 + F.col("off")), 4).alias("cut"))
     n = e.count()
