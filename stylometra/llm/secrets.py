@@ -13,9 +13,10 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import materialize, texts
 
 RULE_VERSION, INCREMENTS = "2025.1", 2
@@ -98,6 +99,45 @@ def findings(docs: DataFrame, seen: DataFrame | None = None, version: str = RULE
     return addressed(docs).select("doc_id", "blob").join(now, "blob").drop("blob"), ledger
 
 
+# ---- versions over time and a ledger that lasts ---------------------------------------------------------------------
+
+
+def ledger_at(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger in a folder, empty where there is none yet: a row for each pair of blob and rule version that was ever scanned."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], FOUND)
+    return spark.read.schema(FOUND).parquet(folder).dropDuplicates(["blob", "rule_version"])  # runs at the same time may scan a blob twice
+
+
+def history_findings(history: DataFrame, folder: str, version: str = RULE_VERSION) -> DataFrame:
+    """Scan the versions of paths (path, at, text) whose blobs the ledger in the folder lacks under this rule version, append these to it, and give every version's findings.
+
+    (path, at, blob, n_assign, n_access, n_hex, spans, first_seen, current): first_seen is when the path first had this blob, current whether it is the path's latest version (of equal times
+    the greater blob). A blob that comes back under another path or later is not scanned again; a new rule version scans all blobs once more. Null texts count as empty; rows that repeat
+    path, time and text are one version; a null path is a path of its own; versions without a time come first.
+    """
+    spark = history.sparkSession
+    ship(spark)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = history.select("path", "at", F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"), text.alias("text"))
+    known = ledger_at(spark, folder).where(F.col("rule_version") == version).select("blob")
+    blobs = named.select("blob", "text").dropDuplicates(["blob"]).join(known, "blob", "left_anti")
+    new = materialize(blobs.mapInArrow(_scanned(version), FOUND), "secret-ledger")
+    new.write.mode("append").parquet(folder)
+    found = ledger_at(spark, folder).where(F.col("rule_version") == version).select("blob", "n_assign", "n_access", "n_hex", "spans")
+    versions = named.select("path", "at", "blob").distinct()
+    path = Window.partitionBy("path")  # the versions of one path
+    dated = versions.withColumn("first_seen", F.min("at").over(Window.partitionBy("path", "blob"))).withColumn("current", F.row_number().over(path.orderBy(F.desc_nulls_last("at"), F.desc("blob"))) == 1)
+    return dated.join(found, "blob").select("path", "at", "blob", "n_assign", "n_access", "n_hex", "spans", "first_seen", "current")
+
+
+def leaks(findings: DataFrame) -> DataFrame:
+    """(path, spans, since, until, current): runs of findings of history_findings that hold a secret: since when a path's text had them, until which version, and whether the latest one still does."""
+    held = findings.where("spans <> ''")
+    return held.groupBy("path", "spans").agg(F.min("at").alias("since"), F.max("at").alias("until"), F.max("current").alias("current"))
+
+
 def redact(text: str, spans: str, mark: str = "[SECRET]") -> str:
     """The text with each span (overlapping ones together) replaced by mark."""
     out, at = [], 0
