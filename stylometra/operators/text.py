@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Signs other than letters and digits at a word's edges. Words stand between ASCII white space.
 EDGE = r"(?:^|(?<=\s))[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?=\s|$)"
 
@@ -30,6 +35,92 @@ def tokens(docs: DataFrame, *keep: str) -> DataFrame:
     return s.select(*keep, "sent_no", F.posexplode(token_array(F.col("sentence"))).alias("tok_no", "token"))
 
 
+#: Bytes of text whose counts are held at once.
+COUNTED_BYTES = 8_000_000
+_SPACED = bytes.maketrans(b".;", b"  ")
+_PARTED = bytes.maketrans(b";\n", b"..")
+
+
+def _plain(word: bytes) -> str:
+    """Lower case, without signs at its ends."""
+    w = word.decode().lower()
+    a, b = 0, len(w)
+    while a < b and not w[a].isalnum():
+        a += 1
+    while a < b and not w[b - 1].isalnum():
+        b -= 1
+    return w[a:b]
+
+
+def _counted(docs: DataFrame, by: tuple[str, ...], item: str, count) -> DataFrame:
+    """(by..., item, n): count(blobs) gives a Counter of texts of one group; some megabytes of text at once, and only counts leave them."""
+    ship(docs.sparkSession)
+    kinds = dict(docs.dtypes)
+
+    def counted(batch, held, first):
+        at, items, counts = [], [], []
+        for key, blobs in held.items():
+            own = count(blobs)
+            at += [first[key]] * len(own)
+            items += own
+            counts += own.values()
+        place = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(place) for k in range(len(by))), pa.array(items, pa.string()), pa.array(counts, pa.int64())], names=[*by, item, "n"])
+
+    def run(batches):
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)) or [()] * batch.num_rows
+            held, first, size = {}, {}, 0
+            for k, (key, text) in enumerate(zip(keys, batch.column(len(by)), strict=True)):
+                held.setdefault(key, []).append(text.as_py().encode())
+                first.setdefault(key, k)
+                size += len(held[key][-1])
+                if size >= COUNTED_BYTES:
+                    yield counted(batch, held, first)
+                    held, first, size = {}, {}, 0
+            if held:
+                yield counted(batch, held, first)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"`{item}` string, n long"])
+    return docs.where("text IS NOT NULL").select(*by, "text").mapInArrow(run, schema).groupBy(*by, item).agg(F.sum("n").alias("n"))
+
+
+def token_counts(docs: DataFrame, *by: str) -> DataFrame:
+    """(by..., token, n) of the tokens of each group's texts. Words are counted as they are written, and each different one is stripped once in a batch."""
+
+    def count(blobs):
+        written, out = Counter(), Counter()
+        for b in blobs:
+            written.update(b.translate(_SPACED).split())
+        for word, n in written.items():
+            out[_plain(word)] += n
+        out.pop("", None)
+        return out
+
+    return _counted(docs, by, "token", count)
+
+
+def ngram_counts(docs: DataFrame, n: int, *by: str, sep: str = " ") -> DataFrame:
+    """(by..., gram, n) of token n-grams within sentences."""
+
+    def count(blobs):
+        known: dict[bytes, str] = {}
+        out: Counter = Counter()
+        for b in blobs:
+            for sentence in b.translate(_PARTED).split(b"."):
+                own = []
+                for word in sentence.split():
+                    token = known.get(word)
+                    if token is None:
+                        token = known[word] = _plain(word)
+                    if token:
+                        own.append(token)
+                out.update(zip(*(own[k:] for k in range(n)), strict=False))
+        return Counter({sep.join(g): k for g, k in out.items()})
+
+    return _counted(docs, by, "gram", count)
+
+
 def words_of(text: Column) -> Column:
     """The tokens of all sentences in one array: sentence marks part words, so they count as white space."""
     return token_array(F.translate(text, ".;", "  "))

@@ -186,7 +186,7 @@ def ag26_auc(spark, d):
 
 @query(f"WITH {TOK}, c AS (SELECT lang, token, count(*) AS n FROM tok GROUP BY 1, 2), p AS (SELECT lang, n / sum(n) OVER (PARTITION BY lang) AS p FROM c) SELECT lang, count(*) AS types, round(sum(-p * ln(p)), 6) AS entropy FROM p GROUP BY lang")
 def ag30_entropy(spark, d):
-    c = T.tokens(table(spark, d, "documents"), "lang").groupBy("lang", "token").agg(F.count("*").alias("n"))
+    c = T.token_counts(table(spark, d, "documents"), "lang")
     total = c.groupBy("lang").agg(F.sum("n").alias("t"))
     p = c.join(total, "lang").withColumn("p", F.col("n") / F.col("t"))
     return p.groupBy("lang").agg(F.count("*").alias("types"), r6(F.sum(-F.col("p") * F.ln("p")), "entropy"))
@@ -214,7 +214,7 @@ def wn1_wn3_centred_rho(spark, d):
 
 @query(f"WITH {TOK}, g AS (SELECT token || ' ' || lead(token) OVER (PARTITION BY doc_id, sent_no ORDER BY tok_no) AS gram FROM tok) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram")
 def wn5_bigrams(spark, d):
-    return table(spark, d, "documents").select(F.explode(T.sentence_ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return T.ngram_counts(table(spark, d, "documents"), 2)
 
 
 @query("WITH e AS (SELECT epoch(ts) AS t, value FROM events), c AS (SELECT DISTINCT floor(t / 86400) * 86400 + 43200 AS centre FROM e), x AS (SELECT floor(t / 86400) AS day, count(*) AS n, sum(value) AS s FROM e GROUP BY 1) SELECT centre::BIGINT AS centre, count(*) AS n, round(avg(value), 6) AS mean FROM c JOIN e ON t BETWEEN centre - 43200 AND centre + 43200 - 0.000001 GROUP BY centre")

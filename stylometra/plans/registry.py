@@ -43,8 +43,9 @@ def unit_year():
 
 def rates_by_source(spark, d):
     """(grp, y, feature, value): rates per 1000 tokens of each source."""
-    toks = T.tokens(table(spark, d, "documents"), "source")
-    c = toks.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("token").alias("types"), F.sum(F.length("token")).alias("chars"), F.count_if(F.length("token") <= 3).alias("short"), F.count_if(F.col("token").rlike("(?:tion|ung|ment|aux)$")).alias("suffix"))
+    n, t = F.col("n"), F.col("token")
+    some = lambda c, name: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(name)
+    c = T.token_counts(table(spark, d, "documents"), "source").groupBy("source").agg(F.sum(n).alias("n"), F.count("*").alias("types"), F.sum(n * F.length(t)).alias("chars"), some(F.length(t) <= 3, "short"), some(t.rlike("(?:tion|ung|ment|aux)$"), "suffix"))
     f = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), e.alias("value")) for k, e in (("short_rate", F.col("short") * 1000.0 / F.col("n")), ("suffix_rate", F.col("suffix") * 1000.0 / F.col("n")), ("token_length", F.col("chars") / F.col("n")), ("type_share", F.col("types") / F.col("n")))]))
     return c.select(F.col("source").alias("grp"), unit_year().alias("y"), f.alias("f")).select("grp", "y", "f.*")
 
