@@ -10,23 +10,20 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import mean_rank
 from ..shipping import ship
 from .features import step_up
+from .text import counted_texts
 
 #: Units that a selection may have: their ranks are held by every task.
 MOST_UNITS = 20_000
 
 
 def gram_counts(docs: DataFrame, unit: str, text: str, sizes: tuple[int, ...] = (3, 4)) -> DataFrame:
-    """(unit, item, n) of all character n-grams of each text; grams don't cross texts. Counted within Arrow batches, so only counts are shuffled. Null texts and units are left out."""
-    ship(docs.sparkSession)
-    kind = dict(docs.dtypes)[unit]
-
+    """(unit, item, n) of all character n-grams of each text; grams don't cross texts. Counted within some megabytes of text, so only counts are shuffled. Null texts and units are left out."""
     def counted(texts: list[str], size: int):
         points = np.frombuffer("\x00".join(texts).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in texts])[:-1] - 1
@@ -48,24 +45,13 @@ def gram_counts(docs: DataFrame, unit: str, text: str, sizes: tuple[int, ...] =
         parts = np.stack([letters[(own >> bits * (size - 1 - k)) & ((1 << bits) - 1)] for k in range(size)], axis=1).astype("<u4") if len(own) else np.zeros((0, size), "<u4")
         return [bytes(r).decode("utf-32-le") for r in parts], count.tolist()
 
-    def run(batches):
-        for batch in batches:
-            units, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            held: dict = {}
-            for u, t in zip(units, texts, strict=True):
-                held.setdefault(u, []).append(t)
-            place = {u: k for k, u in reversed(list(enumerate(units)))}
-            at, items, counts = [], [], []
-            for u, own in held.items():
-                for size in sizes:
-                    item, n = counted(own, size)
-                    at += [place[u]] * len(item)
-                    items += item
-                    counts += n
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, pa.string()), pa.array(counts, pa.int64())], names=[unit, "item", "n"])
-
-    known = docs.where(F.col(unit).isNotNull() & F.col(text).isNotNull()).select(unit, text)
-    return known.mapInArrow(run, f"`{unit}` {kind}, item string, n long").groupBy(unit, "item").agg(F.sum("n").alias("n"))
+    def count(blobs):
+        texts, out = [b.decode() for b in blobs], Counter()
+        for size in sizes:
+            out.update(dict(zip(*counted(texts, size), strict=True)))
+        return out
+
+    return counted_texts(docs.where(F.col(unit).isNotNull()).select(unit, F.col(text).alias("text")), (unit,), "item", count)
 
 
 def correlation_p(rho: Column, n: int) -> Column:

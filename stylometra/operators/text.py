@@ -52,7 +52,7 @@ def _plain(word: bytes) -> str:
     return w[a:b]
 
 
-def _counted(docs: DataFrame, by: tuple[str, ...], item: str, count) -> DataFrame:
+def counted_texts(docs: DataFrame, by: tuple[str, ...], item: str, count) -> DataFrame:
     """(by..., item, n): count(blobs) gives a Counter of texts of one group; some megabytes of text at once, and only counts leave them."""
     ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, *by: str) -> DataFrame:
         out.pop("", None)
         return out
 
-    return _counted(docs, by, "token", count)
+    return counted_texts(docs, by, "token", count)
 
 
 def ngram_counts(docs: DataFrame, n: int, *by: str, sep: str = " ") -> DataFrame:
@@ -118,7 +118,7 @@ def ngram_counts(docs: DataFrame, n: int, *by: str, sep: str = " ") -> DataFrame
                 out.update(zip(*(own[k:] for k in range(n)), strict=False))
         return Counter({sep.join(g): k for g, k in out.items()})
 
-    return _counted(docs, by, "gram", count)
+    return counted_texts(docs, by, "gram", count)
 
 
 def words_of(text: Column) -> Column:
