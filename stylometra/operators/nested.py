@@ -12,6 +12,7 @@ scored in pieces. Medians of groups in one piece are taken there; those of large
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -55,9 +56,9 @@ def weighted_ridge(grams: np.ndarray, y: np.ndarray, w: np.ndarray, lams) -> np.
     return np.column_stack([middle - slopes @ mean, slopes])
 
 
-def fold_coefficients(grams: np.ndarray, y: np.ndarray, fold: int, lams, alpha: float, width: float):
-    """(left-out group, coefficients): each inner group by the others but the fold's, and the fold's group by all others."""
-    inner = np.array([k for k in range(len(y)) if k != fold])
+def fold_coefficients(grams: np.ndarray, y: np.ndarray, fold: int, lams, alpha: float, width: float, kept=None):
+    """(left-out group, coefficients): each inner group by the others but the fold's, and the fold's group by all others. kept: the groups that take part, all by default."""
+    inner = np.array([k for k in (range(len(y)) if kept is None else kept) if k != fold])
     w = inverse_density(y[inner], alpha, width)
     for at, k in enumerate(inner if len(inner) > 1 else []):
         rest = np.delete(np.arange(len(inner)), at)
@@ -145,8 +146,11 @@ def _scored(width: int, lams: int):
     return run
 
 
-def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LAMS, alpha: float = 1.0, width: float = 90.0) -> tuple[DataFrame, DataFrame]:
-    """((draw, fold, grp, lam, n, med, sd): the median prediction of every group left out, for each lam, within every fold of every draw; their coefficients). labels: draws x groups."""
+def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LAMS, alpha: float = 1.0, width: float = 90.0, subsets: list[tuple[list[int], list[int]]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """((draw, fold, grp, lam, n, med, sd): the median prediction of every group left out, for each lam, within every fold of every draw; their coefficients). labels: draws x groups.
+
+    subsets: for each draw the groups and the columns that take part.
+    """
     spark = blocks.sparkSession
     grams = block_grams(blocks)
     names = list(groups["grp"])
@@ -158,7 +162,17 @@ def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LA
         for f in frames:
             for k in f["id"]:
                 draw, fold = divmod(int(k), len(names))
-                got = list(fold_coefficients(sums, y[draw], fold, lams, alpha, width))
+                if subsets is None:
+                    got = list(fold_coefficients(sums, y[draw], fold, lams, alpha, width))
+                elif fold in subsets[draw][0]:
+                    kept, at = subsets[draw][0], np.array([0, *(c + 1 for c in subsets[draw][1])])
+                    got = []
+                    for g, own in fold_coefficients(sums[:, at[:, None], at], y[draw], fold, lams, alpha, width, kept):
+                        whole = np.zeros((len(lams), columns + 1))
+                        whole[:, at] = own
+                        got.append((g, whole))
+                else:
+                    continue
                 yield pd.DataFrame({"draw": draw - 1, "fold": fold, "grp": [names[g] for g, _ in got], "betas": [b.tobytes() for _, b in got]})
 
     todo = len(labels) * len(names)
@@ -196,6 +210,12 @@ def nested_fit(df: DataFrame, group: str, vector: str, y: str, lams=LAMS, alpha:
         strata = np.array([found.get(g) for g in names], object)
     labels = dealt_labels(truth, draws, strata, seed)
     med, _ = medians(blocks, groups, labels, lams, alpha, width)
+    return _chosen(med, names, labels, lams)
+
+
+def _chosen(med: DataFrame, names: list[str], labels: np.ndarray, lams) -> DataFrame:
+    """The fits of medians: lam by the inner groups' errors, then the calibrated prediction of each fold's group."""
+    spark = med.sparkSession
     dealt = spark.createDataFrame([(k - 1, j, g, float(labels[k, j])) for k in range(len(labels)) for j, g in enumerate(names)], "draw int, own int, grp string, truth double")
     met = med.join(dealt, ["draw", "grp"])
     error = met.where("fold <> own").groupBy("draw", "fold", "lam").agg(F.avg(F.abs(F.col("med") - F.col("truth"))).alias("error"))
@@ -208,6 +228,41 @@ def nested_fit(df: DataFrame, group: str, vector: str, y: str, lams=LAMS, alpha:
     return outer.select("draw", "grp", "n", "truth", value.alias("lam"), F.col("med").alias("raw"), "sd", pred.alias("pred"))
 
 
+@dataclass(frozen=True)
+class Scenario:
+    """A nested fit on some columns (all by default), without some groups, with some groups' y moved."""
+
+    columns: tuple[int, ...] | None = None
+    drop: tuple[str, ...] = ()
+    shift: dict[str, float] = field(default_factory=dict)
+
+
+def grid(columns: dict[str, tuple[int, ...] | None], drops: dict[str, tuple[str, ...]], shifts: dict[str, dict[str, float]] | None = None) -> dict[str, Scenario]:
+    """Every combination, named by its parts."""
+    return {" | ".join((c, d, *((m,) if shifts else ()))): Scenario(columns[c], drops[d], (shifts or {"": {}})[m]) for c in columns for d in drops for m in (shifts or {"": {}})}
+
+
+def nested_scenarios(df: DataFrame, group: str, vector: str, y: str, scenarios: dict[str, Scenario], lams=LAMS, alpha: float = 1.0, width: float = 90.0) -> DataFrame:
+    """(scenario, draw, grp, n, truth, lam, raw, sd, pred): the whole nested fit under every scenario. Rows are packed and summed once; scenarios are solved in tasks like draws. Those that leave fewer than three groups have no row."""
+    spark = df.sparkSession
+    ship(spark)
+    blocks, groups = packed(df, group, vector, y)
+    names, truth = list(groups["grp"]), groups["y"].to_numpy(float)
+    size = len(blocks.first()["x"]) // 8 // blocks.first()["n"] if names else 0
+    held, labels, subsets = [], [], []
+    for name, own in scenarios.items():
+        kept = [k for k, g in enumerate(names) if g not in own.drop]
+        if len(kept) >= 3:
+            held.append(name)
+            labels.append(truth + [own.shift.get(g, 0.0) for g in names])
+            subsets.append((kept, list(range(size)) if own.columns is None else list(own.columns)))
+    if not held:
+        return spark.createDataFrame([], "scenario string, draw int, grp string, n long, truth double, lam double, raw double, sd double, pred double")
+    med, _ = medians(blocks, groups, np.array(labels), lams, alpha, width, subsets)
+    fits = _chosen(med, names, np.array(labels), lams)
+    return fits.select(F.element_at(F.array(*[F.lit(n) for n in held]), F.col("draw") + 2).alias("scenario"), *fits.columns)
+
+
 def fold_models(df: DataFrame, group: str, vector: str, y: str, lams=LAMS, alpha: float = 1.0, width: float = 90.0) -> DataFrame:
     """(grp, lam, beta, stretch, truth, raw): for each group the fit without it: constant and slopes at its lam, and the calibration by the other groups' predictions among themselves: truth + stretch x (prediction - raw)."""
     spark = df.sparkSession

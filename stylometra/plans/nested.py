@@ -49,6 +49,26 @@ def vl12_fit_null_within_strata(spark, d):
     return N.fit_metrics(fits).join(N.stratum_rho(fits, strata), "draw").select("draw", r6("rho", "rho"), r6("mae", "mae"), r6("partial", "partial"))
 
 
+COLUMNS = {"all": None, "first half": tuple(range(32)), "even": tuple(range(0, 64, 2)), "last eight": tuple(range(56, 64))}
+DROPS = {"none": (), "ends": ("0", "9"), "odd": ("1", "3", "5", "7", "9"), "middle": ("4", "5")}
+SHIFTS = {"as they are": {}, "odd later": {str(g): 1.0 for g in range(1, 10, 2)}}
+
+
+@query()
+def vl19_red_team(spark, d):
+    """The whole nested fit on every family of columns without every set of groups."""
+    fits = N.nested_scenarios(_vectors(spark, d), "g", "embedding", "y", N.grid(COLUMNS, DROPS), LAMS, 1.0, WIDTH)
+    names = fits.select("draw", "scenario").distinct()
+    return N.fit_metrics(fits.drop("scenario")).join(names, "draw").select("scenario", "groups", r6("mae", "mae"), r6("rho", "rho"), "pairs", r6("pair", "pair"))
+
+
+@query()
+def vl19_anchor_fits(spark, d):
+    """Each group's date by the whole nested fit with the groups' dates as they are, and with every other one moved."""
+    fits = N.nested_scenarios(_vectors(spark, d), "g", "embedding", "y", N.grid({"all": None}, {"none": ()}, SHIFTS), LAMS, 1.0, WIDTH)
+    return fits.select("scenario", "grp", "truth", "lam", r6("raw", "raw"), r6("pred", "pred"))
+
+
 #: Late forms and what takes their place; the second entry is a new part of speech.
 SUBSTITUTIONS = {">NJ": (">NKJ", None), "L>": (">L", "advb"), "QHL/": ("<DH/", None), "C": (">CR", "conj"), "NXNW": (">NXNW", None)}
 RATES = [0.0, 0.25, 0.5, 1.0]

@@ -112,3 +112,19 @@ def test_sums_merge_in_levels(spark):
     for name, got in grams.items():
         z = np.array([[1, *r[1], r[2]] for r in rows if r[0] == name])
         assert got == pytest.approx(z.T @ z)
+
+
+def test_scenarios_equal_fits_of_what_they_leave(spark):
+    rows = table()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    scenarios = nested.grid({"all": None, "two": (0, 3)}, {"none": (), "some": ("g2", "g5")}, {"still": {}, "moved": {"g1": 50.0}}) | {"few": nested.Scenario(drop=tuple(f"g{k}" for k in range(6)))}
+    got = nested.nested_scenarios(df, "g", "x", "y", scenarios, LAMS, 1.0, 120.0).toPandas()
+    assert set(got["scenario"]) == set(scenarios) - {"few"} and len(scenarios) == 9
+    for name in ("all | none | still", "two | some | moved", "two | none | still", "all | some | moved"):
+        own = scenarios[name]
+        left = [(g, [v for k, v in enumerate(x) if own.columns is None or k in own.columns], y + own.shift.get(g, 0.0), kind) for g, x, y, kind in rows if g not in own.drop]
+        want = plain(left, {g: y for g, _, y, _ in left}, 1.0, 120.0)
+        mine = got[got["scenario"] == name].sort_values("grp")
+        assert list(mine["grp"]) == [w[0] for w in want] and list(mine["lam"]) == [w[1] for w in want]
+        assert mine["raw"].to_numpy() == pytest.approx([w[2] for w in want], rel=1e-7)
+    assert nested.nested_scenarios(spark.createDataFrame([], SCHEMA), "g", "x", "y", scenarios, LAMS).count() == 0
