@@ -262,6 +262,41 @@ def detectable(n: int, alpha: float = 0.05, power: float = 0.8) -> float:
     return high
 
 
+def critical_rho(n: int, alpha: float) -> float:
+    """The rank correlation of n pairs whose two-sided p by t is alpha."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        p = t_two_sided(middle * math.sqrt((n - 2) / max(1 - middle * middle, 1e-300)), n - 2)
+        low, high = (middle, high) if p > alpha else (low, middle)
+    return high
+
+
+def power_curves(sizes: DataFrame, key: str, n: str, rhos: list[float], alphas: list[float], samples: int = 2000, seed: int = 0) -> DataFrame:
+    """(key, n, rho, alpha, power): the share of samples of n pairs of correlated normals whose rank correlation is significant, for every group's number of units.
+
+    Samples are drawn and ranked in tasks, in blocks seeded by the group's n, the correlation and the block, so groups of equal size share their power. Groups of fewer than 4 units have no row.
+    """
+    block = 250
+    rows = sizes.where(F.col(n) >= 4).select(F.col(n).cast("long").alias("_n")).distinct()
+    todo = rows.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos]))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-samples // block)) - 1))))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for size, rho, b in zip(f["_n"], f["rho"], f["_b"], strict=True):
+                rng, size = np.random.default_rng([seed, int(size), int(round(rho * 1e6)), int(b)]), int(size)
+                x, e = rng.standard_normal((block, size)), rng.standard_normal((block, size))
+                a, c = (v.argsort(axis=1).argsort(axis=1) - (size - 1) / 2 for v in (x, rho * x + math.sqrt(1 - rho * rho) * e))
+                r = np.abs((a * c).sum(axis=1)) / ((size**3 - size) / 12)
+                out += [(size, rho, alpha, block, int((r > critical_rho(size, alpha)).sum())) for alpha in alphas]
+            yield pd.DataFrame(out, columns=["_n", "rho", "alpha", "all", "hits"])
+
+    drawn = todo.repartition("_n", "rho", "_b").mapInPandas(run, "_n long, rho double, alpha double, all long, hits long")
+    power = drawn.groupBy("_n", "rho", "alpha").agg((F.sum("hits") / F.sum("all")).alias("power"))
+    return sizes.join(power, F.col(n) == F.col("_n")).select(key, n, "rho", "alpha", "power")
+
+
 def substituted(tokens: DataFrame, changes: dict[str, str], rate: float, place: list[str]) -> DataFrame:
     """tokens (token, place columns...) with a share `rate` of the tokens of changes replaced: those whose digest of their place falls below the rate, so a higher rate replaces these and more."""
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in place])), 1, 7), 16, 10).cast("long") / float(1 << 28)

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as X
+from ..operators import inference as I
 from ..operators import matrix as A
 from ..operators import text as T
 from ..operators import validate as V
@@ -208,14 +209,9 @@ def vl30_displacement(spark, d):
 
 @query()
 def vl24_power_curve(spark, d):
-    """Share of simulated samples of n whose correlation passes, for each true one: normal draws from hashes, summed in groups."""
-    u = lambda tag: F.pmod(F.xxhash64(F.lit(tag), "draw", "i"), F.lit(1 << 40)) / float(1 << 40) + 1e-13
-    s = spark.range(200).withColumnRenamed("id", "draw").withColumn("rho", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.3, 0.6, 0.9)]))).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(25))))
-    r = F.sqrt(-2 * F.ln(u(1)))
-    x, e = r * F.cos(2 * np.pi * u(2)), r * F.sin(2 * np.pi * u(2))
-    s = s.select("rho", "draw", x.alias("x"), (F.col("rho") * x + F.sqrt(1 - F.col("rho") * F.col("rho")) * e).alias("y"))
-    c = s.groupBy("rho", "draw").agg(F.corr("x", "y").alias("r"))
-    return c.groupBy("rho").agg(r6(F.avg((F.abs("r") > 0.396).cast("int")), "power"))
+    """For every nation's number of customers, the share of samples of as many pairs whose rank correlation is significant."""
+    sizes = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return I.power_curves(sizes, "c_nationkey", "n", [0.0, 0.3, 0.6, 0.9], [0.01, 0.05, 0.1], 1000).select("c_nationkey", "n", "rho", "alpha", r6("power", "power"))
 
 
 @query(f"WITH u AS (SELECT source, {Y} AS y, avg(n_chars) AS x FROM documents GROUP BY 1, 2), s AS (SELECT corr(x, y) AS r FROM u) SELECT u.source, round((SELECT corr(v.x, v.y) FROM u v WHERE v.source <> u.source), 6) AS r_without, round(s.r, 6) AS r_all FROM u, s")

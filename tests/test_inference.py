@@ -1,6 +1,7 @@
 """Regressions, nulls, nested choices and texts against plain numpy and Python."""
 
 import math
+from statistics import NormalDist
 import random
 
 import numpy as np
@@ -90,6 +91,18 @@ def test_exact_signed_ranks(spark):
     assert not got["b"].exact and not got["c"].exact and got["b"].rank_p == pytest.approx(math.erfc(abs(got["b"].z) / math.sqrt(2)))
 
 
+def test_power_curves(spark):
+    assert inference.critical_rho(25, 0.05) == pytest.approx(0.3961, abs=1e-4)
+    sizes = spark.createDataFrame([("a", 25), ("b", 25), ("c", 60), ("d", 3), (None, 60)], "g string, n long").repartition(2)
+    rows = {(r.g, r.rho, r.alpha): r.power for r in inference.power_curves(sizes, "g", "n", [0.0, 0.4, 0.7], [0.05, 0.2], 2000).collect()}
+    assert len(rows) == 4 * 6 and all(rows["a", r, x] == rows["b", r, x] for r in (0.0, 0.4, 0.7) for x in (0.05, 0.2))
+    assert abs(rows["c", 0.0, 0.05] - 0.05) < 0.02 and abs(rows["a", 0.0, 0.2] - 0.2) < 0.03
+    assert rows["a", 0.4, 0.05] < rows["a", 0.4, 0.2] < rows["a", 0.7, 0.2] and rows["c", 0.4, 0.05] > rows["a", 0.4, 0.05]
+    # the normal form of the transformed correlation, whose variance is a little larger for ranks
+    want = 1 - NormalDist().cdf(NormalDist().inv_cdf(0.975) - math.atanh(6 / math.pi * math.asin(0.35)) / math.sqrt(1.06 / 22))
+    assert rows["a", 0.7, 0.05] == pytest.approx(want, abs=0.05)
+
+
 def test_least_detectable_correlation():
     assert inference.detectable(25) == pytest.approx(0.53, abs=0.02) and inference.detectable(100) < inference.detectable(25)
 
