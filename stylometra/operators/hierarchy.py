@@ -117,7 +117,7 @@ def commonest(items: DataFrame, tops: dict[str, int]) -> DataFrame:
     whole = items.groupBy("family", "item").agg(F.sum("n").alias("_all"))
     limit = F.create_map(*[F.lit(x) for kv in tops.items() for x in kv])
     place = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("_all"), "item"))
-    kept = whole.where(F.col("family").isin(*tops)).withColumn("_k", place).where(F.col("_k") <= limit[F.col("family")]).select("family", "item")
+    kept = whole.where(F.col("family").isin(*tops)).withColumn("_k", place).where(F.col("_k") <= max(tops.values())).where(F.col("_k") <= limit[F.col("family")]).select("family", "item")
     return items.join(F.broadcast(kept), ["family", "item"])  # at most sum(tops) rows
 
 

@@ -19,3 +19,20 @@ def test_counts_equal_exploded_tokens(spark, size, monkeypatch):
         grams = docs.where("text IS NOT NULL").select(F.explode(T.sentence_ngrams(F.col("text"), n)).alias("gram"))
         assert {r.gram: r.n for r in T.ngram_counts(docs, n).collect()} == Counter(r.gram for r in grams.collect())
     assert T.token_counts(docs.where("false"), "g").count() == 0
+
+
+def test_family_counts_leave_tasks_in_parts(spark, monkeypatch):
+    from stylometra.operators import profiles as P
+
+    source = spark.createDataFrame([(k, 0, [["a", "b", f"w{k}"]]) for k in range(50)], "doc_id long, chunk int, sents array<array<string>>")
+    monkeypatch.setattr(P, "COUNTED_ROWS", 40)
+    got = P.families(source, ["a"])
+    assert {(r.doc_id, r.family, r.item, r.n) for r in got.where("family = 'w'").collect()} == {(k, "w", w, 1) for k in range(50) for w in ("a", "b", f"w{k}")}
+    run = []
+    monkeypatch.setattr(type(source), "mapInArrow", lambda df, f, schema: run.append(f) or df)
+    P.families(source, ["a"])
+    batch = P.pa.RecordBatch.from_pylist([{"doc_id": k, "chunk": 0, "sents": [["a", "b", f"w{k}"]]} for k in range(50)])
+    sizes = [b.num_rows for b in run[0]([batch])]
+    assert len(sizes) > 5 and max(sizes) < 80
+    kept = P.family_rates(spark.createDataFrame([(1, 0, "w", "a", 2, 3), (1, 0, "w", "b", 1, 3), (1, 0, "x", "a", 1, 1)], "doc_id int, chunk int, family string, item string, n long, total long"), {"w": 1})
+    assert [(r.family, r.item) for r in kept.collect()] == [("w", "a")]
