@@ -64,7 +64,7 @@ def half_even(x: Column, places: int = 0) -> Column:
     return F.bround(x, places)
 
 
-def _accents() -> tuple[str, str]:
+def accents() -> tuple[str, str]:
     """Letters whose canonical decomposition is one base character and marks, and their bases."""
     pairs = []
     for code in [*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)]:
@@ -76,5 +76,5 @@ def _accents() -> tuple[str, str]:
 
 def strip_diacritics(text: Column) -> Column:
     """Letters without their marks; loose combining marks go too."""
-    source, target = _accents()
+    source, target = accents()
     return F.regexp_replace(F.translate(text, source, target), r"\p{Mn}", "")

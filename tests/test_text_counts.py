@@ -28,11 +28,25 @@ def test_family_counts_leave_tasks_in_parts(spark, monkeypatch):
     monkeypatch.setattr(P, "COUNTED_ROWS", 40)
     got = P.families(source, ["a"])
     assert {(r.doc_id, r.family, r.item, r.n) for r in got.where("family = 'w'").collect()} == {(k, "w", w, 1) for k in range(50) for w in ("a", "b", f"w{k}")}
+    assert [(r.doc_id, r.family, r.item) for r in P.family_rates(source.limit(1), ["a"], {"w": 1}).collect()] == [(0, "w", "a")]
     run = []
     monkeypatch.setattr(type(source), "mapInArrow", lambda df, f, schema: run.append(f) or df)
     P.families(source, ["a"])
     batch = P.pa.RecordBatch.from_pylist([{"doc_id": k, "chunk": 0, "sents": [["a", "b", f"w{k}"]]} for k in range(50)])
     sizes = [b.num_rows for b in run[0]([batch])]
     assert len(sizes) > 5 and max(sizes) < 80
-    kept = P.family_rates(spark.createDataFrame([(1, 0, "w", "a", 2, 3), (1, 0, "w", "b", 1, 3), (1, 0, "x", "a", 1, 1)], "doc_id int, chunk int, family string, item string, n long, total long"), {"w": 1})
-    assert [(r.family, r.item) for r in kept.collect()] == [("w", "a")]
+
+
+def test_words_are_judged_once_and_null_texts_have_zeros(spark):
+    from stylometra.operators import profiles as P
+
+    known, judged = P._Words(P._marks()[0], P.GREEK), []
+    known.tests = [lambda w, t=t: judged.append(w) or t(w) for t in known.tests]
+    assert [known[w.encode()][0] for w in ["(Καὶ", "(Καὶ", "--", "(Καὶ"]] == ["και", "και", "", "και"]
+    assert len(judged) == len(P.GREEK)
+    docs = spark.createDataFrame([(1, "Καὶ ὁ λόγος; καὶ ἦν\nοὐκ"), (2, None), (3, "")], "doc_id int, text string")
+    rows = {r.doc_id: r for r in P.register_profile(docs).collect()}
+    assert all(v == 0 for k in (2, 3) for v in rows[k][1:])  # the null text had 10 words a sentence
+    assert (rows[1].avg_sent_len, round(rows[1].kai_sent_initial, 6)) == (2.5, 1.0)
+    assert P.grammar_profile(docs.where("doc_id = 1")).head().avg_sent_len == 2.0
+    assert P._chunk_numbers([60, 50, 100, 20], 100) == [0, 0, 1, 1]
