@@ -158,3 +158,23 @@ def test_principal_parts_of_vectors_with_nulls(spark):
     got = matrix.principal_parts(df, "g", "x", "y", 2).orderBy("part").collect()
     assert [r.share for r in got] == pytest.approx([value[2] / 3, value[1] / 3])
     assert np.abs(got[0].loadings) == pytest.approx(np.abs(vector[:, 2]))
+
+
+def test_leaving_out_many_units_does_not_pass_over_all_others(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.ones(6000), rng.normal(0, 1, (6000, 3))])
+    y = (rng.random(6000) < 1 / (1 + np.exp(-x @ [0.2, 0.5, -0.4, 0.1]))).astype(float)
+    ridge = matrix._scaled_ridge(6000, x[:, 1:].sum(0), (x[:, 1:] ** 2).sum(0), 1.0)
+    beta = matrix._logistic_steps(x, y, ridge, np.zeros(4))
+    slope, taken = matrix._Slope(x, y, ridge, beta), 0
+    for i in range(300):
+        own = matrix._scaled_ridge(5999, x[:, 1:].sum(0) - x[i, 1:], (x[:, 1:] ** 2).sum(0) - x[i, 1:] ** 2, 1.0)
+        p = 1 / (1 + np.exp(-x[i] @ beta))
+        got = slope.without(x[i], y[i], own, beta, np.linalg.inv(slope.curve - p * (1 - p) * np.outer(x[i], x[i])))
+        if got is not None:
+            taken += 1
+            assert x[i] @ got == pytest.approx(x[i] @ matrix._logistic_steps(np.delete(x, i, 0), np.delete(y, i), own, beta), abs=2e-10)
+    assert taken > 250
+    # a unit far from the others isn't left to the expansion
+    far = x[0] * 300
+    assert slope.without(far, float(far @ beta < 0), ridge, beta, np.linalg.inv(slope.curve)) is None
