@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.tables import stored
 
 #: Numbers that the driver may hold: groups x (columns + 2) squared.
@@ -84,14 +85,66 @@ def generative_leave_one_out(units: DataFrame, grid: DataFrame) -> DataFrame:
     return ll.groupBy("grp", "y").agg(F.max_by(F.col("d"), F.struct(F.round("ll", 9), -F.col("d"))).alias("pred"))
 
 
-def cosine_neighbours(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(query, id, cosine, rank): the k nearest of index (id, v) to each query (query, v); zero vectors have none. For small query sets."""
+#: Vectors of a block of queries or of index rows, bytes of a block at most, and similarities that a task holds at once.
+QUERY_BLOCK, INDEX_BLOCK, BLOCK_BYTES, HELD_COSINES = 8_000, 20_000, 16_000_000, 4_000_000
+
+
+def _vector_blocks(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, int]:
+    """((b, ids, v), number of blocks): vectors of df (key, v) in blocks of bounded size, ascending by key, with their norms' zeros gone; rows without a key or with a null in the vector are left out."""
+    known = df.where(F.col(key).isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).select(key, F.col("v").cast("array<double>").alias("v")).where(F.size("v") > 0)
+    size = known.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).head()
+    count = max(1, -(-size["n"] // max(1, min(rows, BLOCK_BYTES // (8 * (size["w"] or 1))))))
+
+    def pack(f):
+        f = f.sort_values(key, ignore_index=True)
+        x = np.stack(f["v"].to_numpy()).astype(float)
+        with np.errstate(invalid="ignore", over="ignore"):
+            norm = np.sqrt((x * x).sum(axis=1))
+            x, ids = x[~(norm <= 0)] / norm[~(norm <= 0), None], f[key][~(norm <= 0)]
+        return pd.DataFrame({"b": f["b"][:1], "ids": [ids.tolist()], "v": [x.tobytes()]})
+
+    dealt = known.withColumn("b", F.pmod(F.xxhash64(key, "v"), F.lit(count)))
+    return stored(dealt.groupBy("b").applyInPandas(pack, f"b long, ids array<{dict(df.dtypes)[key]}>, v binary"), name), count
 
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
-    q = queries.select("query", F.col("v").alias("a"), F.sqrt(dot("v", "v")).alias("na")).where("na > 0")
-    i = index.select("id", F.col("v").alias("b"), F.sqrt(dot("v", "v")).alias("nb")).where("nb > 0")
-    c = q.join(i, F.col("query") != F.col("id")).select("query", "id", F.round(dot("a", "b") / (F.col("na") * F.col("nb")), 9).alias("cosine"))
-    # WindowGroupLimit keeps the k best of each partition before the shuffle, so no window holds a query's whole index
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k)
+def _nearest(asked: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int):
+    """(places of queries, places of rows, cosines): at least the k best rows of each query that aren't itself, ties by id. ids ascend."""
+    low, high = np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right")
+    step = max(1, HELD_COSINES // len(ids))
+    for at in range(0, len(asked), step):
+        c = a[at : at + step] @ b.T
+        c[np.isnan(c)] = np.inf  # as in SQL, what is no number is the greatest
+        for r in np.flatnonzero(low[at : at + step] < high[at : at + step]):
+            c[r, low[at + r] : high[at + r]] = -np.inf
+        least = np.partition(c, -min(k, c.shape[1]), axis=1)[:, -min(k, c.shape[1])]
+        q, i = np.nonzero((c >= np.where(np.isfinite(least), least - 2e-9, least)[:, None]) & (c > -np.inf))
+        own = np.round(c[q, i], 9)
+        order = np.lexsort((i, -own, q))
+        q, i, own = q[order], i[order], own[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+        yield at + q[first], i[first], own[first]
+
+
+def cosine_neighbours(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(query, id, cosine, rank): the k nearest of index (id, v) to each query (query, v), ties by id; zero vectors have none. Every query meets every row but itself.
+
+    Blocks of queries meet blocks of rows as matrices; only the k best of each query in a block of rows leave a task, and these are ranked.
+    """
+    ship(index.sparkSession)
+    kinds = dict(queries.dtypes)["query"], dict(index.dtypes)["id"]
+    (left, asked), (right, rows) = _vector_blocks(queries.select("query", "v"), "query", QUERY_BLOCK, "queries"), _vector_blocks(index.select("id", "v"), "id", INDEX_BLOCK, "index")
+    left = left.select(F.col("b").alias("q"), "ids", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("i"))
+    right = right.select(F.col("b").alias("i"), "ids", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))).alias("q"))
+
+    def run(f, g):
+        out = []
+        for qs, a in zip(f["ids"], f["v"], strict=True):
+            for ids, b in zip(g["ids"], g["v"], strict=True):
+                if len(qs) and len(ids):
+                    qs, ids = np.asarray(qs), np.asarray(ids)
+                    for q, i, c in _nearest(qs, np.frombuffer(a).reshape(len(qs), -1), ids, np.frombuffer(b).reshape(len(ids), -1), k):
+                        out.append(pd.DataFrame({"query": qs[q], "id": ids[i], "cosine": np.where(np.isinf(c), np.nan, c)}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "cosine": []})
+
+    best = left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInPandas(run, f"query {kinds[0]}, id {kinds[1]}, cosine double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k)

@@ -178,3 +178,23 @@ def test_leaving_out_many_units_does_not_pass_over_all_others(spark, monkeypatch
     # a unit far from the others isn't left to the expansion
     far = x[0] * 300
     assert slope.without(far, float(far @ beta < 0), ridge, beta, np.linalg.inv(slope.curve)) is None
+
+
+def test_cosine_neighbours_in_blocks(spark, monkeypatch):
+    from stylometra.operators import models
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (300, 6)).round(1)
+    x[10], x[40:90] = 0, x[1]  # a zero vector, copies
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(900, None), (None, [1.0] * 6)], "id long, v array<double>")
+    monkeypatch.setattr(models, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(models, "INDEX_BLOCK", 40)
+    monkeypatch.setattr(models, "HELD_COSINES", 100)
+    found = models.cosine_neighbours(df.where("id % 10 = 0").withColumnRenamed("id", "query"), df, 3)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoopJoin" not in found._jdf.queryExecution().toString()
+    unit = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+    want = {}
+    for q in range(0, 300, 10):
+        near = sorted((-round(float(unit[q] @ unit[i]), 9), i) for i in range(300) if i not in (q, 10))
+        want |= {(q, n + 1): i for n, (_, i) in enumerate(near[:3])} if q != 10 else {}
+    assert {(r["query"], r["rank"]): r["id"] for r in found.collect()} == want
