@@ -6,7 +6,7 @@ fold's prediction is the median over the rows of the group left out. A draw deal
 
 Rows are packed once into blocks of bounded size; sums of outer products of groups come from blocks and are all that the driver holds.
 Every (draw, fold) is solved in a task from a broadcast of these sums; coefficients meet blocks by (group, piece), so a group of any size is
-scored in pieces. Medians of groups in one piece are taken there; those of larger groups come from ranks over ranges of predictions.
+scored in pieces. Medians of groups in one piece are taken there; those of larger groups are exact too, from a few values of each piece and those near the middle.
 """
 
 from __future__ import annotations
@@ -135,17 +135,97 @@ def _scored(width: int, lams: int):
             x = np.column_stack([np.ones(block["n"]), np.frombuffer(block["x"]).reshape(block["n"], -1)])
             for draw, fold, b in zip(right["draw"], right["fold"], right["betas"], strict=True):
                 p = x @ np.frombuffer(b).reshape(lams, width + 1).T
-                if block["pieces"] == 1:
-                    frame = {"lam": np.arange(lams), "n": len(p), "value": np.median(p, axis=0), "sd": p.std(axis=0)}
-                else:
-                    frame = {"lam": np.tile(np.arange(lams), len(p)), "n": None, "value": p.ravel(), "sd": None}
-                out.append(pd.DataFrame({"draw": draw, "fold": fold, "grp": block["grp"], **frame}))
+                out.append(pd.DataFrame({"draw": draw, "fold": fold, "grp": block["grp"], "lam": np.arange(lams), "n": len(p), "value": np.median(p, axis=0), "sd": p.std(axis=0)}))
         names = [c.split()[0] for c in SCORED.split(", ")]
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
     return run
 
 
+#: Values of a sorted run that stand for it, and values of a group that one task gets at most, as far as they differ.
+SPLITTERS, MOST_VALUES = 64, 20_000
+PARTS = "draw int, fold int, grp string, lam int, n long, below long, mean double, squares double, inside long, values binary, counts binary"
+
+
+def _places(n: int) -> np.ndarray:
+    """Places of the values that stand for n sorted ones, first and last included."""
+    return np.arange(n) if n <= SPLITTERS else np.unique(np.linspace(0, n - 1, SPLITTERS).round().astype(int))
+
+
+def _parted(width: int, lams: int, whole: bool):
+    """For each piece and fit: how many predictions lie below its bounds, and of those inside the different ones with their counts (whole) or those that stand for them."""
+
+    def run(left, right):
+        rows = []
+        if len(left) and len(right):
+            betas = np.concatenate([np.frombuffer(b).reshape(lams, width + 1) for b in right["betas"]])
+            low, high = np.concatenate([np.frombuffer(b).reshape(2, lams) for b in right["bounds"]], axis=1)
+            for n, b, g in zip(left["n"], left["x"], left["grp"], strict=True):
+                p = np.column_stack([np.ones(n), np.frombuffer(b).reshape(n, -1)]) @ betas.T
+                mean, squares = p.mean(axis=0), ((p - p.mean(axis=0)) ** 2).sum(axis=0)
+                p = np.where(np.isnan(p), np.inf, p)
+                for k, v in enumerate(p.T):
+                    inside = np.sort(v[(v >= low[k]) & (v <= high[k])])
+                    values, counts = np.unique(inside, return_counts=True) if whole else (inside[_places(len(inside))], np.empty(0, int))
+                    at, lam = divmod(k, lams)
+                    rows.append((right["draw"].iat[at], right["fold"].iat[at], g, lam, n, int((v < low[k]).sum()), mean[k], squares[k], len(inside), values.tobytes(), counts.astype(np.int64).tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PARTS.split(", ")])
+
+    return run
+
+
+def _bounds(lams: int):
+    """(low, high) of each lam between which the middle values lie for certain: ranks of values that stand for others are known but for the gap to the next."""
+
+    def run(key, f):
+        out = np.tile([[-np.inf], [np.inf]], lams)
+        for lam, own in f.groupby("lam"):
+            n, below = own["n"].sum(), own["below"].sum()
+            value, least, most = [], [], []
+            for inside, b in zip(own["inside"], own["values"], strict=True):
+                at = _places(inside)
+                value.append(np.frombuffer(b))
+                least.append(np.diff(at, prepend=-1))  # values up to this one that are surely there
+                most.append(np.diff(at, append=inside))  # values after this one that may lie before the next
+            value, least, most = map(np.concatenate, (value, least, most))
+            order = np.argsort(value, kind="stable")
+            value, least, most = value[order], least[order].cumsum(), most[order].cumsum()
+            first, last = (n + 1) // 2 - below, (n + 2) // 2 - below
+            before = np.searchsorted(value, value, "left")  # those strictly below
+            fewer = np.where(before > 0, most[before - 1], 0)
+            out[:, int(lam)] = value[np.flatnonzero(fewer < first).max()], value[np.flatnonzero(least >= last).min()]
+        return pd.DataFrame({"draw": [key[0]], "fold": [key[1]], "grp": [key[2]], "bounds": [out.tobytes()]})
+
+    return run
+
+
+def _middle(key, f):
+    n, below = f["n"].sum(), f["below"].sum()
+    value, count = (np.concatenate([np.frombuffer(b, t) for b in f[c]]) for c, t in (("values", float), ("counts", np.int64)))
+    order = np.argsort(value, kind="stable")
+    ends = count[order].cumsum()
+    med = np.mean([value[order][np.searchsorted(ends, r - below)] for r in ((n + 1) // 2, (n + 2) // 2)])
+    mean = (f["n"] * f["mean"]).sum() / n
+    sd = math.sqrt((f["squares"] + f["n"] * (f["mean"] - mean) ** 2).sum() / n)
+    return pd.DataFrame({"draw": [key[0]], "fold": [key[1]], "grp": [key[2]], "lam": [key[3]], "n": [n], "med": [med], "sd": [sd]})
+
+
+def _medians_of_pieces(blocks: DataFrame, right: DataFrame, columns: int, lams: int, largest: int) -> DataFrame:
+    """(draw, fold, grp, lam, n, med, sd) of groups in several pieces: a pass over the blocks gives bounds from a few values of each piece, and another gets the values
+    between them (after more such passes, if a group is so large that these are still too many). So a small share of the predictions is stored. right: (draw, fold, grp, betas, piece, shard)."""
+    everything = np.tile([[-np.inf], [np.inf]], lams).tobytes()
+    right = right.withColumn("bounds", F.lit(everything))
+    key, fit = ["grp", "piece", "shard"], ["draw", "fold", "grp"]
+    left = blocks.groupBy(*key)
+    while largest > 0:
+        parts = stored(left.cogroup(right.groupBy(*key)).applyInPandas(_parted(columns, lams, False), PARTS), "splitters")
+        bounds = stored(parts.groupBy(*fit).applyInPandas(_bounds(lams), "draw int, fold int, grp string, bounds binary"), "bounds")
+        right = right.drop("bounds").join(bounds, fit)
+        largest = largest // (SPLITTERS // 4) if largest > MOST_VALUES * (SPLITTERS // 4) else 0
+    parts = stored(left.cogroup(right.groupBy(*key)).applyInPandas(_parted(columns, lams, True), PARTS), "inside")
+    return parts.groupBy(*fit, "lam").applyInPandas(_middle, "draw int, fold int, grp string, lam int, n long, med double, sd double")
+
+
 def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LAMS, alpha: float = 1.0, width: float = 90.0, subsets: list[tuple[list[int], list[int]]] | None = None) -> tuple[DataFrame, DataFrame]:
     """((draw, fold, grp, lam, n, med, sd): the median prediction of every group left out, for each lam, within every fold of every draw; their coefficients). labels: draws x groups.
 
@@ -181,14 +261,15 @@ def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LA
     shards = max(min(len(labels), 8), math.ceil(len(labels) * len(names) * len(lams) * (columns + 1) * 8 / COEFFICIENT_BYTES))
     pieces = spark.createDataFrame(groups[["grp", "pieces"]].values.tolist(), "grp string, pieces long")
     right = coefficients.join(F.broadcast(pieces), "grp").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))  # a row for each group
-    right = right.select("draw", "fold", "grp", "betas", "piece", F.pmod("draw", F.lit(shards)).alias("shard"))
+    right = right.select("draw", "fold", "grp", "betas", "piece", "pieces", F.pmod("draw", F.lit(shards)).alias("shard"))
     left = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    key = ["grp", "piece", "shard"]
-    scored = stored(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scored(columns, len(lams)), SCORED), "scored")
-    settled = scored.where("n IS NOT NULL").select("draw", "fold", "grp", "lam", "n", F.col("value").alias("med"), "sd")
-    if int(groups["pieces"].max()) == 1:
-        return settled, coefficients
-    return settled.unionByName(exact_medians(scored.where("n IS NULL"), ["draw", "fold", "grp", "lam"], "value")), coefficients
+    key, out = ["grp", "piece", "shard"], []
+    if int(groups["pieces"].min()) == 1:
+        scored = left.where("pieces = 1").groupBy(*key).cogroup(right.where("pieces = 1").groupBy(*key)).applyInPandas(_scored(columns, len(lams)), SCORED)
+        out.append(stored(scored, "scored").select("draw", "fold", "grp", "lam", "n", F.col("value").alias("med"), "sd"))
+    if int(groups["pieces"].max()) > 1:
+        out.append(stored(_medians_of_pieces(left.where("pieces > 1"), right.where("pieces > 1").drop("pieces"), columns, len(lams), int(groups["n"].max())), "medians"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1]), coefficients
 
 
 def nested_fit(df: DataFrame, group: str, vector: str, y: str, lams=LAMS, alpha: float = 1.0, width: float = 90.0, draws: int = 0, stratum: str | None = None, seed: int = 0) -> DataFrame:

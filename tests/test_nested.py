@@ -128,3 +128,21 @@ def test_scenarios_equal_fits_of_what_they_leave(spark):
         assert list(mine["grp"]) == [w[0] for w in want] and list(mine["lam"]) == [w[1] for w in want]
         assert mine["raw"].to_numpy() == pytest.approx([w[2] for w in want], rel=1e-7)
     assert nested.nested_scenarios(spark.createDataFrame([], SCHEMA), "g", "x", "y", scenarios, LAMS).count() == 0
+
+
+def test_medians_of_pieces_are_exact_and_few_values_leave_them():
+    import pandas as pd
+
+    rng, lams = np.random.default_rng(1), 2
+    right = pd.DataFrame({"draw": [0], "fold": [1], "betas": [np.array([[0.0, 1.0], [0.5, -2.0]]).tobytes()], "bounds": [np.tile([[-np.inf], [np.inf]], lams).tobytes()]})
+    for pieces in ([rng.normal(0, 1, 2000) for _ in range(20)], [np.sort(rng.normal(k, 1, 1000 + k)) for k in range(9)], [rng.integers(0, 3, 2000).astype(float) for _ in range(4)], [np.ones(1), np.zeros(3)]):
+        left = [pd.DataFrame({"grp": ["g"], "n": [len(x)], "x": [x.tobytes()]}) for x in pieces]
+        parts = pd.concat([nested._parted(1, lams, False)(b, right) for b in left])
+        bounds = nested._bounds(lams)((0, 1, "g"), parts)
+        last = pd.concat([nested._parted(1, lams, True)(b, right.assign(bounds=bounds["bounds"])) for b in left])
+        every = np.concatenate(pieces)
+        for lam, p in enumerate((every, 0.5 - 2 * every)):
+            own = nested._middle((0, 1, "g", lam), last[last["lam"] == lam]).iloc[0]
+            assert own["med"] == pytest.approx(np.median(p), abs=1e-12) and own["sd"] == pytest.approx(p.std()) and own["n"] == len(p)
+        if len(every) > 5000:
+            assert sum(map(len, [*parts["values"], *last["values"]])) < 0.12 * 8 * lams * len(every)
