@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..operators import linguistic as L
+from ..operators import profiles as P
 from ..operators import text as T
 from ..operators.features import step_up
 from ..sources.tables import table
@@ -170,8 +171,7 @@ def fx9_count_matrix(spark, d):
 
 @query(f"WITH {TOK}, w AS (SELECT doc_id, count(*) AS n, count(DISTINCT token) AS types, round(avg(length(token)), 6) AS token_length, round(count(*) FILTER (token IN {CLOSED_SQL}) * 1000.0 / count(*), 6) AS closed, count(DISTINCT sent_no) AS sents FROM tok GROUP BY 1) SELECT doc_id, token_length, closed, round(types / n, 6) AS ttr, round(n / sents, 6) AS sentence_length FROM w")
 def fx10_register_profile(spark, d):
-    n, t = F.count("*"), F.col("token")
-    return _tok(spark, d, "doc_id").groupBy("doc_id").agg(r6(F.avg(F.length(t)), "token_length"), r6(F.count_if(t.isin(CLOSED)) * 1000.0 / n, "closed"), r6(F.countDistinct("token") / n, "ttr"), r6(n / F.countDistinct("sent_no"), "sentence_length"))
+    return P.token_profile(_docs(spark, d), CLOSED).select("doc_id", r6("token_length", "token_length"), r6("closed", "closed"), r6("ttr", "ttr"), r6("sentence_length", "sentence_length"))
 
 
 @query("WITH c AS (SELECT user_id, extract(hour FROM ts)::INT AS hour, event_type, count(*) AS n FROM events GROUP BY ALL), k AS (SELECT * FROM c WHERE NOT (hour < 6 AND user_id % 3 = 0)) SELECT user_id, event_type, sum(n)::BIGINT AS n, round(sum(n) * 1000.0 / any_value(t), 6) AS rate FROM k JOIN (SELECT user_id, sum(n) AS t FROM k GROUP BY 1) USING (user_id) GROUP BY 1, 2")

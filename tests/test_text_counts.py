@@ -50,3 +50,15 @@ def test_words_are_judged_once_and_null_texts_have_zeros(spark):
     assert (rows[1].avg_sent_len, round(rows[1].kai_sent_initial, 6)) == (2.5, 1.0)
     assert P.grammar_profile(docs.where("doc_id = 1")).head().avg_sent_len == 2.0
     assert P._chunk_numbers([60, 50, 100, 20], 100) == [0, 0, 1, 1]
+
+
+def test_token_profile_of_single_and_several_texts(spark):
+    from stylometra.operators import profiles as P
+
+    docs = spark.createDataFrame([(1, "The cat. The dog; a (bird)\n--"), (2, "a b"), (2, "b c. d"), (None, "x y"), (None, "x"), (4, None), (5, " . ")], "doc_id int, text string")
+    rows = {r.doc_id: tuple(r)[1:] for r in P.token_profile(docs, ["the", "a"]).collect()}
+    want = {}
+    for key, toks in {1: ["the cat", "the dog", "a bird"], 2: ["a b", "b c", "d"], None: ["x y", "x"]}.items():
+        w = " ".join(toks).split()
+        want[key] = (sum(map(len, w)) / len(w), 1000 * sum(x in ("the", "a") for x in w) / len(w), len(set(w)) / len(w), len(w) / {1: 3, 2: 2, None: 1}[key])
+    assert {k: [round(x, 9) for x in v] for k, v in rows.items()} == {k: [round(x, 9) for x in v] for k, v in want.items()}
