@@ -272,27 +272,38 @@ def critical_rho(n: int, alpha: float) -> float:
     return high
 
 
+#: Pairs that a block of samples draws at most.
+DRAWN_PAIRS = 4_000_000
+
+
 def power_curves(sizes: DataFrame, key: str, n: str, rhos: list[float], alphas: list[float], samples: int = 2000, seed: int = 0) -> DataFrame:
     """(key, n, rho, alpha, power): the share of samples of n pairs of correlated normals whose rank correlation is significant, for every group's number of units.
 
-    Samples are drawn and ranked in tasks, in blocks seeded by the group's n, the correlation and the block, so groups of equal size share their power. Groups of fewer than 4 units have no row.
+    Samples are drawn and ranked in tasks, in blocks seeded by the group's n, the correlation and the block, so groups of equal size share their power. A block has 250 samples, fewer where
+    these have more than DRAWN_PAIRS pairs, and blocks are dealt to many tasks. Groups of fewer than 4 units have no row.
     """
-    block = 250
     rows = sizes.where(F.col(n) >= 4).select(F.col(n).cast("long").alias("_n")).distinct()
-    todo = rows.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos]))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-samples // block)) - 1))))
+    rows = rows.withColumn("_block", F.greatest(F.lit(1), F.least(F.lit(250), F.floor(F.lit(DRAWN_PAIRS) / F.col("_n")))).cast("int"))
+    last = F.greatest(F.lit(1), F.ceil(F.lit(samples) / F.col("_block"))).cast("int") - 1
+    todo = rows.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos]))).withColumn("_b", F.explode(F.sequence(F.lit(0), last)))
+    pairs = todo.agg(F.sum(F.col("_block") * F.col("_n"))).head()[0] or 0
+    parts = max(1, min(-(-pairs // DRAWN_PAIRS), 1024))
 
     def run(frames):
         for f in frames:
-            out = []
-            for size, rho, b in zip(f["_n"], f["rho"], f["_b"], strict=True):
-                rng, size = np.random.default_rng([seed, int(size), int(round(rho * 1e6)), int(b)]), int(size)
+            for size, block, rho, b in zip(f["_n"], f["_block"], f["rho"], f["_b"], strict=True):
+                size, block = int(size), int(block)
+                rng = np.random.default_rng([seed, size, int(round(rho * 1e6)), int(b)])
                 x, e = rng.standard_normal((block, size)), rng.standard_normal((block, size))
-                a, c = (v.argsort(axis=1).argsort(axis=1) - (size - 1) / 2 for v in (x, rho * x + math.sqrt(1 - rho * rho) * e))
-                r = np.abs((a * c).sum(axis=1)) / ((size**3 - size) / 12)
-                out += [(size, rho, alpha, block, int((r > critical_rho(size, alpha)).sum())) for alpha in alphas]
-            yield pd.DataFrame(out, columns=["_n", "rho", "alpha", "all", "hits"])
-
-    drawn = todo.repartition("_n", "rho", "_b").mapInPandas(run, "_n long, rho double, alpha double, all long, hits long")
+                place, middle = np.arange(size) - (size - 1) / 2, np.empty(size)
+                r = np.empty(block)
+                for k, (own, noise) in enumerate(zip(x, e, strict=True)):
+                    middle[own.argsort()] = place
+                    r[k] = abs(middle[(rho * own + math.sqrt(1 - rho * rho) * noise).argsort()] @ place) / ((size**3 - size) / 12)
+                out = [(size, rho, alpha, block, int((r > critical_rho(size, alpha)).sum())) for alpha in alphas]
+                yield pd.DataFrame(out, columns=["_n", "rho", "alpha", "all", "hits"])
+
+    drawn = todo.repartition(parts, "_n", "rho", "_b").mapInPandas(run, "_n long, rho double, alpha double, all long, hits long")  # a number of tasks is kept, few bytes or not
     power = drawn.groupBy("_n", "rho", "alpha").agg((F.sum("hits") / F.sum("all")).alias("power"))
     return sizes.join(power, F.col(n) == F.col("_n")).select(key, n, "rho", "alpha", "power")
 

@@ -218,3 +218,13 @@ def test_annotated_rates_and_clause_order(spark):
     parts = spark.createDataFrame([("u", 1, "S", 1), ("u", 1, "V", 2), ("u", 2, "V", 1), ("u", 2, "O", 2), ("u", 3, "V", 1), ("u", 3, "S", 2)], "unit string, c long, role string, place long")
     r = inference.clause_order(parts, "unit", "c", "role", "place", "S", "V", "O").head()
     assert (r.sv, r.ov, r.null_subject) == (0.5, 0.0, pytest.approx(1 / 3))
+
+
+def test_power_curves_deal_large_groups_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(inference, "DRAWN_PAIRS", 1000)
+    sizes = spark.createDataFrame([("a", 100), ("b", 5000)], "g string, n long")
+    curves = inference.power_curves(sizes, "g", "n", [0.0, 0.05], [0.1], 200)
+    rows = {(r.g, r.rho): r.power for r in curves.collect()}
+    assert rows["b", 0.05] > 0.9 and abs(rows["a", 0.0] - 0.1) < 0.08 and abs(rows["b", 0.0] - 0.1) < 0.08
+    plan = curves._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan  # few bytes, but as many tasks as blocks
