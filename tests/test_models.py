@@ -198,3 +198,17 @@ def test_cosine_neighbours_in_blocks(spark, monkeypatch):
         near = sorted((-round(float(unit[q] @ unit[i]), 9), i) for i in range(300) if i not in (q, 10))
         want |= {(q, n + 1): i for n, (_, i) in enumerate(near[:3])} if q != 10 else {}
     assert {(r["query"], r["rank"]): r["id"] for r in found.collect()} == want
+
+
+def test_word_vectors_are_trained_in_parts(spark, monkeypatch):
+    from pyspark.ml import feature
+
+    from stylometra.plans import sampling
+
+    asked, fit = [], feature.Word2Vec.fit
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, df: asked.append(self.getNumPartitions()) or fit(self, df))
+    toks = spark.createDataFrame([([f"w{k % 7}", "a", "b"],) for k in range(100)], "words array<string>")
+    assert {r.word for r in sampling.word_vectors(toks, 3, 2, 1, 1).collect()} == {"a", "b", *(f"w{k}" for k in range(7))}
+    monkeypatch.setattr(sampling, "WORDS_OF_A_PART", 60)
+    assert all(r.size == 3 and r.norm > 0 for r in sampling.word_vectors(toks, 3, 2, 1, 1).collect())
+    assert asked == [1, 5]
