@@ -216,14 +216,14 @@ def _medians_of_pieces(blocks: DataFrame, right: DataFrame, columns: int, lams:
     everything = np.tile([[-np.inf], [np.inf]], lams).tobytes()
     right = right.withColumn("bounds", F.lit(everything))
     key, fit = ["grp", "piece", "shard"], ["draw", "fold", "grp"]
-    left = blocks.groupBy(*key)
+    left, tasks = blocks.groupBy(*key), 2 * blocks.sparkSession.sparkContext.defaultParallelism  # given, as these rows are few bytes but much work
     while largest > 0:
         parts = stored(left.cogroup(right.groupBy(*key)).applyInPandas(_parted(columns, lams, False), PARTS), "splitters")
-        bounds = stored(parts.groupBy(*fit).applyInPandas(_bounds(lams), "draw int, fold int, grp string, bounds binary"), "bounds")
+        bounds = stored(parts.repartition(tasks, *fit).groupBy(*fit).applyInPandas(_bounds(lams), "draw int, fold int, grp string, bounds binary"), "bounds")
         right = right.drop("bounds").join(bounds, fit)
         largest = largest // (SPLITTERS // 4) if largest > MOST_VALUES * (SPLITTERS // 4) else 0
     parts = stored(left.cogroup(right.groupBy(*key)).applyInPandas(_parted(columns, lams, True), PARTS), "inside")
-    return parts.groupBy(*fit, "lam").applyInPandas(_middle, "draw int, fold int, grp string, lam int, n long, med double, sd double")
+    return parts.repartition(tasks, *fit, "lam").groupBy(*fit, "lam").applyInPandas(_middle, "draw int, fold int, grp string, lam int, n long, med double, sd double")
 
 
 def medians(blocks: DataFrame, groups: pd.DataFrame, labels: np.ndarray, lams=LAMS, alpha: float = 1.0, width: float = 90.0, subsets: list[tuple[list[int], list[int]]] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -76,7 +76,7 @@ RATES = [0.0, 0.25, 0.5, 1.0]
 
 def _chunks(spark, d):
     """Annotated tokens by unit and chunk, marked for substitution."""
-    by = ["grp", "chunk"]
+    by = ["chunk", "grp"]  # what differs most goes first, which makes sorts cheap
     tokens = annotated(spark, d).withColumn("grp", F.col("unit").cast("string")).withColumn("chunk", F.expr("clause div 400"))
     return by, S.marked(tokens.select(*by, "word", "lex", "sp"), by, SUBSTITUTIONS, ["word"])
 
@@ -89,17 +89,16 @@ _SWAP_SP = " ".join(f"WHEN lex = '{a}' THEN '{b}'" for a, (_, b) in SUBSTITUTION
 def vl22_counts_at_rates(spark, d):
     """Counts of lexemes, parts of speech and their bigrams with late forms replaced at each rate, from stored counts and what changes."""
     by, tokens = _chunks(spark, d)
-    return S.at_rates(S.counts(tokens, by), S.deltas(tokens, by, RATES), by, RATES).groupBy("rate", "family", "item").agg(F.sum("n").alias("n"))
+    return S.at_rates(S.counts(tokens, by, []), S.deltas(tokens, by, RATES, []), [], RATES).select("rate", "family", "item", "n")
 
 
 @query()
 def vl22_redated(spark, d):
     """Each unit's date by the fit without it, with late forms replaced at each rate."""
     by, tokens = _chunks(spark, d)
-    base = stored(S.counts(tokens, by), "counts")
+    base = stored(S.counts(tokens, by, []), "counts")
     top = H.commonest(base, {"lex": 40, "pos": 10, "pb": 20}).select("family", "item").distinct().orderBy("family", "item").collect()  # at most 70 rows
     words = [(r["family"], r["item"]) for r in top]
-    sizes = tokens.groupBy(*by).agg(F.count("*").alias("words"))
-    models = N.fold_models(S.vectors(base, by, words, sizes).withColumn("y", F.col("grp").cast("double")), "grp", "x", "y", LAMS, 1.0, 4.0)
-    rows = S.vectors(S.at_rates(base, S.deltas(tokens, by, RATES), by, RATES), ["grp", "chunk", "rate"], words, sizes.withColumn("rate", F.explode(F.array(*[F.lit(r) for r in RATES]))))
+    rows = stored(S.rate_vectors(tokens, by, words, RATES), "vectors")
+    models = N.fold_models(rows.where(F.col("rate") == 0).withColumn("y", F.col("grp").cast("double")), "grp", "x", "y", LAMS, 1.0, 4.0)
     return S.redated(rows.select("grp", "rate", "x"), ["grp", "rate"], models).select("grp", "rate", "n", r6("raw", "raw"), r6("pred", "pred"))

@@ -59,3 +59,37 @@ def test_vectors_have_a_place_for_each_word(spark, tokens):
     for r in rows:
         n = words[r.grp, r.chunk]
         assert r.x == pytest.approx([counts.get((r.grp, r.chunk, "lex", "a"), 0) * 1000 / n, 0, counts[r.grp, r.chunk, "pos", "verb"] * 1000 / n])
+
+
+def test_vectors_at_rates_from_tokens(spark, tokens):
+    """Batches of a few rows, so that chunks go on over batches; the plain way has a row for each item."""
+    from pyspark.sql import functions as F
+
+    rates, words = [0.0, 0.3, 1.0], [("lex", "a"), ("lex", "b"), ("pos", "verb"), ("pb", "noun|adv"), ("pb", "nowhere")]
+    sizes = tokens.groupBy(*BY).agg(F.count("*").alias("words")).withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
+    plain = substitution.vectors(substitution.at_rates(substitution.counts(tokens, BY), substitution.deltas(tokens, BY, rates), BY, rates), [*BY, "rate"], words, sizes)
+    want = {(r.grp, r.chunk, r.rate): list(r.x) for r in plain.collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            rows = substitution.rate_vectors(tokens, BY, words, rates).collect()
+            assert len(rows) == len(want) == 54
+            for r in rows:
+                assert r.x == pytest.approx(want[r.grp, r.chunk, r.rate]) and r.words == 50
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_counts_of_everything_are_the_sums_of_chunks(tokens):
+    rates, whole = [0.0, 0.3, 1.0], {}
+    for r in substitution.at_rates(substitution.counts(tokens, BY), substitution.deltas(tokens, BY, rates), BY, rates).collect():
+        whole[r.rate, r.family, r.item] = whole.get((r.rate, r.family, r.item), 0) + r.n
+    got = substitution.at_rates(substitution.counts(tokens, BY, []), substitution.deltas(tokens, BY, rates, []), [], rates)
+    assert {(r.rate, r.family, r.item): r.n for r in got.collect()} == whole
+
+
+def test_vectors_need_no_row_for_each_item(spark, tokens):
+    """Items of chunks were rows, exploded and shuffled for each rate."""
+    plan = substitution.rate_vectors(tokens, BY, [("lex", "a")], [0.0, 1.0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
