@@ -67,3 +67,56 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "u string, f string, v double")
     assert selection.select(none, spark.createDataFrame([], "u string, y double"), "u", "f", "v").count() == 0
     assert selection.gram_counts(spark.createDataFrame([], "u string, t string"), "u", "t").count() == 0
+
+
+def test_texts_are_read_once_for_what_they_hold(spark):
+    """Each later stage counted all texts again; rates are now worked out once, before their items are stored."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(v):
+        seen.add(1)
+        return v
+
+    rng = np.random.default_rng(3)
+    rows = [(f"u{j:02d}", f"f{k:02d}", float(j * (k % 3) + rng.integers(1, 9))) for k in range(40) for j in range(12)]
+    rates = spark.createDataFrame(rows, "u string, f string, v double").withColumn("v", watched("v"))
+    units = spark.createDataFrame([(f"u{j:02d}", float(j)) for j in range(12)], "u string, y double")
+    assert len(selection.select(rates, units, "u", "f", "v", 5, 0.3, 0.9, 4).collect()) == 40
+    assert seen.value <= 2 * len(rows)  # the test of the value and the value
+
+
+def test_shares_of_many_items_equal_single_removals():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 6, 13).astype(float)
+    x = np.vstack([rng.poisson(1.0, (50, 13)).astype(float), np.eye(13)[:2], np.ones((1, 13))])
+    y_rank = pd.Series(y).rank().to_numpy()
+    before = selection.HELD_CELLS
+    try:
+        selection.HELD_CELLS = 2000  # several blocks of units
+        got = selection.leave_one_out_shares(x, y_rank, y)
+    finally:
+        selection.HELD_CELLS = before
+    for row, share in zip(x, got, strict=True):
+        rank = pd.Series(row).rank().to_numpy()
+        sign, same = np.sign(13 * (rank * y_rank).sum() - rank.sum() * y_rank.sum()), 0
+        for j in range(13):
+            a, b = pd.Series(np.delete(row, j)).rank().to_numpy(), pd.Series(np.delete(y, j)).rank().to_numpy()
+            same += a.min() < a.max() and np.sign(12 * (a * b).sum() - a.sum() * b.sum()) == sign
+        assert share == same / 12
+
+
+def test_grams_held_over_batches(spark):
+    """Counts go on over batches of text and are let go of when they are many; more different characters than have numbers are counted too."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdé€𝒳\x00 "), 40)) for _ in range(60)]
+    many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 300))
+    rows = [(f"u{k % 3}", w) for k, w in enumerate(words)] + [("u1", many), ("u2", "a"), ("u2", "b")]
+    want = Counter((u, t[i : i + n]) for u, t in rows for n in (3, 4) for i in range(len(t) - n + 1))
+    df = spark.createDataFrame(rows, "u string, t string").coalesce(1)
+    before = selection.COUNTED_CHARACTERS, selection.HELD_GRAMS, selection.LETTERS
+    try:
+        for selection.COUNTED_CHARACTERS, selection.HELD_GRAMS, selection.LETTERS in ((90, 50, 1 << 15), (90, 100_000, 1 << 15), before, (90, 100_000, 100)):
+            assert Counter({(r.u, r.item): r.n for r in selection.gram_counts(df, "u", "t").collect()}) == want
+    finally:
+        selection.COUNTED_CHARACTERS, selection.HELD_GRAMS, selection.LETTERS = before
