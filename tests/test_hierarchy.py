@@ -44,3 +44,27 @@ def test_families_and_structure(spark):
     s = {r.unit: r for r in H.structure(df, ["unit"]).collect()}["u"]
     assert (s.phrase_len, s.clause_len, s.cl_per_sent, s.ph_per_clause, s.sent_len) == (1.1, 2.2, 5 / 3, 2, 11 / 3)
     assert H.profiles(df.where("false")).count() == 0
+
+
+def test_families_are_counted_once_over_batches(spark):
+    """Chunks go on over batches of a few rows; the items of each token were exploded and all of it was worked out twice."""
+    from collections import Counter
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = [(f"c{k // 7 % 5}" if k % 70 else None, k, "abcd"[k % 4], None if k % 9 == 0 else "xy"[k % 2]) for k in range(400)]
+    df = spark.createDataFrame(rows, "c string, k long, p string, q string").repartition(3)
+    own = df.withColumn("_n", F.lead("p").over(Window.partitionBy("c").orderBy("k")))
+    items = [("p", F.col("p")), ("q", F.col("q")), ("none", F.lit(None).cast("string"))]
+    want = Counter((c, f, i) for c, _, p, q in rows for f, i in (("p", p), ("q", q)) if i)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "13", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = H._counted(own, ["c"], [*items, ("next", F.col("_n"))]).collect()
+            told = [r for r in got if r.family != "next"]
+            assert len(told) == len(want) and {(r.c, r.family, r.item): r.n for r in told} == want
+            assert sum(r.n for r in got if r.family == "next") == 400 - len({c for c, *_ in rows})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
