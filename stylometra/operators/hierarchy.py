@@ -57,21 +57,35 @@ def _token_counts() -> dict[str, Column]:
     return out | {"ut": lex.endswith("WT/") | lex.endswith("WT")}
 
 
+#: Types that a feature asks for, in order.
+KNOWN_TYPES = sorted({*WAYQ, *WQTL, *FRONT, *VERBAL, *SKIPPED, *NOMINAL, *OPEN, *PARTICIPLE, *INFINITIVE})
+
+
+def _type_number(ctyp: Column) -> Column:
+    """A number in the order of clause types: odd for a known one, else the even one between its known neighbours."""
+    known = F.coalesce(*[F.when(ctyp == t, F.lit(2 * k + 1)) for k, t in enumerate(KNOWN_TYPES)])
+    return F.when(ctyp.isNotNull(), F.coalesce(known, 2 * sum((ctyp > t).cast("int") for t in KNOWN_TYPES)))
+
+
 def profiles(tokens: DataFrame, unit: str = "unit") -> DataFrame:
     """(unit, n_words, the 64 features) of each unit. A share without a case is null, the last three shares of clauses also where cases are few; one feature is always null, being too rare."""
     counts = _token_counts()
     key = {name: f"_{k}" for k, name in enumerate(counts)}
-    sums = [F.sum(c).alias(c) for c in key.values()]
-    dealt = tokens.repartition(unit, "clause")  # once: every level below is inside a clause
-    phrases = dealt.groupBy(unit, "clause", "phrase").agg(F.count("*").alias("_n"), F.max("function").alias("function"), F.max("ctyp").alias("ctyp"), *[F.count_if(c).alias(key[name]) for name, c in counts.items()])
-    last = lambda function: F.max(F.when(F.col("function") == function, F.col("phrase")))
-    clauses = phrases.groupBy(unit, "clause").agg(F.sum("_n").alias("_n"), F.max("ctyp").alias("typ"), last("Subj").alias("s"), last("Pred").alias("v"), last("Objc").alias("o"), *sums)
-    used = F.col("clause").isNotNull() & ~F.coalesce(F.col("typ").isin(*SKIPPED), F.lit(False))
-    of = lambda *types: used & F.col("typ").isin(*types)
+    # what is counted among words needs no clauses: sums of each unit leave a task
+    words = tokens.groupBy(F.col(unit).alias("_unit")).agg(F.count("*").alias("n_words"), *[F.count_if(c).alias(key[name]) for name, c in counts.items()])
+    # of a phrase's functions and a clause's types the last by name counts; as numbers they need no sort
+    of_phrase = {c: F.max(F.when(F.col("function") > f, 2).when(F.col("function") == f, 1)).alias(c) for c, f in (("s", "Subj"), ("v", "Pred"), ("o", "Objc"))}
+    dealt = tokens.select(unit, "clause", "phrase", "function", _type_number(F.col("ctyp")).alias("typ")).repartition(unit, "clause")  # once: every level below is inside a clause
+    phrases = dealt.groupBy(unit, "clause", "phrase").agg(F.max("typ").alias("typ"), *of_phrase.values())
+    clauses = phrases.groupBy(unit, "clause").agg(F.max("typ").alias("typ"), *[F.max(F.when(F.col(c) == 1, F.col("phrase"))).alias(c) for c in of_phrase])
+    among = lambda types: F.col("typ").isin([2 * KNOWN_TYPES.index(t) + 1 for t in types])
+    used = F.col("clause").isNotNull() & ~F.coalesce(among(SKIPPED), F.lit(False))
+    of = lambda *types: used & among(types)
     verbal = of(*VERBAL)
     tests = {"clauses": used, "nominal": of(*NOMINAL), "front": of(*FRONT), "open": of(*OPEN), "participle": of(*PARTICIPLE), "infinitive": of(*INFINITIVE), "wqtl": of(*WQTL), "narrative": of(*WAYQ, *WQTL), "verbal": verbal}
     tests |= {"null": verbal & F.col("s").isNull(), "sv_all": verbal & F.col("s").isNotNull() & F.col("v").isNotNull(), "sv": verbal & (F.col("s") < F.col("v")), "ov_all": verbal & F.col("o").isNotNull() & F.col("v").isNotNull(), "ov": verbal & (F.col("o") < F.col("v"))}
-    whole = clauses.groupBy(unit).agg(F.sum("_n").alias("n_words"), *sums, *[F.count_if(c).alias(name) for name, c in tests.items()])
+    whole = clauses.groupBy(unit).agg(*[F.count_if(c).alias(name) for name, c in tests.items()])
+    whole = whole.join(words, F.col(unit).eqNullSafe(F.col("_unit"))).drop("_unit")
     n = F.col("n_words")
     rate = lambda c: F.col(c) * 1000.0 / n
     of_lex = lambda x: F.col(key[f"lex:{x}"])

@@ -68,3 +68,23 @@ def test_families_are_counted_once_over_batches(spark):
             assert sum(r.n for r in got if r.family == "next") == 400 - len({c for c, *_ in rows})
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_profiles_sort_no_words(spark):
+    """Strings kept as greatest ones made every word go through sorts with all counts beside it; a clause's type is the last by name, a phrase's function too."""
+    names = "unit clause phrase lex sp vt vs st nu gn prs function ptyp ctyp rela".split()
+    word = dict(zip(names, ["u", 1, 1, "GM", "verb", "perf", "qal", "c", "sg", "m", "NA", "Subj", "NP", "Way0", "NA"], strict=True))
+    rows = []
+    for k in range(12):  # a subject before a verb, types Way0 and then one that is unknown or greater
+        rows += [word | {"clause": k, "phrase": 1, "function": "Subj"}, word | {"clause": k, "phrase": 1, "function": "Adju"}, word | {"clause": k, "phrase": 2, "function": "Pred"}]
+        rows.append(word | {"clause": k, "phrase": 3, "function": "Subj" if k % 2 else None, "ctyp": ["Way0", "A", None, "Zzzz"][k % 4]})
+        rows.append(word | {"clause": k, "phrase": 3, "function": "Zero" if k % 4 == 1 else None})
+    rows.append(word | {"unit": None})
+    df = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], "unit string, clause long, phrase long, " + ", ".join(f"{c} string" for c in names[3:]))
+    out = H.profiles(df)
+    got = {r.unit: r for r in out.collect()}
+    assert set(got) == {"u", None} and got["u"].n_words == 60 and got[None].n_words == 1
+    # clauses 3, 7, 11 end as Zzzz, which isn't verbal; of the other nine 1, 5, 9 hide the last subject behind Zero, and all have the subject first
+    assert got["u"].frac_sv == 1.0 and got["u"].frac_nmcl == 0.0 and got["u"].frac_null_subj is None
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
