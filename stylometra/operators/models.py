@@ -89,6 +89,26 @@ def generative_leave_one_out(units: DataFrame, grid: DataFrame) -> DataFrame:
 QUERY_BLOCK, INDEX_BLOCK, BLOCK_BYTES, HELD_COSINES = 8_000, 20_000, 16_000_000, 4_000_000
 
 
+def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int) -> DataFrame:
+    """df with fold: rows of a stratum numbered in the order of the key's hash, modulo folds. Pieces of the hash's range are numbered apart and begin where the rows before them end, so that no task holds a whole stratum."""
+    own = df.withColumn("_hash", F.xxhash64(key)).withColumn("_piece", F.shiftright("_hash", 58))
+    ahead = Window.partitionBy("_stratum").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy(F.col(stratum).alias("_stratum"), F.col("_piece").alias("_from")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_stratum", "_from", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    numbered = own.withColumn("_row", F.row_number().over(Window.partitionBy(stratum, "_piece").orderBy("_hash", key)))
+    placed = numbered.join(F.broadcast(before), F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_piece") == F.col("_from")))
+    return placed.select(*df.columns, F.pmod(F.col("_before") + F.col("_row"), F.lit(folds)).cast("int").alias("fold"))
+
+
+#: Rows of a part that a task passes for each level of the trees.
+ROWS_OF_A_PART = 50_000
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df in even parts: one for each core, more where they would have over ROWS_OF_A_PART rows. Library models send a table from each part, so that neither a part for each group nor many small ones are wanted."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_OF_A_PART)))
+
+
 def _vector_blocks(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, int]:
     """((b, ids, v), number of blocks): vectors of df (key, v) in blocks of bounded size, ascending by key, with their norms' zeros gone; rows without a key or with a null in the vector are left out."""
     known = df.where(F.col(key).isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).select(key, F.col("v").cast("array<double>").alias("v")).where(F.size("v") > 0)

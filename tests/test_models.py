@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stylometra.operators import features, groups, linguistic, matrix, validate
+from stylometra.operators import features, groups, linguistic, matrix, models, validate
 
 rng = np.random.default_rng(3)
 X = rng.normal(size=(40, 3))
@@ -114,6 +115,27 @@ def test_forest_scores_every_row(spark):
     assert sorted(r.vec_id for r in rows) == sorted(r.vec_id for r in want)
 
 
+def test_folds_of_one_label_leave_no_task_all_rows(spark):
+    df = spark.range(4000).select(F.col("id").alias("k"), F.when(F.col("id") < 3900, 1).when(F.col("id") < 3990, 2).alias("g"))
+    got = models.dealt(models.stratified_folds(df, "k", "g", 5), 4000)
+    row = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("k"), "k"))
+    assert {(r.k, r.fold) for r in got.collect()} == {(r.k, r.fold) for r in df.select("k", F.pmod(row, F.lit(5)).alias("fold")).collect()}
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1.2 * min(sizes)
+
+
+def test_forest_passes_rows_in_a_part_for_each_core(spark):
+    from stylometra.plans import registry
+
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = registry.QUERIES["md22_forest"](spark, "/root/testdata/sf0.001")
+        assert out.rdd.getNumPartitions() == 5 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_word_vectors_of_words_seen_once(spark):
     from stylometra.plans import sampling
 
