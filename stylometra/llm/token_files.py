@@ -116,8 +116,13 @@ def library_pieces(vocabulary: str) -> Pieces:
         stand_in = [letters[b] for b in range(256)]
 
         def encode(items: list[str]):
-            found = [model.tokenize(x.encode().decode("latin-1").translate(stand_in)) for x in items]
-            return np.array([t.id for own in found for t in own], np.int32), [len(own) for own in found]
+            ids, sizes = [], []
+            # no UTF-8 text has the byte FF
+            for x in b"\xff".join(map(str.encode, items)).decode("latin-1").translate(stand_in).split(stand_in[0xFF]):
+                found = model.tokenize(x)
+                ids += [t.id for t in found]
+                sizes.append(len(found))
+            return np.array(ids, np.int32), sizes
 
         _WORKER[key] = Pieces(encode, special)
     return _WORKER[key]
