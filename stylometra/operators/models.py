@@ -101,12 +101,13 @@ def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int) -> DataF
 
 
 #: Rows of a part that a task passes for each level of the trees.
-ROWS_OF_A_PART = 50_000
+ROWS_OF_A_PART = 100_000
 
 
 def dealt(df: DataFrame, rows: int) -> DataFrame:
-    """df in even parts: one for each core, more where they would have over ROWS_OF_A_PART rows. Library models send a table from each part, so that neither a part for each group nor many small ones are wanted."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_OF_A_PART)))
+    """df in even parts: one for each core, or two, three and so on where they would have over ROWS_OF_A_PART rows. Library models send a table from each part, so that neither a part for each group nor many small ones are wanted."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, -(-rows // (cores * ROWS_OF_A_PART))))
 
 
 def _vector_blocks(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, int]:

@@ -124,6 +124,12 @@ def test_folds_of_one_label_leave_no_task_all_rows(spark):
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1.2 * min(sizes)
 
 
+def test_even_parts_fill_all_cores_in_every_round(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for rows, rounds in ((0, 1), (models.ROWS_OF_A_PART * cores, 1), (models.ROWS_OF_A_PART * cores + 1, 2)):
+        assert models.dealt(spark.range(100), rows).rdd.getNumPartitions() == rounds * cores
+
+
 def test_forest_passes_rows_in_a_part_for_each_core(spark):
     from stylometra.plans import registry
 
