@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, from hashed n-grams counted by DuckDB within each partition.
 
 Every task opens a DuckDB connection of one thread and bounded memory, with two registered functions: the zlib CRC-32 of a
-string, and the CRC of two strings joined, from theirs. SQL unnests the words of a few megabytes of text, takes runs of one to three with
+string, and the CRC of two strings joined, from theirs. SQL unnests the words of about a megabyte of text, takes runs of one to three with
 window functions, and counts buckets by document and in all. Spark writes these counts as Parquet, merges them over tasks, and scores
 documents. Each distinct word's CRC is taken once in a batch; those of runs are joined, as a CRC of a joined string
 follows from both parts and the length of the second.
@@ -28,7 +28,9 @@ from .common import materialize, texts
 
 BUCKETS = 10_000
 #: Bytes of a text that are counted at once, and of all texts of a batch.
-PIECE, BATCH = 1_000_000, 3_000_000
+PIECE, BATCH = 1_000_000, 1_000_000
+#: Bucket counts that are weighed at once, or those of one row.
+WEIGHED = 500_000
 #: Rows of one block of the ranking, at most about so many.
 BLOCK_ROWS = 1_000_000
 LEAST_WORDS, PERCENT, SEED = 20, 5, 42
@@ -187,6 +189,24 @@ def gains(source: DataFrame, target: DataFrame) -> DataFrame:
     return both.crossJoin(F.broadcast(sums)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))  # sums: one row
 
 
+def _weighed(batch: pa.RecordBatch, gain: np.ndarray):
+    """Batches with n_features and weight in place of the lists, from slices of about WEIGHED list values: an Arrow batch may have many millions."""
+    ends = np.cumsum(batch.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WEIGHED, "right")))
+        part = batch.slice(at, stop - at)
+        buckets, n = part.column(3), part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        end = ends[at:stop] - (ends[at - 1] if at else 0)
+        out = []
+        for values in (n, gain[buckets.flatten().to_numpy(zero_copy_only=False)] * n):
+            sums = np.zeros(len(values) + 1, np.int64)
+            np.cumsum(values, out=sums[1:])
+            out.append(pa.array(np.diff(sums[end], prepend=0)))
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], *out], names=["place", "doc_id", "n_words", "n_features", "weight"])
+        at = stop
+
+
 def weighed(counts: DataFrame, gain: DataFrame) -> DataFrame:
     """(place, doc_id, n_words, n_features, weight) of every document."""
     shared = np.zeros(BUCKETS, np.int64)
@@ -196,17 +216,7 @@ def weighed(counts: DataFrame, gain: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            buckets, n = batch.column(3), batch.column(4)
-            size = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            n = n.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            own = shared.value[buckets.flatten().to_numpy(zero_copy_only=False)] * n
-            end = np.cumsum(size)
-            out = []
-            for values in (n, own):
-                sums = np.zeros(len(values) + 1, np.int64)
-                np.cumsum(values, out=sums[1:])
-                out.append(pa.array(sums[end] - sums[end - size]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *out], names=["place", "doc_id", "n_words", "n_features", "weight"])
+            yield from _weighed(batch, shared.value)
 
     parts = counts.where("place IS NOT NULL").mapInArrow(run, "place long, doc_id long, n_words long, n_features long, weight long")
     return parts.groupBy("place", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")])

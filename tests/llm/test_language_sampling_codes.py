@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,34 @@ def test_resampling_of_empty_tables(spark):
     assert Counter(tuple(r) for r in importance.resample(docs, docs.where("false")).collect()) == plain_resample([(1, "a b " * 20), (2, None)], [])
 
 
+def test_weighing_is_bounded():
+    sizes = np.full(6000, 1000)
+    sizes[[0, 5, 6, 5999]] = 0
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    buckets, counts = (np.random.default_rng(k).integers(0, 10_000, first[-1]) for k in (1, 2))
+    nulls = pa.array([k == 5 for k in range(6000)])
+    lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(v, t), mask=nulls) for v, t in ((buckets, pa.int16()), (counts, pa.int32()))]
+    ids = pa.array(np.arange(6000))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, *lists], names=["place", "doc_id", "n_words", "buckets", "counts"]).slice(2, 5997)
+    gain = np.arange(10_000) - 5000
+    tracemalloc.start()
+    got = pa.Table.from_batches(importance._weighed(batch, gain))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    parts = [slice(a, b) for a, b in zip(first[2:-2], first[3:-1], strict=True)]
+    assert got["place"].to_pylist() == list(range(2, 5999))
+    assert got["n_features"].to_pylist() == [counts[p].sum() for p in parts]
+    assert got["weight"].to_pylist() == [(gain[buckets[p]] * counts[p]).sum() for p in parts]
+    assert peak < 40_000_000  # 6 million values: 144 MB when all are weighed at once
+
+
+def test_counting_takes_a_megabyte_at_once(spark):
+    docs = spark.createDataFrame([(k, f"{k} " + "word " * 20_000) for k in range(30)], "doc_id long, text string").coalesce(1)
+    counts = importance.spilled(docs)
+    assert counts.where("place IS NULL").count() == 3  # rows of totals: one for each batch
+    assert counts.where("place IS NOT NULL").count() == 30
+
+
 def test_joined_crcs():
     shifts = importance.Shifts()
     parts = [(rng.randbytes(rng.randint(0, 90)), rng.randbytes(n)) for n in (0, 1, 5, 63, 64, 65, 128, 1000, 70_001)]
