@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -351,6 +352,26 @@ def test_classifier(spark, docs):
     assert sum(out[i].predicted == 1 - i % 2 for i in range(400, 600)) >= 195 and 0 <= out[900].score == out[901].score <= 1
 
 
+def test_classifier_trains_in_a_task(spark):
+    rows = [(i, ("### $$$ *** " if i % 2 else "") + " ".join(rng.choice(WORDS) for _ in range(30))) for i in range(300)] + [(900, ""), (901, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(250)] + [(260, None), (900, 1)], "doc_id long, quality int")
+    tracemalloc.start()
+    model = quality_model.fit(d, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000  # one float for each of 262144 buckets; training in the driver: over 30 MB
+    sample = []
+    for i, text in rows[:250]:
+        bucket, n = np.unique(np.concatenate([b for b, _ in quality_model.features([text.encode()])]), return_counts=True)
+        sample.append((1 - i % 2, bucket, (n / n.sum()).astype(np.float32)))
+    sample.sort(key=lambda r: (r[0], len(r[1]), r[1].astype("<i4").tobytes()))
+    plain = quality_model.train(sample)
+    assert np.allclose(model.weights(), plain.weights(), atol=1e-5) and model.offset == pytest.approx(plain.offset, abs=1e-5) and np.any(model.weights())
+    nothing = quality_model.fit(d, labels.where("false"))
+    assert nothing.offset == 0 and {r.score for r in quality_model.predict(d, nothing).collect()} == {0.5}
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(rng.choice(WORDS[:20] if i % 4 else WORDS[30:50]) for _ in range(rng.randint(20, 60)))) for i in range(200)] + [(900, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
