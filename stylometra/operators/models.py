@@ -86,7 +86,13 @@ def generative_leave_one_out(units: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 #: Vectors of a block of queries or of index rows, bytes of a block at most, and similarities that a task holds at once.
-QUERY_BLOCK, INDEX_BLOCK, BLOCK_BYTES, HELD_COSINES = 8_000, 20_000, 16_000_000, 4_000_000
+QUERY_BLOCK, INDEX_BLOCK, BLOCK_BYTES, HELD_COSINES = 32_000, 32_000, 16_000_000, 4_000_000
+#: Blocks are not made smaller than this to give every core a pair of them.
+LEAST_BLOCK = 1_000
+#: Tasks that pairs of blocks are dealt to, at most.
+MOST_PAIRS = 2_000
+#: Similarities of a row of which only the greatest is compared first.
+STRIP = 16
 
 
 def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int) -> DataFrame:
@@ -111,34 +117,56 @@ def dealt(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _vector_blocks(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, int]:
-    """((b, ids, v), number of blocks): vectors of df (key, v) in blocks of bounded size, ascending by key, with their norms' zeros gone; rows without a key or with a null in the vector are left out."""
-    known = df.where(F.col(key).isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).select(key, F.col("v").cast("array<double>").alias("v")).where(F.size("v") > 0)
+    """((b, ids, v), number of blocks): vectors of df (key, v) in blocks of bounded size, ascending by key, without zero vectors; rows without a key or with a null in the vector are left out. Floats stay floats."""
+    known = df.where(F.col(key).isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).select(key, "v").where(F.size("v") > 0)
+    kind = np.dtype(_stored_kind(df))
+    if kind.itemsize == 8:
+        known = known.withColumn("v", F.col("v").cast("array<double>"))
     size = known.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).head()
-    count = max(1, -(-size["n"] // max(1, min(rows, BLOCK_BYTES // (8 * (size["w"] or 1))))))
+    count = max(1, -(-size["n"] // max(1, min(rows, BLOCK_BYTES // (kind.itemsize * (size["w"] or 1))))))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    count = max(count, min(math.isqrt(4 * cores), size["n"] // LEAST_BLOCK))
 
     def pack(f):
         f = f.sort_values(key, ignore_index=True)
-        x = np.stack(f["v"].to_numpy()).astype(float)
+        x = np.stack(f["v"].to_numpy()).astype(kind)
         with np.errstate(invalid="ignore", over="ignore"):
-            norm = np.sqrt((x * x).sum(axis=1))
-            x, ids = x[~(norm <= 0)] / norm[~(norm <= 0), None], f[key][~(norm <= 0)]
-        return pd.DataFrame({"b": f["b"][:1], "ids": [ids.tolist()], "v": [x.tobytes()]})
+            kept = ~((x.astype(float) ** 2).sum(axis=1) <= 0)
+        return pd.DataFrame({"b": f["b"][:1], "ids": [f[key][kept].tolist()], "v": [x[kept].tobytes()]})
 
     dealt = known.withColumn("b", F.pmod(F.xxhash64(key, "v"), F.lit(count)))
     return stored(dealt.groupBy("b").applyInPandas(pack, f"b long, ids array<{dict(df.dtypes)[key]}>, v binary"), name), count
 
 
+def _stored_kind(df: DataFrame) -> str:
+    return "float32" if dict(df.dtypes)["v"] == "array<float>" else "float64"
+
+
+def _unit_rows(v: bytes, kind: str, rows: int) -> np.ndarray:
+    """Stored vectors over their norms, as doubles."""
+    x = np.frombuffer(v, kind).reshape(rows, -1).astype(float)
+    with np.errstate(invalid="ignore", over="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def _nearest(asked: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int):
     """(places of queries, places of rows, cosines): at least the k best rows of each query that aren't itself, ties by id. ids ascend."""
     low, high = np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right")
-    step = max(1, HELD_COSINES // len(ids))
+    step, n = max(1, HELD_COSINES // len(ids)), len(ids)
+    finite, few = np.isfinite(a).all() and np.isfinite(b).all(), min(k, n)
+    strips = n // STRIP
     for at in range(0, len(asked), step):
         c = a[at : at + step] @ b.T
-        c[np.isnan(c)] = np.inf  # as in SQL, what is no number is the greatest
+        if not finite:
+            c[np.isnan(c)] = np.inf  # as in SQL, what is no number is the greatest
         for r in np.flatnonzero(low[at : at + step] < high[at : at + step]):
             c[r, low[at + r] : high[at + r]] = -np.inf
-        least = np.partition(c, -min(k, c.shape[1]), axis=1)[:, -min(k, c.shape[1])]
-        q, i = np.nonzero((c >= np.where(np.isfinite(least), least - 2e-9, least)[:, None]) & (c > -np.inf))
+        # the k-th best of the strips' best is at most the k-th best of all
+        top = c[:, : strips * STRIP].reshape(len(c), STRIP, strips).max(axis=1) if strips >= 4 * few else c
+        least = np.partition(top, -few, axis=1)[:, -few]
+        q, i = np.divmod(np.flatnonzero(c >= np.where(np.isfinite(least), least - 2e-9, least)[:, None]), n)
+        if np.isneginf(least).any():
+            q, i = q[c[q, i] > -np.inf], i[c[q, i] > -np.inf]
         own = np.round(c[q, i], 9)
         order = np.lexsort((i, -own, q))
         q, i, own = q[order], i[order], own[order]
@@ -152,7 +180,7 @@ def cosine_neighbours(queries: DataFrame, index: DataFrame, k: int) -> DataFrame
     Blocks of queries meet blocks of rows as matrices; only the k best of each query in a block of rows leave a task, and these are ranked.
     """
     ship(index.sparkSession)
-    kinds = dict(queries.dtypes)["query"], dict(index.dtypes)["id"]
+    kinds, forms = (dict(queries.dtypes)["query"], dict(index.dtypes)["id"]), (_stored_kind(queries), _stored_kind(index))
     (left, asked), (right, rows) = _vector_blocks(queries.select("query", "v"), "query", QUERY_BLOCK, "queries"), _vector_blocks(index.select("id", "v"), "id", INDEX_BLOCK, "index")
     left = left.select(F.col("b").alias("q"), "ids", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("i"))
     right = right.select(F.col("b").alias("i"), "ids", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))).alias("q"))
@@ -163,9 +191,11 @@ def cosine_neighbours(queries: DataFrame, index: DataFrame, k: int) -> DataFrame
             for ids, b in zip(g["ids"], g["v"], strict=True):
                 if len(qs) and len(ids):
                     qs, ids = np.asarray(qs), np.asarray(ids)
-                    for q, i, c in _nearest(qs, np.frombuffer(a).reshape(len(qs), -1), ids, np.frombuffer(b).reshape(len(ids), -1), k):
+                    for q, i, c in _nearest(qs, _unit_rows(a, forms[0], len(qs)), ids, _unit_rows(b, forms[1], len(ids)), k):
                         out.append(pd.DataFrame({"query": qs[q], "id": ids[i], "cosine": np.where(np.isinf(c), np.nan, c)}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "cosine": []})
 
+    # a number of our own, as small blocks that take long must not be put together in few tasks
+    left, right = (x.repartition(min(asked * rows, MOST_PAIRS), "q", "i") for x in (left, right))
     best = left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInPandas(run, f"query {kinds[0]}, id {kinds[1]}, cosine double")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k)

@@ -240,3 +240,23 @@ def test_word_vectors_are_trained_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sampling, "WORDS_OF_A_PART", 60)
     assert all(r.size == 3 and r.norm > 0 for r in sampling.word_vectors(toks, 3, 2, 1, 1).collect())
     assert asked == [1, 5]
+
+
+def test_cosine_knn_asks_for_every_row(spark, tmp_path):
+    import duckdb
+
+    from stylometra.operators import models
+    from stylometra.plans import catalog, registry
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (260, 5)).astype("float32")
+    x[100:120] = x[3]
+    spark.createDataFrame([(k + 1, [float(v) for v in r], 0) for k, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in catalog.md24_cosine_knn(spark, str(tmp_path)).select("query", "id", "rank").collect()}
+    assert {q for q, _, _ in got} == set(range(1, 261)) and len(got) == 780  # ids divisible by 50 alone before
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == set(con.sql(registry.ORACLE_SQL["md24_cosine_knn"]).fetchall())
+    vectors = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS v")
+    block = models._vector_blocks(vectors, "id", 1000, "t")[0].head()
+    assert len(block.v) == 4 * 5 * len(block.ids)  # floats stay floats
