@@ -260,3 +260,25 @@ def test_cosine_knn_asks_for_every_row(spark, tmp_path):
     vectors = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS v")
     block = models._vector_blocks(vectors, "id", 1000, "t")[0].head()
     assert len(block.v) == 4 * 5 * len(block.ids)  # floats stay floats
+
+
+def test_word_vectors_that_the_driver_does_not_hold(spark, monkeypatch):
+    from pyspark.ml import feature
+
+    from stylometra.plans import sampling
+
+    rng = np.random.default_rng(4)
+    words = {t: [f"{t}{k}" for k in range(10)] for t in "ab"}
+    rows = [([str(w) for w in rng.choice(words["ab"[k % 2]], 12)],) for k in range(3000)] + [(["once", None, ""],), (None,), ([],)]
+    toks = spark.createDataFrame(rows, "words array<string>").repartition(3)
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda *a: pytest.fail("all words on the driver"))
+    monkeypatch.setattr(sampling, "DRIVER_WORDS", 5)
+    monkeypatch.setattr(sampling, "WORDS_OF_A_PART", 4000)
+    for least, epochs in ((1, 1), (1, 3), (2, 3)):
+        got = {r.word: r for r in sampling.word_vectors(toks, 8, 5, least, epochs).collect()}
+        assert set(got) == {*words["a"], *words["b"], *(["once", ""] if least == 1 else [])}
+        assert all(r.size == 8 and r.norm == pytest.approx(np.linalg.norm(r.vector), abs=1e-6) for r in got.values())
+        unit = {w: np.array(r.vector) / r.norm for w, r in got.items()}
+        same = np.mean([unit[x] @ unit[y] for t in "ab" for x in words[t] for y in words[t] if x < y])
+        apart = np.mean([unit[x] @ unit[y] for x in words["a"] for y in words["b"]])
+        assert same > apart + 0.3
