@@ -73,5 +73,7 @@ _ITEMS = f"""it AS (SELECT doc_id, chunk, 'w' AS family, unnest(ws) AS item FROM
 
 @query(f"WITH {_tokens('[.;' + chr(92) + 'n]+', 's', 't')}, {_CHUNKS}, {_ITEMS}, c AS (SELECT doc_id, chunk, family, item, count(*) AS n FROM it GROUP BY ALL), tot AS (SELECT doc_id, chunk, family, sum(n) AS total FROM c GROUP BY ALL), v AS (SELECT family, item, row_number() OVER (PARTITION BY family ORDER BY sum(n) DESC, item) AS k FROM c GROUP BY 1, 2), l(family, top) AS (VALUES {', '.join(str(x) for x in TOPS.items())}) SELECT doc_id, chunk::BIGINT AS chunk, family, count(*) AS features, round(sum(n * 1000.0 / total), 4) AS rates, round(max(n * 1000.0 / total), 4) AS greatest FROM c JOIN v USING (family, item) JOIN l ON l.family = v.family AND k <= top JOIN tot USING (doc_id, chunk, family) GROUP BY ALL")
 def fx2_fx6_chunk_families(spark, d):
-    r = P.family_rates(stored(P.chunked(_spelt(spark, d), 100), "chunks"), CLOSED_GREEK, TOPS)  # read twice
-    return r.groupBy("doc_id", F.col("chunk").cast("long").alias("chunk"), "family").agg(F.count("*").alias("features"), F.round(F.sum("rate"), 4).alias("rates"), F.round(F.max("rate"), 4).alias("greatest"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    chunks = P.chunked(docs, 100, spelling=dict(zip(map(ord, LATIN), GREEK, strict=True)))  # each word is spelt once
+    r = P.family_sums(stored(chunks, "chunks"), CLOSED_GREEK, TOPS)  # read twice
+    return r.groupBy("doc_id", F.col("chunk").cast("long").alias("chunk"), "family").agg(F.sum("features").alias("features"), F.round(F.sum("rates"), 4).alias("rates"), F.round(F.max("greatest"), 4).alias("greatest"))

@@ -62,3 +62,43 @@ def test_token_profile_of_single_and_several_texts(spark):
         w = " ".join(toks).split()
         want[key] = (sum(map(len, w)) / len(w), 1000 * sum(x in ("the", "a") for x in w) / len(w), len(set(w)) / len(w), len(w) / {1: 3, 2: 2, None: 1}[key])
     assert {k: [round(x, 9) for x in v] for k, v in rows.items()} == {k: [round(x, 9) for x in v] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_family_sums_equal_plain_counts(spark, small, monkeypatch):
+    from stylometra.operators import profiles as P
+
+    if small:
+        for name, value in (("COUNTED_ROWS", 5), ("COUNTED_CHARACTERS", 30), ("HELD_GRAMS", 40), ("LETTERS", 12)):
+            monkeypatch.setattr(P, name, value)
+    texts = ["the cat and the dog. The end; a 😀x 😀y, z\nand-so the (the) x_y", "", None, "a b", "Éa é'a «the» the the. " * 9 + "last one", ". ; \n", "İx ΟΔΟΣ ΟΔΟΣ.α xσ\x0bx"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    closed, tops = ["the", "a", "and"], {"w": 4, "c3": 9, "c4": 7, "bg": 2, "m3": 3}
+    chunks, marks = [], P._marks()
+    for k, t in enumerate(texts):
+        known = P._Words(marks[0])
+        sents = [[w for w in (known[x][0] for x in s) if w] for s in P._sentences((t or "").encode(), marks[1], (b";", b"\n"))]
+        sents = [s for s in sents if s]
+        for no, s in zip(P._chunk_numbers([len(s) for s in sents], 10), sents, strict=True):
+            chunks += [(k, no, [])] if not chunks or chunks[-1][:2] != (k, no) else []
+            chunks[-1][2].append(s)
+    made = P.chunked(docs, 10).cache()
+    assert {(r.doc_id, r.chunk): r.text for r in made.collect()} == {(k, no): "\n".join(map(" ".join, s)) for k, no, s in chunks}
+    own = [(k, no, f, Counter(items)) for k, no, s in chunks for f, items in P._family_items(s, frozenset(closed))]
+    whole: dict = {f: Counter() for f in tops}
+    for _, _, f, items in own:
+        whole[f].update(items)
+    best = {f: {i for i, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: tops[f]]} for f, c in whole.items()}
+    want = {}
+    for k, no, f, items in own:
+        rates = [n * 1000 / items.total() for i, n in items.items() if i in best[f]]
+        want |= {(k, no, f): (len(rates), round(sum(rates), 6), round(max(rates), 6))} if rates else {}
+    assert {(r.doc_id, r.chunk, r.family): (r.features, round(r.rates, 6), round(r.greatest, 6)) for r in P.family_sums(made, closed, tops).collect()} == want
+
+
+def test_chunk_families_pass_no_counts_of_single_chunks(spark):
+    """The second reading once sent a row for each chunk and item to the shuffle."""
+    from stylometra.plans import composites
+
+    plan = composites.fx2_fx6_chunk_families(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "item" not in plan and "features" in plan
